@@ -46,3 +46,9 @@ def hash_fraction(key: Column, fraction: Column | float, seed: int) -> Column:
     """True for about `fraction` of the keys, the same ones in every run."""
     share = F.pmod(F.xxhash64(F.lit(seed), key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return share < fraction
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: it is bound as a lambda variable, which no
+    optimiser rule can expand into an expression that is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, hash_fraction, held_out
+from palimpsest.llm.common import SPACES, fold, hash_fraction, held_out, let
 
 # Function words of the grammar in English, German, French and Spanish.
 TARGETS = frozenset("you your you're yourself he she they him her them du dich dir ihr euch sie tu toi vous te vos usted tú ti vosotros ustedes".split())
@@ -150,9 +150,9 @@ class Model:
             start = m.end() if m else end
         return found
 
-    def features(self, text: str, needles: list[str]) -> tuple[float, float, float]:
-        found = [w for _, w in self.matches(text, needles)]
-        return (np.log1p(sum(found)), max(found, default=0.0), float(bool(found)))
+    def features(self, found: list[tuple[int, float]]) -> tuple[float, float]:
+        """Of a document's matched clauses: the logarithm of their summed weights, and whether there are any."""
+        return (float(np.log1p(sum(w for _, w in found))), float(bool(found)))
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         b = np.asarray(self.curve)
@@ -172,7 +172,16 @@ def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int, seed: int) -
     for label, n in sizes.items():
         keep = keep | ((F.col("toxic") == label) & hash_fraction(F.col("doc_id"), min(1.0, max_per_class / n), seed))
     chosen = known.where(keep)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
+    # copies and near copies of one text would make its rare words look like a pattern: one row of
+    # those with the same smallest hash of three words stays
+    smallest = let(F.split("text", SPACES), lambda ws: F.array_min(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))))
+    return rows.withColumn("like", smallest).groupBy("like", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic")
+
+
+def _stem(words: Column, n: int) -> Column:
+    """The first n letters, marked by *, of every longer word."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000, max_lexicon: int = 200, min_g2: float = 15.0, seed: int = 11) -> Model:
@@ -180,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000, max_lex
     candidates and three numbers for each sampled row."""
     sample = _sample(docs, labels, max_per_class, seed)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (4, 5, 6)]
+    stems = [_stem(words, n) for n in (4, 5, 6)]
     seen = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("feature"))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -192,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000, max_lex
         t, n = F.col("t"), F.col("n")
         g2 = 2 * (t * F.log(t / (n * base)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - base)))).otherwise(0.0))
         odds = F.log((t + 0.5) / (pos + 1)) - F.log((n - t + 0.5) / (neg + 1))
-        ranked = counted.select("feature", g2.alias("g2"), odds.alias("odds")).where((F.col("g2") >= min_g2) & (F.col("odds") >= 2.0))
+        ranked = counted.select("feature", g2.alias("g2"), odds.alias("odds")).where((F.col("g2") >= min_g2) & (F.col("odds") >= 3.0))
         for r in ranked.orderBy(F.desc("g2"), F.length("feature").desc(), "feature").limit(4000).collect():
             name, stem = r["feature"].rstrip("*"), r["feature"].endswith("*")
             if any(name[:k] in chosen_stems for k in (4, 5, 6)) or any(x.startswith(name) for x in chosen_stems):
@@ -202,27 +211,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000, max_lex
             (chosen_stems if stem else chosen_words)[name] = float(min(r["odds"], 6.0))
             if len(chosen_words) + len(chosen_stems) >= max_lexicon:
                 break
-    blank = Model(chosen_words, chosen_stems, (0.0, 0.0, 0.0, 0.0))
+    blank = Model(chosen_words, chosen_stems, (0.0, 0.0, 0.0))
 
     def feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         needles = blank.needles()
         for b in batches:
-            x = [blank.features(s, needles) for s in b["text"]]
-            yield pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=b["toxic"].to_numpy())
+            x = [blank.features(blank.matches(s, needles)) for s in b["text"]]
+            yield pd.DataFrame(x, columns=["a", "b"]).assign(y=b["toxic"].to_numpy())
 
-    rows = sample.mapInPandas(feature_rows, "a double, b double, c double, y int").groupBy("a", "b", "c", "y").count().toPandas()
+    rows = sample.mapInPandas(feature_rows, "a double, b double, y int").groupBy("a", "b", "y").count().toPandas()
     return Model(chosen_words, chosen_stems, _logistic(rows, base))
 
 
 def _logistic(rows: pd.DataFrame, base: float, ridge: float = 1.0) -> tuple[float, ...]:
     """Ridge logistic regression by Newton's method on weighted feature rows."""
-    beta = np.array([np.log(base / (1 - base)), 0.0, 0.0, 0.0])
+    beta = np.array([np.log(base / (1 - base)), 0.0, 0.0])
     if rows.empty or rows["y"].nunique() < 2:
         return tuple(beta)
-    rows = rows.sort_values(["a", "b", "c", "y"])
-    x = np.column_stack([np.ones(len(rows)), rows[["a", "b", "c"]].to_numpy(float)])
+    rows = rows.sort_values(["a", "b", "y"])
+    x = np.column_stack([np.ones(len(rows)), rows[["a", "b"]].to_numpy(float)])
     y, w = rows["y"].to_numpy(float), rows["count"].to_numpy(float)
-    penalty = np.diag([1e-3, ridge, ridge, ridge])
+    penalty = np.diag([1e-3, ridge, ridge])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (w * (y - p)) - penalty @ beta
@@ -242,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         needles = model.needles()
         for b in batches:
             found = [model.matches(s, needles) if s else [] for s in b["text"]]
-            x = np.array([(np.log1p(sum(w for _, w in f)), max((w for _, w in f), default=0.0), float(bool(f))) for f in found]).reshape(-1, 3)
+            x = np.array([model.features(f) for f in found]).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.probability(x), "clauses": [len(f) for f in found], "top_clause_start": [max(f, key=lambda v: (v[1], -v[0]))[0] if f else -1 for f in found]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, clauses int, top_clause_start int")
@@ -261,7 +270,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needles = model.needles()
         for b in batches:
-            x = np.array([model.features(s, needles) if s else (0.0, 0.0, 0.0) for s in b.column("text").to_pylist()]).reshape(-1, 3)
+            x = np.array([model.features(model.matches(s or "", needles)) for s in b.column("text").to_pylist()]).reshape(-1, 2)
             yield b.filter(pa.array(model.probability(x) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
