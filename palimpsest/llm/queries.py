@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import langid, linededup, mixing, packing, pii, quality, secrets, toxicity
+from palimpsest.llm import jaccard, langid, linededup, mixing, packing, pii, quality, secrets, toxicity
 from palimpsest.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,5 +46,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op8_pii_surrogates, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op7_ngram_jaccard, op8_pii_surrogates, op10_toxicity)}
 ORACLE: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_line_dedup": linededup.ORACLE}
