@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACES, fold, hash_fraction, held_out, let
+from palimpsest.llm.common import SPACES, fold, hash_fraction, held_out, let, materialize
 
 # Function words of the grammar in English, German, French and Spanish.
 TARGETS = frozenset("you your you're yourself he she they him her them du dich dir ihr euch sie tu toi vous te vos usted tú ti vosotros ustedes".split())
@@ -172,7 +172,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int, seed: int) -
     for label, n in sizes.items():
         keep = keep | ((F.col("toxic") == label) & hash_fraction(F.col("doc_id"), min(1.0, max_per_class / n), seed))
     chosen = known.where(keep)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
+    # `chosen` holds ids of a hash sample, about 2 x max_per_class rows at most: small enough to broadcast
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # copies and near copies of one text would make its rare words look like a pattern: one row of
     # those with the same smallest hash of three words stays
     smallest = let(F.split("text", SPACES), lambda ws: F.array_min(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))))
@@ -187,7 +188,7 @@ def _stem(words: Column, n: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000, max_lexicon: int = 200, min_g2: float = 15.0, seed: int = 11) -> Model:
     """Lexicon and curve from the labelled sample. What reaches the driver: at most 4,000 lexicon
     candidates and three numbers for each sampled row."""
-    sample = _sample(docs, labels, max_per_class, seed)
+    sample = materialize(_sample(docs, labels, max_per_class, seed))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     stems = [_stem(words, n) for n in (4, 5, 6)]
     seen = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("feature"))
