@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palimpsest.plans import recall
+from palimpsest.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+PLANS = (recall,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.R.sql.items()}
