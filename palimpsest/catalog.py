@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import recall
+from palimpsest.plans import recall, scans
 from palimpsest.plans.registry import Query
 
-PLANS = (recall,)
+PLANS = (recall, scans)
 
 
 def queries() -> dict[str, Query]:
