@@ -8,12 +8,13 @@ in equal parts only. All of this is exact: no link is lost, whatever the groups'
 
 1. `classes`: documents with the same set are one class; only its smallest doc_id goes on.
 2. `shared_parts`: part hashes are shuffled by range, as packed arrays; those of one class only end here.
-3. `prefixes`: a class must share `need` parts with a partner. Ordered from the rarest part on, it is
+3. `candidates`, `prefixes`: a class must share `need` parts with a partner. Ordered from the rarest part on, it is
    enough to keep all but the last need - 1; classes that share fewer than `need` parts have no
    partner. Passages that thousands of documents share thus cost nothing.
-4. Two star rounds in every part (everyone with the smallest and the largest class) are verified by
-   intersecting the sets, and components built. Only parts that still hold several
-   components are then paired across components, so a group of copies never makes all its pairs.
+4. Two stars in every part (everyone with the class that has most in common with others, and with the
+   first by key) are verified by intersecting the sets, and components built. Only parts that still hold
+   several components are then paired across components, so a group of copies never makes all its
+   pairs. Pairs whose sizes, or whose places in the order of rarity, rule a link out are never made.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is
 its own component; fewer than five words are one shingle; equal rows are one class; a null doc_id
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
@@ -38,7 +39,10 @@ BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes that are hashed at a time: bounds a task's memory.
 CHUNK = 1 << 20
 #: Size bands: a band's largest set, and its number of parts.
-GROWTH, SMALLEST, PARTS_PER_ELEMENT, LEAST_PARTS = 1.8, 8, 0.35, 64
+GROWTH, SMALLEST, PARTS_PER_ELEMENT, LEAST_PARTS = 1.8, 8, 0.8, 64
+#: A sketch's owner in a packed block: set key, set size with the top bit for the next band up, parts that aren't empty.
+OWNER = np.dtype([("hi", "<i8"), ("size", "<u4"), ("filled", "<u4")])
+NEXT = 1 << 31
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -131,25 +135,30 @@ def bands() -> list[tuple[int, int]]:
 
 BANDS = bands()
 TOPS = np.array([top for top, _ in BANDS])
+PARTS = np.array([m for _, m in BANDS])
+
+
+def differences(size, band):
+    """The most elements in which a set of this size can differ from a partner in its band."""
+    return (size + np.minimum(4 * size // 3, TOPS[band])) // 7
 
 
 def parts(s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, need, part hashes) of a set: in its own band, and in the next one if a larger partner may be there."""
+    """(0 or NEXT, parts that aren't empty, part hashes) of a set: in its own band, and in the next one if a
+    larger partner may be there. A set with so few filled parts that empty ones might be all that is
+    equal gets one more hash, in which such sets meet."""
     n = len(s)
     own = int(np.searchsorted(TOPS, n))
-    largest = 4 * n // 3
     element, place = mix(s, 3), mix(s, 4) >> U(32)
-    for band in (own, own + 1) if largest > TOPS[own] else (own,):
-        m = BANDS[band][1]
-        part = (place * U(m)) >> U(32)
+    for band in (own, own + 1) if 4 * n // 3 > TOPS[own] else (own,):
+        part = (place * U(BANDS[band][1])) >> U(32)
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sketch = mix(np.bitwise_xor.reduceat(element[order], first) ^ (part[first] * U(0x9FB21C651E98DF25)) ^ U(band + 1))
-        need = len(first) - (n + min(largest, int(TOPS[band]))) // 7
-        if need <= 0:  # so many empty parts that these might be all that is equal: such sets meet in one more part
-            sketch, need = np.concatenate([sketch, mix(np.array([band], U), 5)]), 1
-        yield band, need, sketch
+        if len(first) <= differences(n, band):
+            sketch = np.concatenate([sketch, mix(np.array([band], U), 5)])
+        yield NEXT * (band > own), len(first), sketch
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -178,7 +187,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
-    """(sig, hi, band, need, n): part hashes that n > 1 classes of a band have, a row for each such class."""
+    """(sig, hi, band, parts, size, filled, need, length, n): packed part hashes that n > 1 classes of a band have, a
+    row for each such class with its set's size, its filled parts, how many part hashes a partner must share
+    and how many it has."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -190,8 +201,8 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
                 key = set_key(s)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    for band, need, sig in parts(s):
-                        owners.append((key[0], band, need))
+                    for up, filled, sig in parts(s):
+                        owners.append((key[0], len(s) | up, filled))
                         sigs.append(sig)
             if not sigs:
                 continue
@@ -201,13 +212,13 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
             order = np.lexsort((sig & U((1 << 48) - 1), bucket))
             sig, owner, bucket = sig[order], owner[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(ranges + 1, dtype=U))
-            table = np.array(owners, np.int64)
+            table = np.array(owners, OWNER)
             rows = []
             for r in range(ranges):
                 lo, hi = edges[r], edges[r + 1]
                 if hi > lo:
                     used, local = np.unique(owner[lo:hi], return_inverse=True)
-                    rows.append((r, planes(sig[lo:hi], 6), planes(local, 4), table[used].astype("<i8").tobytes()))
+                    rows.append((r, planes(sig[lo:hi], 6), planes(local, 4), table[used].tobytes()))
             yield pd.DataFrame(rows, columns=["r", "sigs", "owners", "table"])
 
     def meet(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -215,7 +226,7 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         for a, b, c in zip(blobs["sigs"], blobs["owners"], blobs["table"], strict=True):
             sigs.append(from_planes(a, 6))
             owners.append(from_planes(b, 4) + U(base))
-            tables.append(np.frombuffer(c, "<i8").reshape(-1, 3))
+            tables.append(np.frombuffer(c, OWNER))
             base += len(tables[-1])
         sig, owner, table = np.concatenate(sigs), np.concatenate(owners).astype(np.int64), np.concatenate(tables)
         order = np.argsort(sig, kind="stable")
@@ -223,21 +234,65 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         run = np.concatenate([[True], sig[1:] != sig[:-1]])
         size = np.diff(np.append(np.flatnonzero(run), len(sig)))
         many = np.repeat(size > 1, size)
-        found = pd.DataFrame({"sig": sig[many].astype(np.int64), "hi": table[owner[many], 0], "band": table[owner[many], 1].astype(np.int32), "need": table[owner[many], 2].astype(np.int32)})
+        own = table[owner[many]]
+        size = (own["size"] & np.uint32(NEXT - 1)).astype(np.int64)
+        band = np.searchsorted(TOPS, size) + (own["size"] >= NEXT)
+        filled, most = own["filled"].astype(np.int64), differences(size, band)
+        found = pd.DataFrame({
+            "sig": sig[many].astype(np.int64), "hi": own["hi"], "band": band.astype(np.int32), "parts": PARTS[band], "size": size, "filled": filled,
+            "need": np.maximum(filled - most, 1), "length": filled + (filled <= most),
+        })
         found = found.drop_duplicates(["sig", "hi", "band"])
         found["n"] = found.groupby("sig")["hi"].transform("size").astype(np.int64)
         found["sig"] = found["sig"] | (np.int64(blobs["r"].iat[0]) << np.int64(48))
         return found[found["n"] > 1]
 
-    schema = "sig long, hi long, band int, need int, n long"
+    schema = "sig long, hi long, band int, parts long, size long, filled long, need long, length long, n long"
     return docs.mapInPandas(emit, "r int, sigs binary, owners binary, table binary").groupBy("r").applyInPandas(meet, schema)
 
 
-def prefixes(shared: DataFrame) -> DataFrame:
-    """(sig, hi): for classes that share enough parts, the rarest ones, one of which any partner has too."""
-    by = Window.partitionBy("hi", "band")
-    ranked = shared.withColumns({"s": F.count("*").over(by), "k": F.row_number().over(by.orderBy("n", "sig"))})
-    return ranked.where("s >= need and k <= s - need + 1").select("sig", "hi")
+def candidates(shared: DataFrame) -> DataFrame:
+    """A row per class and band that shares `need` parts or more: its counts, and the sigs it shares, rarest
+    first. A class's own parts bound the list."""
+    own = ("hi", "band", "parts", "size", "filled", "need", "length")
+    sigs = F.array_sort(F.collect_list(F.struct("n", "sig")))
+    return shared.groupBy(*own).agg(sigs.alias("sigs")).where(F.size("sigs") >= F.col("need")).withColumn("sigs", F.transform("sigs", lambda s: s["sig"]))
+
+
+def prefixes(found: DataFrame) -> DataFrame:
+    """(sig, hi, band, parts, size, filled, length, place): the rarest parts of each candidate, one of which any
+    partner has too; place counts from 1 in the order of rarity, parts that nobody shares first."""
+    s = F.size("sigs")
+    rows = found.select("*", s.alias("s"), F.posexplode(F.slice("sigs", F.lit(1), (s - F.col("need") + 1).cast("int"))).alias("k", "sig"))
+    return rows.select("sig", "hi", "band", "parts", "size", "filled", "length", (F.col("length") - F.col("s") + F.col("k") + 1).alias("place"))
+
+
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """(hi, bits): each set's elements XORed into single bits, at least two for each element of its band's
+    largest set. The Hamming distance of two such sketches of one length bounds the sets' symmetric
+    difference from below."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for hi, elements in zip(b["hi"], b["elements"], strict=True):
+                s = np.asarray(elements, np.int64).astype(U)
+                width = 64 << int(np.ceil(np.log2(max(1, int(TOPS[np.searchsorted(TOPS, len(s))]) / 32))))
+                bits = (np.bincount((mix(s, 6) & U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+                rows.append((hi, np.packbits(bits, bitorder="little").view("<i8")))
+            yield pd.DataFrame(rows, columns=["hi", "bits"])
+
+    return sets.select("hi", "elements").mapInPandas(run, "hi long, bits array<long>").dropDuplicates(["hi"])
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether two classes that meet in a part, and in no rarer one, can be linked: by their sizes, and by
+    the parts that are left in either's order. Both bounds are exact."""
+    x, y = (lambda c, p=p: F.col(f"{p}.{c}") for p in (a, b))
+    left = F.least(x("length") - x("place"), y("length") - y("place")) + 1
+    equal = left + F.least(x("parts") - x("filled"), y("parts") - y("filled"))
+    sizes = (4 * x("size") >= 3 * y("size")) & (4 * y("size") >= 3 * x("size"))
+    return sizes & (equal >= x("parts") - F.floor((x("size") + y("size")) / 7))
 
 
 def narrow(df: DataFrame, limit: int) -> DataFrame:
@@ -270,23 +325,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 
 
-def star_pairs(prefix: DataFrame) -> DataFrame:
-    """(a, b), a < b: in every part, each class with the smallest and with the largest."""
-    hubs = prefix.groupBy("sig").agg(F.min("hi").alias("low"), F.max("hi").alias("high"))
-    met = prefix.join(hubs, "sig")
-    return met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+MEMBER = ("hi", "parts", "size", "filled", "length", "place")
+
 
+def paired(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: of rows with members x and y, those that can be linked."""
+    ordered = met.where("x.hi <> y.hi").where(possible("x", "y"))
+    return ordered.select(F.least("x.hi", "y.hi").alias("a"), F.greatest("x.hi", "y.hi").alias("b")).distinct()
 
-def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b), a < b: untested pairs of one part but different components. In each part, classes outside its
-    largest component meet all others: members of one component never meet."""
-    known = prefix.join(component, "hi")
+
+def star_pairs(prefix: DataFrame) -> DataFrame:
+    """In every part, each class with the one that has most in common with others and with the first one by key."""
+    member = prefix.select("sig", F.struct(*MEMBER).alias("x"))
+    hubs = member.groupBy("sig").agg(F.min_by("x", F.struct("x.place", "x.hi")).alias("y"), F.min_by("x", "x.hi").alias("z"))
+    met = member.join(hubs, "sig")
+    return paired(met.select("x", F.explode(F.array("y", "z")).alias("y")))
+
+
+def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, bits: DataFrame) -> DataFrame:
+    """Untested pairs of one part but different components. In each part, classes outside its largest
+    component meet all others: members of one component never meet, nor do classes whose sketches
+    are further apart than linked ones can be."""
+    known = prefix.join(component, "hi").select("sig", "component", F.struct(*MEMBER).alias("x"))
     sizes = known.groupBy("sig", "component").agg(F.count("*").alias("n"))
     major = sizes.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed = materialize(known.join(major, "sig"))
-    few = mixed.where("component <> major").select("sig", F.col("hi").alias("x"), F.col("component").alias("cx"))
-    met = few.join(mixed, "sig").where("cx <> component").select(F.least("x", "hi").alias("a"), F.greatest("x", "hi").alias("b")).distinct()
-    return met.join(tested, ["a", "b"], "left_anti")
+    mixed = materialize(known.join(major, "sig").join(bits, F.col("x.hi") == bits["hi"]).drop("hi"))
+    few = mixed.where("component <> major").select(F.col("sig").alias("part"), "x", F.col("component").alias("other"), F.col("bits").alias("bits_x"))
+    many = mixed.select("sig", "component", F.col("x").alias("y"), F.col("bits").alias("bits_y"))
+    # sketches of different lengths are compared no further
+    differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    apart = (F.size("bits_x") == F.size("bits_y")) & (differ > F.floor((F.col("x.size") + F.col("y.size")) / 7))
+    met = few.join(many, (F.col("part") == F.col("sig")) & (F.col("other") != F.col("component")) & possible("x", "y") & ~apart)
+    return paired(met.select("x", "y")).join(tested, ["a", "b"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, elements_per_range: int = 1_500_000, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -298,14 +368,17 @@ def jaccard_components(docs: DataFrame, percent: int = 75, elements_per_range: i
     filled = keys.where("n_shingles > 0")
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     reps = filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    prefix = materialize(prefixes(materialize(shared_parts(docs, max(64, -(-total // elements_per_range))))))
+    ranges = min(1 << 15, max(64, -(-total // elements_per_range)))
+    close = materialize(candidates(shared_parts(docs, ranges)))
+    prefix = materialize(prefixes(close))
     wanted = materialize(reps.where("rep is not null").join(prefix.select("hi").distinct(), "hi", "left_semi"))
     sets = materialize(sets_of(docs, narrow(wanted, broadcast_rows)))
     stars = materialize(star_pairs(prefix))
     links = materialize(verified(stars, sets, percent))
     label = components(links)
     found = sets.select("hi", F.col("rep").alias("node")).join(label, "node", "left").select("hi", F.coalesce("component", "node").alias("component"))
-    more = materialize(verified(crossing_pairs(prefix, found, stars), sets, percent))
+    crossing = materialize(crossing_pairs(prefix, materialize(found), stars, bit_sketches(sets)))
+    more = materialize(verified(crossing, sets, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
