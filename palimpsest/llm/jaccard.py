@@ -38,6 +38,8 @@ U = np.uint64
 BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes that are hashed at a time: bounds a task's memory.
 CHUNK = 1 << 20
+#: Part hashes that are sorted and packed at a time; copies are told apart within such a block.
+PER_BLOCK = 1_500_000
 #: Size bands: a band's largest set, and its number of parts.
 GROWTH, SMALLEST, PARTS_PER_ELEMENT, LEAST_PARTS = 1.8, 8, 0.8, 64
 #: A sketch's owner in a packed block: set key, set size with the top bit for the next band up, parts that aren't empty.
@@ -191,35 +193,43 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
     row for each such class with its set's size, its filled parts, how many part hashes a partner must share
     and how many it has."""
 
+    def block(owners: list[tuple[int, int, int]], sigs: list[np.ndarray]) -> pd.DataFrame:
+        sig = np.concatenate(sigs)
+        owner = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
+        bucket = ((sig >> U(48)) % U(ranges)).astype(np.uint16)
+        order = np.lexsort((sig & U((1 << 48) - 1), bucket))
+        sig, owner, bucket = sig[order], owner[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(ranges + 1))
+        table = np.array(owners, OWNER)
+        rows = []
+        for r in range(ranges):
+            lo, hi = edges[r], edges[r + 1]
+            if hi > lo:
+                used, local = np.unique(owner[lo:hi], return_inverse=True)
+                rows.append((r, planes(sig[lo:hi], 6), planes(local, 4), table[used].tobytes()))
+        return pd.DataFrame(rows, columns=["r", "sigs", "owners", "table"])
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
+        owners: list[tuple[int, int, int]] = []
+        sigs: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        held = 0
         for b in batches:
-            owners: list[tuple[int, int, int]] = []
-            sigs: list[np.ndarray] = []
-            seen = set()
             for s in shingler.sets(b["text"].tolist()):
                 key = set_key(s)
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    for up, filled, sig in parts(s):
-                        owners.append((key[0], len(s) | up, filled))
-                        sigs.append(sig)
-            if not sigs:
-                continue
-            sig = np.concatenate(sigs)
-            owner = np.repeat(np.arange(len(sigs), dtype=U), [len(x) for x in sigs])
-            bucket = (sig >> U(48)) % U(ranges)
-            order = np.lexsort((sig & U((1 << 48) - 1), bucket))
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(ranges + 1, dtype=U))
-            table = np.array(owners, OWNER)
-            rows = []
-            for r in range(ranges):
-                lo, hi = edges[r], edges[r + 1]
-                if hi > lo:
-                    used, local = np.unique(owner[lo:hi], return_inverse=True)
-                    rows.append((r, planes(sig[lo:hi], 6), planes(local, 4), table[used].tobytes()))
-            yield pd.DataFrame(rows, columns=["r", "sigs", "owners", "table"])
+                if not len(s) or key in seen:
+                    continue
+                seen.add(key)
+                for up, filled, sig in parts(s):
+                    owners.append((key[0], len(s) | up, filled))
+                    sigs.append(sig)
+                    held += len(sig)
+                if held >= PER_BLOCK:
+                    yield block(owners, sigs)
+                    owners, sigs, seen, held = [], [], set(), 0
+        if sigs:
+            yield block(owners, sigs)
 
     def meet(blobs: pd.DataFrame) -> pd.DataFrame:
         sigs, tables, owners, base = [], [], [], 0
@@ -359,7 +369,7 @@ def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, b
     return paired(met.select("x", "y")).join(tested, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, elements_per_range: int = 1_500_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, elements_per_range: int = 3_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; percent must be 75 or more."""
     if percent < 75:
         raise ValueError("the sketches' bounds hold from 75 percent on")
