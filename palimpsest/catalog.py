@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import recall, scans
+from palimpsest.plans import ranking, recall, scans
 from palimpsest.plans.registry import Query
 
-PLANS = (recall, scans)
+PLANS = (recall, scans, ranking)
 
 
 def queries() -> dict[str, Query]:
