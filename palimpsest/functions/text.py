@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,20 +46,31 @@ def _leftmost(text: Column, least: int) -> Column:
     return F.least(*places)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: bound as a lambda variable, it is never expanded in place."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def statement_key(text: Column) -> Column:
     """What comes before the leftmost delimiter, or the first eight words."""
-    norm = normalised(text)
-    at = _leftmost(norm, 8)
-    return F.when(at.isNotNull(), F.trim(F.substr(norm, F.lit(1), at - 1))).otherwise(F.array_join(F.slice(F.split(norm, " "), 1, 8), " "))
+
+    def key(norm: Column) -> Column:
+        words = F.array_join(F.slice(F.split(norm, " "), 1, 8), " ")
+        return let(_leftmost(norm, 8), lambda at: F.when(at.isNotNull(), F.trim(F.substr(norm, F.lit(1), at - 1))).otherwise(words))
+
+    return let(normalised(text), key)
 
 
 def statement_value(text: Column) -> Column:
     """What comes after the leftmost delimiter, or the whole text."""
-    norm = normalised(text)
-    at = _leftmost(norm, 0)
-    rest = F.substr(norm, at)
-    after = reduce(lambda c, d: F.when(rest.startswith(d), F.substr(rest, F.lit(len(d) + 1))).otherwise(c), reversed(DELIMITERS), rest)
-    return F.when(at.isNotNull(), F.trim(after)).otherwise(norm)
+
+    def after(rest: Column) -> Column:
+        return F.trim(reduce(lambda c, d: F.when(rest.startswith(d), F.substr(rest, F.lit(len(d) + 1))).otherwise(c), reversed(DELIMITERS), rest))
+
+    def value(norm: Column) -> Column:
+        return let(_leftmost(norm, 0), lambda at: F.when(at.isNotNull(), let(F.substr(norm, at), after)).otherwise(norm))
+
+    return let(normalised(text), value)
 
 
 def first_sentence(text: Column) -> Column:
