@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import arbitration, lifecycle, ranking, recall, scans
+from palimpsest.plans import analytics, arbitration, lifecycle, ranking, recall, scans
 from palimpsest.plans.registry import Query
 
-PLANS = (recall, scans, ranking, lifecycle, arbitration)
+PLANS = (recall, scans, ranking, lifecycle, arbitration, analytics)
 
 
 def queries() -> dict[str, Query]:
