@@ -79,25 +79,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
-split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM rows),
-numbered AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM split),
-worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) - 1 AS i FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+split AS (SELECT rid, doc_id, string_split(text, chr(10)) AS lines FROM rows),
+numbered AS (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM split),
+worded AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS i FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 windows AS (
-  SELECT doc_id, text, i, pos AS p0, lead(pos, 1) OVER w AS p1, lead(pos, 2) OVER w AS p2,
-         line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
-  FROM worded WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+  SELECT rid, doc_id, i, pos AS p0, lead(pos, 1) OVER w AS p1, lead(pos, 2) OVER w AS p2, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+  FROM worded WINDOW w AS (PARTITION BY rid ORDER BY i)),
 ranked AS (
-  SELECT *, count(*) OVER g AS n, first_value(doc_id) OVER o AS f_id, first_value(text) OVER o AS f_text, first_value(i) OVER o AS f_i
+  SELECT *, count(*) OVER g AS n, first_value(rid) OVER o AS f_rid, first_value(i) OVER o AS f_i
   FROM windows WHERE p2 IS NOT NULL
   WINDOW g AS (PARTITION BY a, b, c), o AS (PARTITION BY a, b, c ORDER BY doc_id, i)),
-later AS (SELECT * FROM ranked WHERE n > 1 AND NOT (doc_id = f_id AND text = f_text AND i < f_i + 3)),
-covered AS (SELECT doc_id, text, p0 AS p FROM later UNION SELECT doc_id, text, p1 FROM later UNION SELECT doc_id, text, p2 FROM later),
+later AS (SELECT * FROM ranked WHERE n > 1 AND NOT (rid = f_rid AND i < f_i + 3)),
+covered AS (SELECT rid, p0 AS p FROM later UNION SELECT rid, p1 FROM later UNION SELECT rid, p2 FROM later),
 kept AS (
-  SELECT n.doc_id, n.text, string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE c.p IS NULL) AS new_text,
-         count(*) AS n_lines, count(c.p) AS n_removed
-  FROM numbered n LEFT JOIN covered c ON c.doc_id = n.doc_id AND c.text = n.text AND c.p = n.pos GROUP BY n.doc_id, n.text)
+  SELECT n.rid, string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE c.p IS NULL) AS new_text, count(*) AS n_lines, count(c.p) AS n_removed
+  FROM numbered n LEFT JOIN covered c ON c.rid = n.rid AND c.p = n.pos GROUP BY n.rid)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.new_text, '') END AS text,
        coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id AND k.text = d.text
+FROM documents d LEFT JOIN rows r ON r.doc_id = d.doc_id AND r.text = d.text LEFT JOIN kept k ON k.rid = r.rid
 """

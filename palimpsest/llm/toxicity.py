@@ -12,7 +12,7 @@ hash of the id, so that it is the same in every run); scoring reads every whole
 Edge cases: a null or empty text has no clause and gets the score of a text without matches;
 rows with a null id are scored but never learned from; an empty table gives an empty result;
 repeated rows are scored alike; without any labelled row of either class the lexicon is empty
-and every score is the smoothed share of toxic labels.
+and every score is the smoothed share of toxic labels, UNMATCHED at most.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ NEGATIONS = frozenset("not never no isn't aren't don't wasn't nicht nie kein kei
 REPORTS = frozenset("said says told claims claimed wrote quoted called alleged reported sagte schrieb behauptet dit disait écrit dijo dice escribió afirma".split())
 THREATS = frozenset("kill hurt stab shoot punch destroy töten umbringen verletzen tuer frapper blesser matar golpear herir".split())
 
+#: The highest score of a text without a matched clause.
+UNMATCHED = 0.2
+
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -78,6 +81,18 @@ def negation(span: int = 3, weight: float = 0.3) -> Transducer:
     return Transducer(tuple(rows))
 
 
+def threatening(reach: int = 3) -> Transducer:
+    """A threat counts where its target follows within reach; by itself it is a word like any other."""
+    rows = []
+    for left in range(reach + 1):
+        row = _identity_row(max(left - 1, 0))
+        row[THREAT] = (reach, OTHER, 1.0)
+        if left:
+            row[TARGET] = (0, THREAT, 1.0)
+        rows.append(tuple(row))
+    return Transducer(tuple(rows))
+
+
 def reported(weight: float = 0.5) -> Transducer:
     """After a verb of saying, what the rest of the clause says is quoted."""
     plain, quoting = _identity_row(0), _identity_row(1)
@@ -87,15 +102,18 @@ def reported(weight: float = 0.5) -> Transducer:
 
 
 def targeted(bonus: float = 1.5) -> Transducer:
-    """Matches after a target count for more; a threat counts only if it has a target within reach."""
+    """Matches after a target count for more; a threat has its own."""
     free, aimed = _identity_row(0), _identity_row(1)
     free[TARGET] = aimed[TARGET] = (1, OTHER, 1.0)
-    for symbol in (INSULT, THREAT, DENIED, QUOTED):
+    free[THREAT] = aimed[THREAT] = (1, THREAT, 1.0)
+    for symbol in (INSULT, DENIED, QUOTED):
         aimed[symbol] = (1, symbol, bonus)
     return Transducer((tuple(free), tuple(aimed)))
 
 
-GRAMMAR = negation().then(reported()).then(targeted())
+GRAMMAR = threatening().then(negation()).then(reported()).then(targeted())
+#: What a threat weighs, in units of a learned word's log odds.
+THREAT_VALUE = 3.0
 
 
 @dataclass(frozen=True)
@@ -114,7 +132,7 @@ class Model:
             if len(word) >= n and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
         if word in THREATS:
-            return THREAT, 1.0
+            return THREAT, 0.0
         if word in TARGETS:
             return TARGET, 0.0
         if word in NEGATIONS:
@@ -125,15 +143,12 @@ class Model:
 
     def clause(self, words: list[str]) -> float:
         """The weight of the path that the composed automaton takes through a clause."""
-        state, total, aimed = 0, 0.0, False
+        state, total = 0, 0.0
         for word in words:
             symbol, value = self.lookup(word)
             state, out, weight = GRAMMAR.step[state][symbol]
-            aimed |= symbol == TARGET
-            if out in (INSULT, DENIED, QUOTED) and symbol == INSULT:
-                total += weight * value
-            elif symbol == THREAT and aimed:
-                total += weight * value
+            if out in (INSULT, THREAT, DENIED, QUOTED):
+                total += weight * (value if symbol == INSULT else THREAT_VALUE)
         return total
 
     def matches(self, text: str, needles: list[str]) -> list[tuple[int, float]]:
@@ -155,8 +170,10 @@ class Model:
         return (float(np.log1p(sum(w for _, w in found))), float(bool(found)))
 
     def probability(self, features: np.ndarray) -> np.ndarray:
+        """Without a matched clause a document stays below UNMATCHED, however many labels are toxic."""
         b = np.asarray(self.curve)
-        return 1 / (1 + np.exp(-np.clip(b[0] + features @ b[1:], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(b[0] + features @ b[1:], -30, 30)))
+        return np.where(features[:, 1] > 0, p, np.minimum(p, UNMATCHED))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int, seed: int) -> DataFrame:

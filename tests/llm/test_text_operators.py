@@ -165,12 +165,10 @@ def test_pii_surrogates_stay_distinct(spark):
 
 
 def test_line_dedup_matches_sql_on_edges(spark, docs, tmp_path):
-    import duckdb
-
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    con = duckdb.connect()
-    pdf = named.toPandas()
-    con.register("documents", pdf)
+    named.coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    con = connect(str(tmp_path))
     columns, expected = duck_rows(con, ORACLE["op5_line_dedup"])
     got = linededup.dedup_lines(named)
     assert sorted(got.columns) == columns and spark_rows(got) == expected
