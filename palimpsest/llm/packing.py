@@ -210,7 +210,7 @@ def ranked(cut_pieces: DataFrame, salts: int) -> DataFrame:
     return numbered.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("row") - 1).drop("row", "base", "salt")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, rows_per_salt: int = 2000, vocabulary: Vocabulary | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, rows_per_salt: int = 200, vocabulary: Vocabulary | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     What reaches the driver is the histogram, `capacity` rows at most; what is broadcast are the
