@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
 
-LEAF, FAN, CHUNK = 64, 64, 4096
+#: Rows of a data leaf and of a query leaf (a query group is pruned by its worst member), children of a node, columns compared at a time.
+LEAF, QUERY_LEAF, FAN, CHUNK = 64, 4, 64, 4096
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -38,22 +39,22 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
+def cover_tree(x: np.ndarray, leaf: int, rows: np.ndarray | None = None) -> Node:
     """Nested covers: a node's children are balls of half its radius around uncovered points. Points
     that no ball shares with enough others stay together in one leaf of the node's own radius."""
     rows = np.arange(len(x)) if rows is None else rows
     centre = x[rows[0]]
     away = np.sqrt(((x[rows] - centre) ** 2).sum(axis=1))
     node = Node(centre, float(away.max()), rows)
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= leaf or node.radius == 0:
         return node
     left, loose = rows, []
     for _ in range(FAN):
         if not len(left):
             break
         near = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(axis=1)) <= node.radius / 2
-        if near.sum() >= LEAF // 4:
-            node.children.append(cover_tree(x, left[near]))
+        if near.sum() >= max(1, leaf // 4):
+            node.children.append(cover_tree(x, leaf, left[near]))
         else:
             loose.append(left[near])
         left = left[~near]
@@ -105,7 +106,7 @@ class Search:
     def run(self) -> None:
         if not len(self.q_ids) or not len(self.p_ids):
             return
-        stack = [(np.inf, cover_tree(self.qf), cover_tree(self.pf))]
+        stack = [(np.inf, cover_tree(self.qf, QUERY_LEAF), cover_tree(self.pf, LEAF))]
         while stack:
             bound, a, b = stack.pop()
             if bound < self.worst[a.rows].min():
