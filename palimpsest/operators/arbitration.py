@@ -55,10 +55,10 @@ def additive(old: Column, new: Column, least: int = 3, share: float = 0.40) -> C
     return (novel >= least) & (novel / F.greatest(F.size(F.array_distinct(tx.tokens(new))), F.lit(1)) >= share)
 
 
-def band(same: Column, similarity: Column, age: Column, corrects: Column, contained: Column, conflict: Column) -> Column:
+def band(same: Column, similarity: Column, age: Column, corrects: Column, contained: Column, conflict: Column, merge: float = MERGE) -> Column:
     """The ladder: exact copy - skip; correction - supersede; near copy - skip; similar - create if the
     anchors conflict, skip if contained, else merge; otherwise create."""
-    similar = (similarity >= MERGE) & (age <= MERGE_HOURS)
+    similar = (similarity >= merge) & (age <= MERGE_HOURS)
     return (
         F.when(same & (age <= SKIP_HOURS), "1_skip_exact")
         .when(similar & corrects & ~conflict, "2_supersede")
@@ -70,10 +70,10 @@ def band(same: Column, similarity: Column, age: Column, corrects: Column, contai
     )
 
 
-def decide(found: DataFrame, incoming: DataFrame) -> DataFrame:
+def decide(found: DataFrame, incoming: DataFrame, merge: float = MERGE) -> DataFrame:
     """(id, decision, target): the lowest band over each record's candidates, then the most similar one."""
     new, old = tx.normalised(F.col("new_text")), tx.normalised(F.col("old_text"))
-    b = band(new == old, F.col("similarity"), F.col("age_hours"), supersedes(F.col("old_text"), F.col("new_text")), F.contains(old, new), anchors_conflict(F.col("old_text"), F.col("new_text")))
+    b = band(new == old, F.col("similarity"), F.col("age_hours"), supersedes(F.col("old_text"), F.col("new_text")), F.contains(old, new), anchors_conflict(F.col("old_text"), F.col("new_text")), merge)
     best = Window.partitionBy("new_id").orderBy("band", F.desc("similarity"), "old_id")
     first = found.withColumn("band", b).withColumn("k", F.row_number().over(best)).where("k = 1")
     out = incoming.select("id").join(first.select(F.col("new_id").alias("id"), "band", F.col("old_id").alias("target")), "id", "left")

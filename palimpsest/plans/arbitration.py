@@ -63,11 +63,7 @@ SELECT m.id, coalesce(band, '6_create') AS decision, CASE WHEN coalesce(band, '6
 def arbitration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder with a merge threshold at test scale (the vectors are nearly orthogonal)."""
     rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull())
-    before, ar.MERGE = ar.MERGE, 0.2
-    try:
-        return ar.decide(ar.candidates(rows, rows), rows)
-    finally:
-        ar.MERGE = before
+    return ar.decide(ar.candidates(rows, rows), rows, merge=0.2)
 
 
 @R.query(f"WITH {MEMORY_SQL}, n AS (SELECT id, {NORM('text')} AS norm FROM mem) SELECT min(id) AS first_id, count(*) AS n FROM n GROUP BY norm HAVING count(*) > 1")
