@@ -87,9 +87,11 @@ def train(docs: DataFrame, max_train_docs: int = 20000, synthetic: int = 4000, s
                 for s, kind, e in spans:
                     value = text[s:e] if kind else ASSIGN.match(text, s)[2]
                     np.add.at(tally[1], bigrams(value), 1)
-                ordinary = Counter(text[a:b2] for a, b2 in free_runs(text, spans, 6))
-                for run, k in ordinary.items():
-                    np.add.at(tally[0], bigrams(run), k)
+                # all runs at once, each behind the edge code; pairs that end in it belong to no run
+                runs = chr(EDGE) + chr(EDGE).join(text[s:e] for s, e in free_runs(text, spans, 6))
+                codes = np.frombuffer(runs.encode("latin-1"), np.uint8).astype(np.int64)
+                pairs = (codes[:-1] * CODES + codes[1:])[codes[1:] != EDGE]
+                tally[0] += np.bincount(pairs, minlength=CODES * CODES)
         label, code = np.nonzero(tally)
         yield pd.DataFrame({"label": label, "code": code, "n": tally[label, code]})
 
