@@ -5,6 +5,8 @@ transformed statistics is compared with its language and source: location and co
 the minimum-covariance-determinant iteration (concentration steps on three quarters of the group's
 documents, started from medians and median deviations, with a ridge on the covariance), and a
 document is rejected if its squared Mahalanobis distance is beyond `cut` on the chi-square scale.
+Where a language and source has fewer than `least` such documents, they are compared with their
+language over all sources, and where that has too few, with the whole table, by the same steps.
 
 Only DataFrame operations. Texts are read once; what is written and iterated on are a few integers
 per document. Vectors are whole numbers (32nds of a robust deviation), and quantiles are read from
@@ -12,8 +14,8 @@ histograms with a bounded number of bins, so each step is one aggregation with m
 combining, exact and the same in every run; no group is gathered, however large.
 
 Edge cases: a null text has no words and fails the base rule; a null language or source is a group
-like any other; groups with fewer than `least` documents have no estimate and keep theirs; repeated
-rows count each time; an empty table gives an empty result.
+like any other; the whole table has an estimate however few its documents, and only where none passes
+the base rule there is none; repeated rows count each time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from palimpsest.llm.common import SPACES, let, materialize
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-GROUP = ("g_lang", "g_source")
+SOURCE, LANGUAGE, ALL = 0, 1, 2  # g_level: what an estimate covers; the columns that it spans are empty
+GROUP = ("g_level", "g_lang", "g_source")
 UNIT = 32  # vector units in a robust deviation
 RAW_UNIT = 64  # feature units in a feature's own scale
 #: Least deviation of each feature, in its own scale: keeps a feature that hardly varies from deciding alone.
@@ -70,7 +73,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         let(lines, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"))).alias("l"),
     )
     return counted.select(
-        "doc_id", *GROUP, F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "g_lang", "g_source", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("w.r").cast("long").alias("n_repeat_words"), F.col("l.n").alias("n_lines"),
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -88,23 +91,40 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({x: F.round(v * RAW_UNIT).cast("int") for x, v in zip(FEATURES, raw, strict=True)})
 
 
+def levels(rows: DataFrame, least: int) -> DataFrame:
+    """(g_lang, g_source, own, used) by language and source: the level that its documents are compared
+    with, and the levels whose estimates they enter, which are those that some group is compared with."""
+    groups = materialize(rows.groupBy("g_lang", "g_source").agg(F.count_if(~F.col("base_failed")).alias("n")))
+    small = F.col("n") < least
+    langs = materialize(groups.groupBy("g_lang").agg(F.sum("n").alias("n_lang"), F.max(small).alias("some_small")))
+    rare = F.col("n_lang") < least
+    total = langs.agg(F.coalesce(F.max(F.col("some_small") & rare), F.lit(False)).alias("some_rare"))
+    known = groups.join(langs, "g_lang").crossJoin(F.broadcast(total))
+    used = F.array(F.when(~small, SOURCE), F.when(F.col("some_small") & ~rare, LANGUAGE), F.when(F.col("some_rare"), ALL))
+    return materialize(known.select("g_lang", "g_source", F.when(~small, SOURCE).when(~rare, LANGUAGE).otherwise(ALL).alias("own"), F.array_compact(used).alias("used")))
+
+
+def at_level(rows: DataFrame, level: Column) -> DataFrame:
+    """rows as members of their group of that level."""
+    return rows.withColumn("g_level", level).withColumns({"g_lang": F.when(F.col("g_level") == ALL, "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("g_level") == SOURCE, F.col("g_source")).otherwise("")})
+
+
 def medians(values: DataFrame, name: str) -> DataFrame:
     """Lower median of v by group and feature j, from the histogram of its bounded whole values."""
     bins = values.groupBy(*GROUP, "j", "v").agg(F.count("*").alias("n"))
     by = Window.partitionBy(*GROUP, "j")
     known = bins.withColumns({"upto": F.sum("n").over(by.orderBy("v")), "all": F.sum("n").over(by)})
-    return known.where("2 * upto >= all").groupBy(*GROUP, "j").agg(F.min("v").alias(name), F.max("all").alias("all"))
+    return known.where("2 * upto >= all").groupBy(*GROUP, "j").agg(F.min("v").alias(name))
 
 
-def scales(rows: DataFrame, least: int) -> DataFrame:
-    """A row per group of enough documents: medians m0..m4 and deviations d0..d4 (at least FLOORS), in RAW_UNITs."""
+def scales(rows: DataFrame) -> DataFrame:
+    """A row per group: medians m0..m4 and deviations d0..d4 (at least FLOORS), in RAW_UNITs."""
     long = rows.select(*GROUP, F.posexplode(F.array(*FEATURES)).alias("j", "v"))
     centre = materialize(medians(long, "m"))
-    away = long.join(centre.select(*GROUP, "j", "m"), [*GROUP, "j"]).select(*GROUP, "j", F.abs(F.col("v") - F.col("m")).alias("v"))
-    both = centre.join(medians(away, "d").select(*GROUP, "j", "d"), [*GROUP, "j"])
+    away = long.join(centre, [*GROUP, "j"]).select(*GROUP, "j", F.abs(F.col("v") - F.col("m")).alias("v"))
+    both = centre.join(medians(away, "d"), [*GROUP, "j"])
     pick = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c)))
-    wide = both.groupBy(*GROUP).agg(F.max("all").alias("n_group"), *[pick("m", j).alias(f"m{j}") for j in range(5)], *[F.greatest(1.4826 * pick("d", j), F.lit(FLOORS[j] * RAW_UNIT)).alias(f"d{j}") for j in range(5)])
-    return wide.where(F.col("n_group") >= least)
+    return both.groupBy(*GROUP).agg(*[pick("m", j).alias(f"m{j}") for j in range(5)], *[F.greatest(1.4826 * pick("d", j), F.lit(FLOORS[j] * RAW_UNIT)).alias(f"d{j}") for j in range(5)])
 
 
 def standardised(rows: DataFrame, scale: DataFrame) -> DataFrame:
@@ -172,14 +192,16 @@ def consistent(z: DataFrame, estimate: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, least: int = 50, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
     """One row per row of docs: the statistics, base_failed, distance (null where there is no estimate) and kept."""
     rows = materialize(vectors(statistics(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")))))
-    good = rows.where(~F.col("base_failed"))
-    scale = materialize(scales(good, least))
-    z = standardised(good, scale)
+    known = rows.join(levels(rows, least), ["g_lang", "g_source"])
+    good = known.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES, F.explode("used").alias("level"))
+    good = at_level(good, F.col("level")).drop("level")
+    scale = materialize(scales(good))
+    z = materialize(standardised(good, scale).select(*GROUP, *[f"z{j}" for j in range(5)]))
     estimate = first_estimate(scale)
     for _ in range(steps):
         estimate = concentrate(z, estimate)
     estimate = consistent(z, estimate)
-    judged = with_distance(standardised(rows, scale), estimate)
+    judged = with_distance(standardised(at_level(known, F.col("own")), scale), estimate)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("d2") <= cut, F.lit(True))).alias("kept"),

@@ -138,6 +138,27 @@ def test_quality_rejects_junk_and_keeps_clean(spark, sf_dir):
     assert good["kept"].mean() > 0.98
 
 
+def test_quality_judges_small_groups(spark, sf_dir):
+    """With production parameters; every group of these tables has fewer than 50 documents."""
+    for path in (sf_dir, sf_dir.replace("0.001", "0.01")):
+        found = quality.quality(spark.read.parquet(f"{path}/documents.parquet")).toPandas().merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id")
+        passing = found[~found["base_failed"]]
+        assert passing["distance"].notna().all()
+        junk, clean = passing[passing["quality"] == 0], passing[passing["quality"] == 1]
+        assert len(junk) > 0 and not junk["kept"].any()
+        assert clean["kept"].mean() > 0.98
+
+
+def test_quality_levels(spark):
+    groups = {("en", "a"): 60, ("en", "b"): 3, ("de", "a"): 30, ("de", "b"): 30, ("fr", "a"): 2, ("it", "a"): 50, (None, "a"): 1}
+    rows = [(g[0] or "", g[1], False) for g, n in groups.items() for _ in range(n)] + [("en", "c", True)]
+    got = {(r["g_lang"], r["g_source"]): (r["own"], sorted(r["used"])) for r in quality.levels(spark.createDataFrame(rows, "g_lang string, g_source string, base_failed boolean"), 50).collect()}
+    assert got == {
+        ("en", "a"): (0, [0, 1, 2]), ("en", "b"): (1, [1, 2]), ("en", "c"): (1, [1, 2]), ("de", "a"): (1, [1, 2]), ("de", "b"): (1, [1, 2]),
+        ("fr", "a"): (2, [2]), ("it", "a"): (0, [0, 2]), ("", "a"): (2, [2]),
+    }
+
+
 def test_pii_replaces_consistently(spark):
     text = "Mr. John Smith +1 (456) 555-2186 a.b@mail8.example.com 42.144.35.254 4111 1111 1111 1111 123-45-6789"
     docs = spark.createDataFrame([(1, text), (2, "again a.b@mail8.example.com, Mr. John Smith; Frau Anna Schmidt"), (3, None), (4, "nothing"), (None, "x a.b@mail8.example.com")], "doc_id long, text string")
