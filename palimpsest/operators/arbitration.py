@@ -119,26 +119,37 @@ def merged_text(old: Column, new: Column) -> Column:
     return tx.let(tx.normalised(old), lambda o: tx.let(tx.normalised(new), lambda n: tx.let(tx.let(keyed, union), lambda j: choose(o, n, j))))
 
 
-def near_pairs(rows: DataFrame, by: str, least: float, planes: int = 6, tables: int = 8, seed: int = 1) -> DataFrame:
-    """(a, b, similarity): pairs of one tenant above a cosine, by random hyperplane buckets: a row meets only
-    rows that fall on the same side of every plane of some table. Approximate, for upkeep sweeps;
-    `planes` and `tables` set recall."""
-    import random
-
-    rng = random.Random(seed)
-    size = F.size("embedding")
-    rows = rows.where(F.col("embedding").isNotNull() & (size > 0))
-
-    def sides(t: int) -> Column:
-        out = F.lit(t).cast("long")
-        for _ in range(planes):
-            salt = rng.randrange(1 << 30)
-            plane = F.transform(F.sequence(F.lit(1), size), lambda i, s=salt: (F.pmod(F.xxhash64(i, F.lit(s)), F.lit(2001)) - 1000) / 1000.0)  # noqa: B023
-            out = out * 2 + (vec.dot(F.col("embedding"), plane) >= 0).cast("long")
-        return out
-
-    keyed = rows.select(by, "id", "embedding", F.explode(F.array(*[sides(t) for t in range(tables)])).alias("bucket"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")))
-    scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), vec.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least).distinct()
+def near_pairs(rows: DataFrame, by: str, least: float, block: int = 1000) -> DataFrame:
+    """(a, b, similarity): all pairs of one tenant at a cosine of `least` (above 0) or more, for upkeep sweeps.
+    Exact: a tenant's rows of one length are dealt to blocks of about `block` rows, and every two blocks meet
+    in a task of their own, as one product of matrices, so no task holds a whole tenant."""
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    vector = F.col("embedding").cast("array<double>")
+    scale = vec.norm(F.col("v"))
+    units = rows.where(F.col(by).isNotNull() & F.col("id").isNotNull()).select(by, "id", vector.alias("v"))
+    units = units.where(scale > 0).select(by, "id", F.size("v").alias("n"), tx.let(scale, lambda s: F.transform("v", lambda x: x / s)).alias("v"))
+    sizes = units.groupBy(by, "n").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    dealt = units.join(sizes, [by, "n"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = dealt.select("*", other.alias("other")).select(by, "n", "id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    met = met.repartition(by, "n", "lo", "hi")  # else the tasks are those of the join, by tenant
+    found = met.groupBy(by, "n", "lo", "hi").applyInPandas(lambda pdf: _block_pairs(pdf, least), f"a {types['id']}, b {types['id']}, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _block_pairs(pdf, least: float):
+    """Pairs a < b of ids between block lo and block hi of one group."""
+    import numpy as np
+    import pandas as pd
+
+    left, right = (pdf[pdf["block"] == pdf[side].iloc[0]] for side in ("lo", "hi"))
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "similarity": np.empty(0)})
+    product = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+    i, j = np.nonzero(product >= least)
+    x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+    kept = x < y if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else x != y
+    x, y, similarity = x[kept], y[kept], product[i, j][kept]
+    return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "similarity": similarity})

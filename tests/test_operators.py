@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,28 @@ def test_near_pairs_recall(spark):
     assert ar.near_pairs(df, "user_id", 0.99).count() >= 0.9 * exact
 
 
+def test_registered_near_pairs_are_all_pairs(spark, sf_dir):
+    from palimpsest.plans import arbitration
+    from palimpsest.sources.tables import memory_units
+
+    path = sf_dir.replace("0.001", "0.01")
+    rows = [(r["user_id"], r["id"], np.array(r["embedding"], float)) for r in memory_units(spark, path).select("user_id", "id", "embedding").where("embedding is not null").collect()]
+    cos = lambda x, y: float(x @ y / np.sqrt((x @ x) * (y @ y)))
+    expected = {(a, b): cos(x, y) for t, a, x in rows for u, b, y in rows if t == u and a < b and cos(x, y) >= 0.35}
+    got = {(r["a"], r["b"]): r["similarity"] for r in arbitration.near_pairs_lsh(spark, path).collect()}
+    assert len(expected) > 0 and got == pytest.approx(expected, abs=1e-6)
+
+
+def test_near_pairs_over_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [("t" if i % 3 else "u", i, rng.normal(size=4 if i % 10 else 3).tolist()) for i in range(300)]
+    rows += [("t", 300, None), ("t", 301, []), ("t", 302, [0.0] * 4), (None, 303, rows[0][2]), ("t", 1, rows[1][2])]
+    unit = {(t, i): np.array(v) / np.linalg.norm(v) for t, i, v in rows[:300]}
+    expected = {(a, b) for (t, a), x in unit.items() for (u, b), y in unit.items() if t == u and a < b and len(x) == len(y) and x @ y >= 0.5}
+    got = [(r["a"], r["b"]) for r in ar.near_pairs(spark.createDataFrame(rows, "user_id string, id long, embedding array<double>"), "user_id", 0.5, block=7).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
 def test_clusters_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     found = {r["id"]: r["cluster"] for r in gr.clusters(pairs).collect()}
