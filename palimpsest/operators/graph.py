@@ -34,15 +34,19 @@ def prefix_matches(misses: DataFrame, entities: DataFrame, least: int = 4, ratio
     return met.groupBy("mention").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").drop("n")
 
 
-def shared_pairs(edges: DataFrame, least: int = 2, jaccard: float = 0.3, most: int | None = None) -> DataFrame:
+def shared_pairs(edges: DataFrame, least: int = 2, jaccard: float = 0.3, cell: int = 1000) -> DataFrame:
     """edges(entity, id): pairs of ids that share entities - the inverted index joined with itself, counted,
-    and held against both sides' sizes."""
-    edges = edges.distinct()
+    and held against both sides' sizes. Sizes that differ too much for `jaccard` don't meet; the ids of an
+    entity with more than `cell` are dealt to cells, every two of which meet in a group of their own."""
+    edges = edges.where(F.col("entity").isNotNull() & F.col("id").isNotNull()).distinct()
     sizes = edges.groupBy("id").agg(F.count("*").alias("n"))
-    a, b = edges.select("entity", F.col("id").alias("a")), edges.select("entity", F.col("id").alias("b"))
-    counts = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    known = counts.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return known.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > jaccard).select("a", "b", "shared", "jaccard")
+    cells = edges.groupBy("entity").agg(F.ceil(F.count("*") / F.lit(cell)).alias("cells"))
+    known = edges.join(sizes, "id").join(cells, "entity").withColumns({"own": F.pmod(F.xxhash64("id"), F.col("cells")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))})
+    a = known.select("entity", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("x"), F.col("other").alias("y"))
+    b = known.select("entity", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("other").alias("x"), F.col("own").alias("y"))
+    met = a.join(b, ["entity", "x", "y"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= jaccard * F.greatest("na", "nb")))
+    counts = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return counts.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > jaccard).select("a", "b", "shared", "jaccard")
 
 
 def _written(df: DataFrame) -> DataFrame:

@@ -140,6 +140,24 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("cluster").agg(F.count("*").alias("n"), gr.fingerprint(F.collect_list("id")).alias("fingerprint"))
 
 
+def all_entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of lineitem is an edge; entity_pairs and its twin hold a part of them."""
+    return gr.shared_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("id")))
+
+
+@R.query()
+def entity_jaccard_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No twin; tested against brute force."""
+    return all_entity_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@R.query()
+def clusters_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No twin; tested against brute force."""
+    found = gr.clusters(all_entity_pairs(spark, sf_dir))
+    return found.groupBy("cluster").agg(F.count("*").alias("n"), gr.fingerprint(F.collect_list("id")).alias("fingerprint"))
+
+
 @R.query("""WITH m AS (SELECT DISTINCT lower(p_brand) AS mention FROM part UNION SELECT DISTINCT lower(p_type) FROM part), e AS (SELECT p_partkey AS entity, lower(p_brand) AS name_norm, [lower(p_type)] AS aliases FROM part),
 x AS (SELECT mention, entity, 0 AS via FROM m JOIN e ON name_norm = mention UNION ALL SELECT mention, entity, 1 FROM m JOIN (SELECT entity, unnest(aliases) AS a FROM e) ON a = mention),
 k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY via, entity) AS k FROM x) SELECT mention, entity, CASE via WHEN 0 THEN 'name' ELSE 'alias' END AS via FROM k WHERE k = 1""")
