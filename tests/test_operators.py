@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -148,6 +149,23 @@ def test_shared_pairs_in_cells(spark):
     assert len(got) == len(expected) and {(r["a"], r["b"], r["shared"]) for r in got} == expected
 
 
+def test_fact_keys_hash_the_whole_text(spark, sf_dir):
+    from palimpsest.plans import capture
+    from palimpsest.sources.tables import memory_units
+
+    def key(category, text):
+        h = 5381
+        for c in text.strip(" ").lower():
+            h = (h * 33 + ord(c)) & 0xFFFFFFFF
+        words, code = re.findall("[a-z0-9]+", text.lower()), f"{h:08x}"[-6:]
+        return f"{category}:" + ("-".join([*words[:6], code]) if len(words) >= 2 else code)
+
+    rows = memory_units(spark, sf_dir).select("id", "category", "text").where("text is not null").collect()
+    got = {r["id"]: r["fact_key"] for r in capture.fact_keys(spark, sf_dir).collect()}
+    assert any(len(r["text"]) > 200 for r in rows)
+    assert [got[r["id"]] for r in rows] == [key(r["category"], r["text"]) for r in rows]
+
+
 def test_merge_prefers_changes(spark):
     current = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     changes = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
