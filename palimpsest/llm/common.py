@@ -17,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared folder that the session names. A local session without one, as in tests, gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -30,7 +32,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables: for those that no later step reads."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def narrow(df: DataFrame, limit: int) -> DataFrame:
+    """df, marked for broadcasting if it has no more than `limit` rows; joined by shuffling otherwise."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def fold(doc_id: Column) -> Column:
