@@ -44,6 +44,14 @@ def release(*tables: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def map_rows(docs: DataFrame, ids: list[str], columns: list[str], run, schema: str) -> DataFrame:
+    """docs' `ids` and `columns` through run, which maps pandas batches of them to rows of (ids.., schema). The ids,
+    whole numbers, travel as text: pandas would turn them into floats where one is null."""
+    sent = docs.select(*[F.col(c).cast("long").cast("string").alias(c) for c in ids], *columns)
+    out = sent.mapInPandas(run, ", ".join([f"{c} string" for c in ids] + [schema]))
+    return out.withColumns({c: F.col(c).cast("long") for c in ids})
+
+
 def narrow(df: DataFrame, limit: int) -> DataFrame:
     """df, marked for broadcasting if it has no more than `limit` rows; joined by shuffling otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

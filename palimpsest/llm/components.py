@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of links(u, v) that has another one
-    below it. Each round is written to the shared folder; they end when a round changes nothing."""
+    below it. Nodes are of any type with an order. Each round is written to the shared folder, the one before
+    deleted; they end when a round changes nothing."""
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(rounds):
-        edges = materialize(_small_star(_large_star(edges)))
+        old, edges = edges, materialize(_small_star(_large_star(edges)))
+        release(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -18,7 +18,15 @@ in equal parts only. All of this is exact: no link is lost, whatever the groups'
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is
 its own component; fewer than five words are one shingle; equal rows are one class; a null doc_id
-never names a component, but shares its class's; an empty table gives an empty result.
+never names a component, but shares its class's; a class without any id links with nothing; rows that
+share an id and differ in text are nodes of their own; a word of any length is one word; an empty
+table gives an empty result. Texts are hashed a megabyte at a time; a text's set is held whole, eight
+bytes a shingle. Sets of equal key, 128 bits, are taken for the same set.
+
+Groups: a range of part hashes holds about `elements_per_range` of them, whatever the corpus; a part that
+very many classes have is dealt to cells of `cell` classes. What remains quadratic are classes of about one size
+that share parts and lie just below the threshold: their pairs are compared by bit sketches, 64 bits
+at a time, and only those that the sketches can't rule out are written.
 """
 
 from __future__ import annotations
@@ -30,12 +38,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import map_rows, materialize, narrow, release
 from palimpsest.llm.components import components
 
 WORDS = 5
 U = np.uint64
 BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 #: Bytes that are hashed at a time: bounds a task's memory.
 CHUNK = 1 << 20
 #: Part hashes that are sorted and packed at a time; copies are told apart within such a block.
@@ -43,8 +52,11 @@ PER_BLOCK = 1_500_000
 #: Size bands: a band's largest set, and its number of parts.
 GROWTH, SMALLEST, PARTS_PER_ELEMENT, LEAST_PARTS = 1.8, 8, 0.8, 64
 #: A sketch's owner in a packed block: set key, set size with the top bit for the next band up, parts that aren't empty.
-OWNER = np.dtype([("hi", "<i8"), ("size", "<u4"), ("filled", "<u4")])
+OWNER = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("filled", "<u4")])
 NEXT = 1 << 31
+RANGES_PER_TASK = 4
+#: Bits of a Hamming sketch for each element of a set, at least.
+BITS_PER_ELEMENT = 8
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -54,6 +66,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def finished(polynomial: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Word hashes from their polynomials."""
+    return mix(polynomial + length * U(0xD6E8FEB86659FD93))
+
+
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, INVERSE):
@@ -75,21 +92,38 @@ class Shingler:
         edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         prefix = np.concatenate([[U(0)], np.cumsum(data.astype(U) * self.powers[: len(data)], dtype=U)])
-        return starts, mix((prefix[ends] - prefix[starts]) * self.inverses[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+        return starts, finished((prefix[ends] - prefix[starts]) * self.inverses[starts], (ends - starts).astype(U))
 
     def text_words(self, text: bytes) -> np.ndarray:
-        """Word hashes of one text of any length, cut at white space. A word longer than a chunk is
-        hashed by its pieces."""
-        out, at = [], 0
+        """Word hashes of one text of any length, cut at white space; a word longer than a chunk is carried
+        through all its chunks."""
+        data, out, at = np.frombuffer(text, np.uint8), [], 0
         while at < len(text):
             end = min(at + CHUNK, len(text))
-            if end < len(text):
-                cut = max(text.rfind(s, at, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                end = cut if cut > at else end
-            out.append(self.words(np.frombuffer(text, np.uint8)[at:end])[1])
+            cut = max(text.rfind(s, at, end) for s in BLANKS) if end < len(text) else end
+            if cut < at:  # no white space in this chunk
+                value, length, end = self.long_word(data, at)
+                out.append(finished(np.array([value], U), np.array([length], U)))
+            else:
+                end = max(cut, at + 1)
+                out.append(self.words(data[at:end])[1])
             at = end
         return np.concatenate(out) if out else np.zeros(0, U)
 
+    def long_word(self, data: np.ndarray, at: int) -> tuple[int, int, int]:
+        """(polynomial, length, end) of the word that starts at `at`."""
+        value, start = 0, at
+        while at < len(data):
+            part = data[at : at + CHUNK]
+            blank = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+            part = part[: blank[0]] if len(blank) else part
+            piece = int(np.add.reduce(part.astype(U) * self.powers[: len(part)], dtype=U))
+            value = (value + piece * pow(int(BASE), at - start, 1 << 64)) % (1 << 64)
+            at += len(part)
+            if len(blank):
+                break
+        return value, at - start, at
+
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Each text's set: sorted distinct 64-bit shingle hashes."""
         lowered = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -175,43 +209,41 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo): each document's set size and key."""
+    """docs without its text, with n_shingles, hi, lo: each row's set size and key."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for b in batches:
             rows = [(len(s), *set_key(s)) for s in shingler.sets(b["text"].tolist())]
             out = pd.DataFrame(rows, columns=["n_shingles", "hi", "lo"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            yield pd.concat([b[kept].reset_index(drop=True), out], axis=1)
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, hi long, lo long")
+    return map_rows(docs, kept, ["text"], run, "n_shingles long, hi long, lo long")
 
 
 def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
-    """(sig, hi, band, parts, size, filled, need, length, n): packed part hashes that n > 1 classes of a band have, a
+    """(sig, key, band, parts, size, filled, need, length, n): packed part hashes that n > 1 classes of a band have, a
     row for each such class with its set's size, its filled parts, how many part hashes a partner must share
-    and how many it has."""
+    and how many it has. A range is one of `ranges` equal stretches of the hashes' upper 32 bits."""
 
-    def block(owners: list[tuple[int, int, int]], sigs: list[np.ndarray]) -> pd.DataFrame:
+    def block(owners: list[tuple[int, int, int, int]], sigs: list[np.ndarray]) -> pd.DataFrame:
         sig = np.concatenate(sigs)
         owner = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
-        bucket = ((sig >> U(48)) % U(ranges)).astype(np.uint16)
-        order = np.lexsort((sig & U((1 << 48) - 1), bucket))
-        sig, owner, bucket = sig[order], owner[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(ranges + 1))
+        order = np.argsort(sig)
+        sig, owner = sig[order], owner[order]
+        bucket = ((sig >> U(32)) * U(ranges)) >> U(32)
+        edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(sig))
         table = np.array(owners, OWNER)
         rows = []
-        for r in range(ranges):
-            lo, hi = edges[r], edges[r + 1]
-            if hi > lo:
-                used, local = np.unique(owner[lo:hi], return_inverse=True)
-                rows.append((r, planes(sig[lo:hi], 6), planes(local, 4), table[used].tobytes()))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            used, local = np.unique(owner[lo:hi], return_inverse=True)
+            rows.append((int(bucket[lo]), planes(sig[lo:hi], 8), planes(local, 4), table[used].tobytes()))
         return pd.DataFrame(rows, columns=["r", "sigs", "owners", "table"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
-        owners: list[tuple[int, int, int]] = []
+        owners: list[tuple[int, int, int, int]] = []
         sigs: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         held = 0
@@ -222,7 +254,7 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
                     continue
                 seen.add(key)
                 for up, filled, sig in parts(s):
-                    owners.append((key[0], len(s) | up, filled))
+                    owners.append((*key, len(s) | up, filled))
                     sigs.append(sig)
                     held += len(sig)
                 if held >= PER_BLOCK:
@@ -234,7 +266,7 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
     def meet(blobs: pd.DataFrame) -> pd.DataFrame:
         sigs, tables, owners, base = [], [], [], 0
         for a, b, c in zip(blobs["sigs"], blobs["owners"], blobs["table"], strict=True):
-            sigs.append(from_planes(a, 6))
+            sigs.append(from_planes(a, 8))
             owners.append(from_planes(b, 4) + U(base))
             tables.append(np.frombuffer(c, OWNER))
             base += len(tables[-1])
@@ -249,50 +281,52 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         band = np.searchsorted(TOPS, size) + (own["size"] >= NEXT)
         filled, most = own["filled"].astype(np.int64), differences(size, band)
         found = pd.DataFrame({
-            "sig": sig[many].astype(np.int64), "hi": own["hi"], "band": band.astype(np.int32), "parts": PARTS[band], "size": size, "filled": filled,
+            "sig": sig[many].astype(np.int64), "hi": own["hi"], "lo": own["lo"], "band": band.astype(np.int32), "parts": PARTS[band], "size": size, "filled": filled,
             "need": np.maximum(filled - most, 1), "length": filled + (filled <= most),
         })
-        found = found.drop_duplicates(["sig", "hi", "band"])
+        found = found.drop_duplicates(["sig", "hi", "lo", "band"])
         found["n"] = found.groupby("sig")["hi"].transform("size").astype(np.int64)
-        found["sig"] = found["sig"] | (np.int64(blobs["r"].iat[0]) << np.int64(48))
         return found[found["n"] > 1]
 
-    schema = "sig long, hi long, band int, parts long, size long, filled long, need long, length long, n long"
-    return docs.mapInPandas(emit, "r int, sigs binary, owners binary, table binary").groupBy("r").applyInPandas(meet, schema)
+    schema = "sig long, hi long, lo long, band int, parts long, size long, filled long, need long, length long, n long"
+    packed = docs.mapInPandas(emit, "r long, sigs binary, owners binary, table binary")
+    # as many tasks as the ranges need, a few ranges each
+    met = packed.repartition(-(-ranges // RANGES_PER_TASK), "r").groupBy("r").applyInPandas(meet, schema)
+    return met.select("sig", F.struct("hi", "lo").alias("key"), "band", "parts", "size", "filled", "need", "length", "n")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
     """A row per class and band that shares `need` parts or more: its counts, and the sigs it shares, rarest
     first. A class's own parts bound the list."""
-    own = ("hi", "band", "parts", "size", "filled", "need", "length")
+    own = ("key", "band", "parts", "size", "filled", "need", "length")
     sigs = F.array_sort(F.collect_list(F.struct("n", "sig")))
     return shared.groupBy(*own).agg(sigs.alias("sigs")).where(F.size("sigs") >= F.col("need")).withColumn("sigs", F.transform("sigs", lambda s: s["sig"]))
 
 
 def prefixes(found: DataFrame) -> DataFrame:
-    """(sig, hi, band, parts, size, filled, length, place): the rarest parts of each candidate, one of which any
+    """(sig, key, band, parts, size, filled, length, place): the rarest parts of each candidate, one of which any
     partner has too; place counts from 1 in the order of rarity, parts that nobody shares first."""
     s = F.size("sigs")
     rows = found.select("*", s.alias("s"), F.posexplode(F.slice("sigs", F.lit(1), (s - F.col("need") + 1).cast("int"))).alias("k", "sig"))
-    return rows.select("sig", "hi", "band", "parts", "size", "filled", "length", (F.col("length") - F.col("s") + F.col("k") + 1).alias("place"))
+    return rows.select("sig", "key", "band", "parts", "size", "filled", "length", (F.col("length") - F.col("s") + F.col("k") + 1).alias("place"))
 
 
 def bit_sketches(sets: DataFrame) -> DataFrame:
-    """(hi, bits): each set's elements XORed into single bits, at least two for each element of its band's
-    largest set. The Hamming distance of two such sketches of one length bounds the sets' symmetric
+    """(key, bits): each set's elements XORed into single bits, at least BITS_PER_ELEMENT for each element of its
+    band's largest set. The Hamming distance of two such sketches of one length bounds the sets' symmetric
     difference from below."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for hi, elements in zip(b["hi"], b["elements"], strict=True):
+            for hi, lo, elements in zip(b["hi"], b["lo"], b["elements"], strict=True):
                 s = np.asarray(elements, np.int64).astype(U)
-                width = 64 << int(np.ceil(np.log2(max(1, int(TOPS[np.searchsorted(TOPS, len(s))]) / 32))))
+                width = 64 << int(np.ceil(np.log2(max(1, int(TOPS[np.searchsorted(TOPS, len(s))]) * BITS_PER_ELEMENT / 64))))
                 bits = (np.bincount((mix(s, 6) & U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
-                rows.append((hi, np.packbits(bits, bitorder="little").view("<i8")))
-            yield pd.DataFrame(rows, columns=["hi", "bits"])
+                rows.append((hi, lo, np.packbits(bits, bitorder="little").view("<i8")))
+            yield pd.DataFrame(rows, columns=["hi", "lo", "bits"])
 
-    return sets.select("hi", "elements").mapInPandas(run, "hi long, bits array<long>").dropDuplicates(["hi"])
+    return sets.select("hi", "lo", "elements").mapInPandas(run, "hi long, lo long, bits array<long>").select(F.struct("hi", "lo").alias("key"), "bits")
 
 
 def possible(a: str, b: str) -> Column:
@@ -305,11 +339,6 @@ def possible(a: str, b: str) -> Column:
     return sizes & (equal >= x("parts") - F.floor((x("size") + y("size")) / 7))
 
 
-def narrow(df: DataFrame, limit: int) -> DataFrame:
-    """df, marked for broadcasting if it has no more than `limit` rows; joined by shuffling otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(hi, lo, rep, n, elements) of the classes in wanted(rep, hi, lo)."""
 
@@ -327,70 +356,107 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): class representatives of the pairs(a, b) of hi's whose sets are similar enough."""
-    side = lambda x: sets.select(F.col("hi").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "elements")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b")
+    """(u, v): nodes - (rep, hi, lo) - of the pairs(a, b) of classes whose sets are similar enough."""
+
+    def side(x: str) -> DataFrame:
+        return sets.select(F.struct("hi", "lo").alias(x), F.struct("rep", "hi", "lo").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("elements").alias(f"elements_{x}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("elements_a", "elements_b"))
     linked = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return linked.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+    return linked.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
-MEMBER = ("hi", "parts", "size", "filled", "length", "place")
+MEMBER = ("key", "parts", "size", "filled", "length", "place")
 
 
 def paired(met: DataFrame) -> DataFrame:
     """(a, b), a < b: of rows with members x and y, those that can be linked."""
-    ordered = met.where("x.hi <> y.hi").where(possible("x", "y"))
-    return ordered.select(F.least("x.hi", "y.hi").alias("a"), F.greatest("x.hi", "y.hi").alias("b")).distinct()
+    ordered = met.where("x.key <> y.key").where(possible("x", "y"))
+    return ordered.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def star_pairs(prefix: DataFrame) -> DataFrame:
     """In every part, each class with the one that has most in common with others and with the first one by key."""
     member = prefix.select("sig", F.struct(*MEMBER).alias("x"))
-    hubs = member.groupBy("sig").agg(F.min_by("x", F.struct("x.place", "x.hi")).alias("y"), F.min_by("x", "x.hi").alias("z"))
+    hubs = member.groupBy("sig").agg(F.min_by("x", F.struct("x.place", "x.key")).alias("y"), F.min_by("x", "x.key").alias("z"))
     met = member.join(hubs, "sig")
     return paired(met.select("x", F.explode(F.array("y", "z")).alias("y")))
 
 
-def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, bits: DataFrame) -> DataFrame:
+def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, bits: DataFrame, cell: int = 2000) -> DataFrame:
     """Untested pairs of one part but different components. In each part, classes outside its largest
     component meet all others: members of one component never meet, nor do classes whose sketches
-    are further apart than linked ones can be."""
-    known = prefix.join(component, "hi").select("sig", "component", F.struct(*MEMBER).alias("x"))
+    are further apart than linked ones can be. The classes of a large part are dealt to cells, each of
+    which the others meet in a group of its own."""
+    known = prefix.join(component, "key").select("sig", "component", F.struct(*MEMBER).alias("x"))
     sizes = known.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed = materialize(known.join(major, "sig").join(bits, F.col("x.hi") == bits["hi"]).drop("hi"))
-    few = mixed.where("component <> major").select(F.col("sig").alias("part"), "x", F.col("component").alias("other"), F.col("bits").alias("bits_x"))
-    many = mixed.select("sig", "component", F.col("x").alias("y"), F.col("bits").alias("bits_y"))
+    major = sizes.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds"), F.ceil(F.sum("n") / cell).cast("int").alias("cells")).where("kinds > 1").drop("kinds")
+    mixed = materialize(known.join(major, "sig").join(bits, F.col("x.key") == bits["key"]).drop("key"))
+    few = mixed.where("component <> major").select(F.col("sig").alias("part"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("at"), "x", F.col("component").alias("other"), F.col("bits").alias("bits_x"))
+    many = mixed.select("sig", F.pmod(F.xxhash64("x.key"), F.col("cells")).cast("int").alias("cell"), "component", F.col("x").alias("y"), F.col("bits").alias("bits_y"))
     # sketches of different lengths are compared no further
     differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
     apart = (F.size("bits_x") == F.size("bits_y")) & (differ > F.floor((F.col("x.size") + F.col("y.size")) / 7))
-    met = few.join(many, (F.col("part") == F.col("sig")) & (F.col("other") != F.col("component")) & possible("x", "y") & ~apart)
+    met = few.join(many, (F.col("part") == F.col("sig")) & (F.col("at") == F.col("cell")) & (F.col("other") != F.col("component")) & possible("x", "y") & ~apart)
     return paired(met.select("x", "y")).join(tested, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, elements_per_range: int = 3_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; percent must be 75 or more."""
+def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 200_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """docs(row.., text) with n_shingles, its class hi, lo, and component: the smallest (rep, hi, lo) of the classes
+    that links reach, rep being a class's smallest doc_id. Empty sets have no class and no component."""
     if percent < 75:
         raise ValueError("the sketches' bounds hold from 75 percent on")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select("doc_id", "text")
     keys = materialize(classes(docs))
     filled = keys.where("n_shingles > 0")
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     reps = filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    ranges = min(1 << 15, max(64, -(-total // elements_per_range)))
-    close = materialize(candidates(shared_parts(docs, ranges)))
+    close = materialize(candidates(shared_parts(texts, max(1, -(-total // elements_per_range)))))
     prefix = materialize(prefixes(close))
-    wanted = materialize(reps.where("rep is not null").join(prefix.select("hi").distinct(), "hi", "left_semi"))
-    sets = materialize(sets_of(docs, narrow(wanted, broadcast_rows)))
+    release(close)
+    used = prefix.select("key.hi", "key.lo").distinct()
+    wanted = materialize(reps.where("rep is not null").join(used, ["hi", "lo"], "left_semi"))
+    sets = materialize(sets_of(texts, narrow(wanted, broadcast_rows)))
     stars = materialize(star_pairs(prefix))
     links = materialize(verified(stars, sets, percent))
     label = components(links)
-    found = sets.select("hi", F.col("rep").alias("node")).join(label, "node", "left").select("hi", F.coalesce("component", "node").alias("component"))
-    crossing = materialize(crossing_pairs(prefix, materialize(found), stars, bit_sketches(sets)))
+    node = F.struct("rep", "hi", "lo")
+    found = materialize(sets.select(node.alias("node")).join(label, "node", "left").select(F.struct("node.hi", "node.lo").alias("key"), F.coalesce("component", "node").alias("component")))
+    crossing = materialize(crossing_pairs(prefix, found, stars, bit_sketches(sets)))
     more = materialize(verified(crossing, sets, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    joined = filled.join(named, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
-    return joined.unionByName(keys.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    release(prefix, wanted, sets, stars, found, crossing, links, more)
+    named = reps.withColumn("node", node).join(label, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
+    none = F.lit(None).cast(named.schema["component"].dataType).alias("component")
+    return filled.join(named, ["hi", "lo"]).select(*keys.columns, "component").unionByName(keys.where("n_shingles = 0").select("*", none))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, **params) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs; percent must be 75 or more."""
+    found = labelled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), percent, **params)
+    return found.select("doc_id", "n_shingles", F.coalesce("component.rep", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of docs, all columns as they came, of which near-duplicate links, or equality, connect no two: of
+    each component the row with the smallest id stays (null ids last, then by the text's hash); of rows that
+    share id and text any one. Rows without words link with nothing and stay, equal ones of them too."""
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    rows = materialize(labelled(slim, percent).where("n_shingles > 0").select("doc_id", "text_hash", F.col("component").alias("group")))
+    firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
+    known = rows.distinct().join(firsts, "group").select("doc_id", "text_hash", (place != F.col("first")).alias("later"))
+    counted = rows.groupBy("doc_id", "text_hash").agg((F.count("*") > 1).alias("repeated"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
+    marked = known.alias("d").join(counted.alias("c"), same).select(F.col("d.doc_id").alias("row_id"), F.col("d.text_hash").alias("row_hash"), "later", "repeated")
+    marked = materialize(marked.where("later or repeated").distinct())
+    release(rows)
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    joined = row.join(narrow(marked, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")), "left")
+    once = joined.where(~F.coalesce("later", F.lit(False)))
+    single = once.where(~F.coalesce("repeated", F.lit(False))).select("row.*")
+    # few: only rows that share id and text are gathered to choose one
+    return single.unionByName(once.where("repeated").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
