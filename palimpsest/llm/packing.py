@@ -14,6 +14,11 @@ sequences at one offset. Ranks are dealt by Spark: a count for each (length, sal
 those counts, and a row number inside each (length, salt), so that no length - full pieces
 may be most of the corpus - ends in one task.
 
+Ids are those of the vocabulary's JSON file. Texts are read by the faster of two libraries, from the
+same vocabulary as ranks; a text that it refuses, such as one with a run of a million spaces before
+another character, is read from the JSON file itself, with the same ids. A text is tokenised whole,
+whatever its length: a task holds its ids, four bytes each in the end, one text at a time.
+
 Edge cases: a null text is read as empty and gives one piece that holds the end id alone; rows that
 share a doc_id are packed one by one; an empty table gives an empty result; ties in a rank are
 broken by doc_id, piece and checksum, rows equal in all of these are interchangeable.
@@ -24,7 +29,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,15 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import map_rows, materialize
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE as ranks (the file of the fast reader) and its special tokens."""
+    """A byte-level BPE as ranks (the file of the fast reader), its special tokens, and its JSON file."""
 
+    json_path: str
     ranks_path: str
     pattern: str
     special: tuple[tuple[str, int], ...]
@@ -49,7 +55,7 @@ class Vocabulary:
     def public() -> Vocabulary:
         import public_tokenizers as p
 
-        return Vocabulary(p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),))
+        return Vocabulary(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),))
 
     def encoding(self):
         import tiktoken
@@ -58,6 +64,22 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return tiktoken.Encoding("byte_bpe", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=dict(self.special))
 
+    def encoder(self) -> Callable[[str], list[int]]:
+        """Ids of a text: by the fast reader, or by the JSON file where that one gives up."""
+        fast, whole = self.encoding(), []
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern's stack is full, or a lone surrogate
+                if not whole:
+                    from tokenizers import Tokenizer
+
+                    whole.append(Tokenizer.from_file(self.json_path))
+                return whole[0].encode(text, add_special_tokens=False).ids
+
+        return encode
+
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, the first of which may be shorter."""
@@ -69,16 +91,16 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: V
     vocabulary = vocabulary or Vocabulary.public()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = vocabulary.encoding()
+        encode = vocabulary.encoder()
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*encoding.encode(text or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*encode(text or ""), end_id], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECES)
+    return map_rows(docs, ["doc_id"], [F.col("text").cast("string")], run, PIECE)
 
 
 # --- planning, on the histogram alone -------------------------------------------------------------
@@ -232,4 +254,4 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, rows_per_salt:
             yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked(cut_pieces, salts).select(*columns, "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return map_rows(ranked(cut_pieces, salts), ["doc_id"], [*columns[1:], "rank"], place, f"{PIECE}, sequence_id long, offset long")
