@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import hash_fraction
+from palimpsest.llm.common import hash_fraction, map_rows
 
 # The base detectors.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -66,11 +66,16 @@ def bigrams(run: str) -> np.ndarray:
 
 
 def free_runs(text: str, spans: list[tuple[int, int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """Runs of key characters that no span touches; both are walked once, in the order of the text."""
+    ordered, at, covered = sorted((s, e) for s, _, e in spans), 0, 0  # covered: where the spans before `at` end
     for m in RUN.finditer(text):
         a, b = m.start(), m.end()
         while b > a and text[b - 1] in ".=-":  # sentence ends aren't part of a key
             b -= 1
-        if b - a >= least and not any(s < b and a < e for s, _, e in spans):
+        while at < len(ordered) and ordered[at][0] < b:
+            covered = max(covered, ordered[at][1])
+            at += 1
+        if b - a >= least and covered <= a:
             yield a, b
 
 
@@ -144,4 +149,4 @@ def scan(docs: DataFrame, least: int = 20, total: float = 15.0, mean: float = 0.
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return map_rows(docs, ["doc_id"], [F.col("text").cast("string")], run, "n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
