@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams per language come from a hash sample of about
-`max_train_per_lang` labelled documents outside the held-out fold; the matrix of log
-probabilities (languages x buckets) is broadcast, and whole texts are scored in numpy, batches of
-texts at a time, by gathering that matrix at the texts' n-gram buckets.
+`max_train_per_lang` labelled documents outside the held-out fold, of the `max_langs` languages with
+most of them; the matrix of log probabilities (languages x buckets, at most 64 MB) is broadcast, and
+whole texts are scored in numpy, batches of texts at a time, by gathering that matrix at the texts'
+n-gram buckets. A very long text is read in windows, in which every n-gram counts once.
 
 Edge cases: a null text, or one without any letter, is `und` with score 0; a null doc_id is never
 learned from; an empty table, or one without labelled rows, predicts `und` throughout; ties go to
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, hash_fraction, held_out
+from palimpsest.llm.common import fold, hash_fraction, held_out, map_rows
 
 LETTER = re.compile(r"[^\W\d_]")
 ORDERS = 3
@@ -41,16 +42,17 @@ def prepared(text: str) -> np.ndarray:
     return np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
 
 
-def pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Windows that overlap by two characters, so that no n-gram is lost (the shorter ones at a seam count twice)."""
+def pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Windows that overlap by two characters, so that no n-gram is lost, and how many characters of each were
+    in the one before: n-grams that end among those are counted there."""
     for at in range(0, max(len(codes) - ORDERS + 1, 1), CHUNK):
-        yield codes[at : at + CHUNK + ORDERS - 1]
+        yield codes[at : at + CHUNK + ORDERS - 1], (ORDERS - 1 if at else 0)
 
 
-def learn(docs: DataFrame, max_train_per_lang: int = 4000, bits: int = 14, smoothing: float = 0.1, seed: int = 23) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, max_train_per_lang: int = 4000, max_langs: int = 1000, bits: int = 14, smoothing: float = 0.1, seed: int = 23) -> tuple[list[str], np.ndarray]:
     """Language names, sorted, and their float32 log-probability matrix; reaches the driver: languages x 2^bits sums."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 1 << bits), np.float32)
@@ -63,9 +65,9 @@ def learn(docs: DataFrame, max_train_per_lang: int = 4000, bits: int = 14, smoot
         tally = np.zeros((len(langs), 1 << bits), np.int64)
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
-                for piece in pieces(prepared(text)):
+                for piece, seen in pieces(prepared(text)):
                     for order in range(1, ORDERS + 1):
-                        tally[place[lang]] += np.bincount(buckets(piece, order, bits), minlength=1 << bits)
+                        tally[place[lang]] += np.bincount(buckets(piece, order, bits)[max(seen - order + 1, 0) :], minlength=1 << bits)
         row, bucket = np.nonzero(tally)
         yield pd.DataFrame({"lang": row, "bucket": bucket, "n": tally[row, bucket]})
 
@@ -81,25 +83,27 @@ def posterior(texts: list[str], matrix: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros((len(texts), len(matrix)))
     group: list[np.ndarray] = []
     owners: list[int] = []
+    skips: list[int] = []
 
     def flush() -> None:
         codes = np.concatenate(group)
         ends = np.cumsum([len(g) for g in group])
         for order in range(1, ORDERS + 1):
             b = buckets(codes, order, bits)
-            starts = np.concatenate([[0], ends[:-1]])
+            starts = np.concatenate([[0], ends[:-1]]) + np.maximum(np.array(skips) - order + 1, 0)
             last = np.minimum(ends - order + 1, len(b))  # n-grams across two texts count for neither
             for i, row in enumerate(matrix):
                 total = np.concatenate([[0.0], np.cumsum(row[b], dtype=np.float64)])
                 np.add.at(out[:, i], owners, total[np.maximum(last, starts)] - total[starts])
-        group.clear()
-        owners.clear()
+        for done in (group, owners, skips):
+            done.clear()
 
     size = 0
     for i, text in enumerate(texts):
-        for piece in pieces(prepared(text)):
+        for piece, seen in pieces(prepared(text)):
             group.append(piece)
             owners.append(i)
+            skips.append(seen)
             size += len(piece)
             if size >= CHUNK:
                 flush()
@@ -127,5 +131,5 @@ def identify(docs: DataFrame, bits: int = 14, **training) -> DataFrame:
                 lang[read] = np.array(langs, object)[best]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score})
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    found = map_rows(docs, ["doc_id"], [F.col("text").cast("string")], run, "lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
