@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers are composed into one automaton that reads the words of a clause: an
-insult lexicon (learned from labels), threats, targets, negation and reported speech. What is
-scored is the matched clause: a negated or reported insult counts for less than one that is
-aimed at somebody. A logistic curve, fitted on the same labelled sample, maps a document's
+Five small transducers are composed into one automaton that reads a clause: insults (runs of words
+that a lexicon, learned from labels, gives a weight), threats, negation, reported speech and targets.
+Their function words - targets, negations, verbs of saying and of harm - are fixed lists; a word's
+symbol is looked up, everything else is in the transducers' states. What is scored is the matched
+clause: a negated or reported insult counts for less than one that is aimed at somebody, and an
+insult that follows another one at once for half. A logistic curve, fitted on the same labelled sample, maps a document's
 clause scores to a probability.
 
 Learning reads a sample of labelled rows of at most about `max_per_class` per label (drawn by
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACES, fold, hash_fraction, held_out, let, materialize
+from palimpsest.llm.common import SPACES, fold, hash_fraction, held_out, let, map_rows, materialize, narrow
 
 # Function words of the grammar in English, German, French and Spanish.
 TARGETS = frozenset("you your you're yourself he she they him her them du dich dir ihr euch sie tu toi vous te vos usted tú ti vosotros ustedes".split())
@@ -43,6 +45,7 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 # Symbols that the lexical step gives to words; the last three are made by composition.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, QUOTED = range(8)
+MATCHED = (INSULT, THREAT, DENIED, QUOTED)
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,14 @@ def _identity_row(state: int) -> list[tuple[int, int, float]]:
     return [(state, symbol, 1.0) for symbol in range(8)]
 
 
+def insulting(again: float = 0.5) -> Transducer:
+    """An insult; the next word, if it is one too, belongs to the same run and weighs `again`."""
+    fresh, running = _identity_row(0), _identity_row(0)
+    fresh[INSULT] = (1, INSULT, 1.0)
+    running[INSULT] = (1, INSULT, again)
+    return Transducer((tuple(fresh), tuple(running)))
+
+
 def negation(span: int = 3, weight: float = 0.3) -> Transducer:
     """For `span` words after a negation, insults and threats are denied."""
     rows = []
@@ -111,7 +122,7 @@ def targeted(bonus: float = 1.5) -> Transducer:
     return Transducer((tuple(free), tuple(aimed)))
 
 
-GRAMMAR = threatening().then(negation()).then(reported()).then(targeted())
+GRAMMAR = insulting().then(threatening()).then(negation()).then(reported()).then(targeted())
 #: What a threat weighs, in units of a learned word's log odds.
 THREAT_VALUE = 3.0
 
@@ -147,7 +158,7 @@ class Model:
         for word in words:
             symbol, value = self.lookup(word)
             state, out, weight = GRAMMAR.step[state][symbol]
-            if out in (INSULT, THREAT, DENIED, QUOTED):
+            if out in MATCHED:
                 total += weight * (value if symbol == INSULT else THREAT_VALUE)
         return total
 
@@ -189,8 +200,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int, seed: int) -
     for label, n in sizes.items():
         keep = keep | ((F.col("toxic") == label) & hash_fraction(F.col("doc_id"), min(1.0, max_per_class / n), seed))
     chosen = known.where(keep)
-    # `chosen` holds ids of a hash sample, about 2 x max_per_class rows at most: small enough to broadcast
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # `chosen` holds ids of a hash sample, about 2 x max_per_class rows
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(narrow(chosen, 4 * max_per_class), "doc_id")
     # copies and near copies of one text would make its rare words look like a pattern: one row of
     # those with the same smallest hash of three words stays
     smallest = let(F.split("text", SPACES), lambda ws: F.array_min(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))))
@@ -272,7 +283,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([model.features(f) for f in found]).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.probability(x), "clauses": [len(f) for f in found], "top_clause_start": [max(f, key=lambda v: (v[1], -v[0]))[0] if f else -1 for f in found]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, clauses int, top_clause_start int")
+    return map_rows(docs, ["doc_id"], [F.col("text").cast("string")], run, "score double, clauses int, top_clause_start int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
