@@ -3,7 +3,8 @@
 A token budget flows down a domain - language - source tree. Among siblings it is dealt in
 proportion to their weights, but no node gets more than its leaves can give (their tokens times the
 epochs allowed); what a node cannot use goes to its siblings first, in proportion to their
-weights, and only when all of them are full to the parent's siblings. Each leaf then takes a prefix of its
+weights, and only when all of them are full to the parent's siblings. Weights belong to a node's
+path, so that a source may have different ones below two languages; a node without one weighs 1. Each leaf then takes a prefix of its
 seeded epochs: epoch e is the leaf's documents in the order of md5(seed:e:doc_id), and epochs
 follow each other until the leaf's budget is reached.
 
@@ -20,6 +21,7 @@ at all; a leaf without tokens has no budget to spend, and none of its documents
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import SPACES, materialize
 
 LEVELS = ("domain", "lang", "source")
+#: The registered target weights, by path down the tree.
+WEIGHTS: dict[tuple[str, ...], int] = {
+    ("d0",): 3, ("d1",): 2, ("d3",): 5,
+    ("d0", "en"): 4, ("d0", "de"): 2, ("d1", "en"): 1, ("d1", "fr"): 3, ("d2", "es"): 2, ("d3", "en"): 2, ("d3", "de"): 3,
+    ("d0", "en", "src0"): 3, ("d0", "en", "src4"): 1, ("d0", "de", "src4"): 5, ("d1", "fr", "src1"): 2, ("d2", "es", "src2"): 4, ("d3", "de", "src7"): 2,
+}
 WHOLE = "decimal(38,0)"
 
 
@@ -58,14 +66,18 @@ def water_fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return totals.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(part).cast(WHOLE)).drop("w_all", "w_before", "c_before", "full", "c_full", "w_full", "pool")
 
 
-def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
-    """leaves(domain, lang, source, tokens) with `budget`; weights: by level and name, 1 where none is given."""
+Weights = dict[tuple[str, ...], int]
+
+
+def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, weights: Weights | None = None) -> DataFrame:
+    """leaves(domain, lang, source, tokens) with `budget`; weights: by path, 1 where none is given."""
     levels = list(LEVELS)
     parents: DataFrame | None = None
     for depth, level in enumerate(levels):
         path = levels[: depth + 1]
-        given = (weights or {}).get(level, {})
-        weight = reduce(lambda c, kv: F.when(F.col(level) == kv[0], kv[1]).otherwise(c), given.items(), F.lit(1))
+        given = {names: w for names, w in (weights or {}).items() if len(names) == depth + 1}
+        here = lambda names, path=path: reduce(and_, [F.col(c) == name for c, name in zip(path, names, strict=True)])
+        weight = reduce(lambda c, kv, here=here: F.when(here(kv[0]), kv[1]).otherwise(c), given.items(), F.lit(1))
         nodes = leaves.groupBy(*path).agg((F.sum("tokens") * epochs).cast(WHOLE).alias("cap")).withColumn("weight", weight.cast(WHOLE))
         if parents is None:
             total = F.sum("cap").over(Window.partitionBy())
@@ -77,7 +89,7 @@ def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, weights: dict[s
     return leaves.join(parents.withColumnRenamed("pool", "budget"), levels)
 
 
-def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 7, domain_of: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: Weights | None = None, seed: int = 7, domain_of: Column | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, copies) of the documents taken: copies counts the epochs
     in which a document is in its leaf's prefix. The budget is share x all tokens, in thousandths."""
     levels = list(LEVELS)
@@ -108,25 +120,31 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[str,
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """Rows of docs, each as often as the mixture takes it."""
-    taken = mix(docs, **params).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mix(docs, **params).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"))
+    joined = rows.join(taken, F.col("row_id").eqNullSafe(F.col("taken_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
 
+def oracle(share_thousandths: int = 500, epochs: int = 2, seed: int = 7, weights: Weights | None = None) -> str:
+    def weight(depth: int) -> str:
+        given = [(names, w) for names, w in (weights or {}).items() if len(names) == depth]
+        whens = " ".join(f"WHEN {' AND '.join(f'{c} = {chr(39)}{name}{chr(39)}' for c, name in zip(LEVELS, names))} THEN {w}" for names, w in given)
+        return f"CASE {whens} ELSE 1 END" if given else "1"
 
-def oracle(share_thousandths: int = 500, epochs: int = 2, seed: int = 7) -> str:
     def fill(path: list[str], parent: str, before: str) -> str:
         on = ", ".join(path[:-1])
         by = f"PARTITION BY {on}" if on else ""
         pool = f"SELECT n.*, p.budget AS pool FROM nodes_{len(path)} n JOIN {parent} p USING ({on})" if on else f"SELECT n.*, (t.total * {share_thousandths}) // 1000 AS pool FROM nodes_1 n, {parent} t"
+        order = f"({by} ORDER BY cap / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         return f"""
-a{len(path)} AS (SELECT *, count(*) OVER ({by}) AS w_all, coalesce(row_number() OVER ({by} ORDER BY cap, {path[-1]}) - 1, 0) AS w_before,
-  coalesce(sum(cap) OVER ({by} ORDER BY cap, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before FROM ({pool})),
-b{len(path)} AS (SELECT *, pool - c_before > 0 AND cap * (w_all - w_before) <= pool - c_before AS filled FROM a{len(path)}),
-c{len(path)} AS (SELECT *, coalesce(sum(cap) FILTER (WHERE filled) OVER ({by}), 0) AS c_full, count(*) FILTER (WHERE filled) OVER ({by}) AS w_full FROM b{len(path)}),
-budget_{len(path)} AS (SELECT {", ".join(path)}, cap, CASE WHEN filled THEN cap ELSE greatest(pool - c_full, 0) // (w_all - w_full) END AS budget FROM c{len(path)})"""
+a{len(path)} AS (SELECT *, sum(weight) OVER ({by}) AS w_all, coalesce(sum(weight) OVER {order}, 0) AS w_before, coalesce(sum(cap) OVER {order}, 0) AS c_before FROM ({pool})),
+b{len(path)} AS (SELECT *, pool - c_before > 0 AND cap * (w_all - w_before) <= weight * (pool - c_before) AS filled FROM a{len(path)}),
+c{len(path)} AS (SELECT *, coalesce(sum(cap) FILTER (WHERE filled) OVER ({by}), 0) AS c_full, coalesce(sum(weight) FILTER (WHERE filled) OVER ({by}), 0) AS w_full FROM b{len(path)}),
+budget_{len(path)} AS (SELECT {", ".join(path)}, cap, CASE WHEN filled THEN cap ELSE weight * greatest(pool - c_full, 0) // (w_all - w_full) END AS budget FROM c{len(path)})"""
 
     levels = list(LEVELS)
-    nodes = ",\n".join(f"nodes_{k} AS (SELECT {', '.join(levels[:k])}, sum(tokens) * {epochs} AS cap FROM rows GROUP BY ALL)" for k in (1, 2, 3))
+    nodes = ",\n".join(f"nodes_{k} AS (SELECT {', '.join(levels[:k])}, sum(tokens) * {epochs} AS cap, {weight(k)} AS weight FROM rows GROUP BY ALL)" for k in (1, 2, 3))
     return f"""
 WITH rows AS (
   SELECT doc_id, coalesce('d' || (ascii(right(source, 1)) % 4), '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
@@ -145,4 +163,4 @@ FROM run WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 """
 
 
-ORACLE = oracle()
+ORACLE = oracle(weights=WEIGHTS)

@@ -23,7 +23,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), weights=mixing.WEIGHTS)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
