@@ -13,7 +13,8 @@ is split by adaptive skew handling.
 Edge cases: a null text stays null, an empty one empty; texts of fewer than three lines with a word
 stay as they are; rows that are equal in doc_id and text count as one document, whose windows
 occur once (all copies of the row stay alike); a null doc_id sorts first and is told apart by the
-text; an empty table gives an empty result; columns other than doc_id and text pass through.
+text; an empty table gives an empty result; columns other than doc_id and text pass through, whatever
+their names (n_lines and n_removed alone are replaced); a text of any length is one row's array of lines.
 """
 
 from __future__ import annotations
@@ -65,17 +66,19 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the text of every row cut, and n_lines, n_removed: its lines, and those removed."""
-    covered = covered_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("covered").alias("_covered"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    covered = covered_lines(docs)
+    # the row travels as one struct, so that its columns' names meet no other
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("text").alias("old"), F.xxhash64("text").alias("row_hash"))
+    joined = rows.join(covered, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
 
     def cut(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
         return F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
 
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    text = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), cut))
-    out = joined.withColumns({"n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"), "_new": text})
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.length("old") - F.length(F.replace("old", F.lit("\n"), F.lit(""))) + 1)
+    text = F.when(F.col("covered").isNull(), F.col("old")).otherwise(let(F.split("old", "\n"), cut))
+    kept = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return joined.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 ORACLE = r"""
