@@ -2,11 +2,19 @@
 
 The base rule fails short texts and texts that repeat themselves. For the others a vector of five
 transformed statistics is compared with its language and source: location and covariance come from
-the minimum-covariance-determinant iteration (concentration steps on three quarters of the group's
-documents, started from medians and median deviations, with a ridge on the covariance), and a
-document is rejected if its squared Mahalanobis distance is beyond `cut` on the chi-square scale.
-Where a language and source has fewer than `least` such documents, they are compared with their
-language over all sources, and where that has too few, with the whole table, by the same steps.
+the minimum-covariance-determinant iteration, and a document is rejected if its squared Mahalanobis
+distance is beyond `cut` on the chi-square scale. The iteration has two deterministic starts: medians
+with median deviations, and the covariance of the standardised statistics' hyperbolic tangents. Either
+takes two concentration steps (the mean and covariance of the nearest three quarters of the group's
+documents, with a ridge); the one with the smaller determinant goes on until no group's chosen set
+changes, or for `steps` steps at most. Where a language and source has fewer than `least` such
+documents, they are compared with their language over all sources, and where that has too few, with
+the whole table, by the same steps: every document that passes the base rule is judged.
+
+On five normal statistics a cut of 100 (ten robust deviations) rejects nothing, one of 20.5 a row in a
+thousand. Measured on the 8,884 of 10,000 test documents that pass the base rule: a cut of 20.5 rejects
+10.1 %, 50 rejects 8.0 %, 100 rejects 7.65 %, as does 150. At 100 these are all 291 that are labelled
+junk and none of the 3,243 labelled clean.
 
 Only DataFrame operations. Texts are read once; what is written and iterated on are a few integers
 per document. Vectors are whole numbers (32nds of a robust deviation), and quantiles are read from
@@ -29,6 +37,7 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 SOURCE, LANGUAGE, ALL = 0, 1, 2  # g_level: what an estimate covers; the columns that it spans are empty
 GROUP = ("g_level", "g_lang", "g_source")
+START = (*GROUP, "start")  # an estimate's key: its group and the start that it comes from
 UNIT = 32  # vector units in a robust deviation
 RAW_UNIT = 64  # feature units in a feature's own scale
 #: Least deviation of each feature, in its own scale: keeps a feature that hardly varies from deciding alone.
@@ -133,63 +142,91 @@ def standardised(rows: DataFrame, scale: DataFrame) -> DataFrame:
     return rows.join(scale, list(GROUP), "left").withColumns(z).drop(*[f"m{j}" for j in range(5)], *[f"d{j}" for j in range(5)])
 
 
-def first_estimate(scale: DataFrame) -> DataFrame:
-    """Location 0, covariance 1: distances in the first step are robust deviations from the medians."""
-    unit = {f"c{j}": F.lit(0.0) for j in range(5)} | {f"v{j}": F.lit(1.0) for j in range(5)} | {f"l{j}{k}": F.lit(0.0) for j in range(5) for k in range(j)} | {"scale": F.lit(1.0)}
-    return scale.select(*GROUP, *[c.alias(n) for n, c in unit.items()])
+DIMS = range(5)
+PAIRS = [(j, k) for j in DIMS for k in range(j + 1)]
+ESTIMATE = (*[f"c{j}" for j in DIMS], *[f"v{j}" for j in DIMS], *[f"l{j}{k}" for j, k in PAIRS if j != k], "scale")
+SUMS = (*[f"s{j}" for j in DIMS], *[f"s{j}{k}" for j, k in PAIRS])
 
 
-def distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution through the covariance's L V L' factors."""
-    y: list[Column] = []
-    for j in range(5):
-        value = F.col(f"z{j}") / F.lit(float(UNIT)) - F.col(f"c{j}")
-        for k in range(j):
-            value = value - F.col(f"l{j}{k}") * F.col(f"y{k}")
-        y.append(value)
-    return y
+def moments(x: list[str]) -> list[Column]:
+    """n, and the sums of whole numbers and of their products, exact in any order."""
+    sums = [f"sum(bigint({x[j]})) AS s{j}" for j in DIMS] + [f"sum(bigint({x[j]}) * {x[k]}) AS s{j}{k}" for j, k in PAIRS]
+    return [F.expr(e) for e in ["count(*) AS n", *sums]]
+
+
+def factors(unit: int, ridge: float) -> list[str]:
+    """From n and moments, each by the ones before it: the location c., the ridged covariance a.., in robust
+    deviations, and its L V L' factors l.., v., column by column."""
+    out = [f"s{j} / n / {unit}D AS c{j}" for j in DIMS]
+    out += [f"(s{j}{k} / n / {unit * unit}D - c{j} * c{k}) * {1 - ridge}D + {ridge if j == k else 0.0}D AS a{j}{k}" for j, k in PAIRS]
+    for j in DIMS:
+        less = lambda i, j=j: "".join(f" - l{i}{k} * l{j}{k} * v{k}" for k in range(j))
+        out += [f"a{j}{j}{less(j)} AS v{j}", *[f"(a{i}{j}{less(i)}) / v{j} AS l{i}{j}" for i in range(j + 1, 5)]]
+    return out
+
+
+def first_estimates(z: DataFrame, scale: DataFrame, ridge: float) -> DataFrame:
+    """Start 0: location 0, covariance 1, so that distances are robust deviations from the medians. Start 1: the
+    covariance of tanh(z), in which far values count for little, around 0."""
+    plain = ["0 AS start", *[f"double({c[0] in 'vs'}) AS {c}" for c in ESTIMATE]]
+    bent = [f"round(1024 * tanh(z{j} / {UNIT}D))" for j in DIMS]
+    tanh = z.groupBy(*GROUP).agg(*moments(bent)).selectExpr("*", *factors(1024, ridge))
+    tanh = tanh.selectExpr(*GROUP, "1 AS start", *[f"double({ {'c': '0', 's': '1'}.get(c[0], c) }) AS {c}" for c in ESTIMATE])
+    return materialize(scale.selectExpr(*GROUP, *plain).unionByName(tanh))
 
 
 def with_distance(z: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = z.join(estimate, list(GROUP), "left")
-    for j, value in enumerate(distance()):
-        out = out.withColumn(f"y{j}", value)
-    total = sum((F.col(f"y{j}") * F.col(f"y{j}") / F.col(f"v{j}") for j in range(5)), F.lit(0.0))
-    return out.withColumn("d2", total / F.col("scale")).drop(*[f"y{j}" for j in range(5)])
-
-
-def concentrate(z: DataFrame, estimate: DataFrame, ridge: float = 0.1) -> DataFrame:
-    """One concentration step: the mean and covariance of the nearest three quarters of each group."""
-    moments = {f"s{j}": F.col(f"z{j}").cast("long") for j in range(5)} | {f"s{j}{k}": (F.col(f"z{j}") * F.col(f"z{k}")).cast("long") for j in range(5) for k in range(j + 1)}
-    bins = (
-        with_distance(z, estimate)
-        .where(F.col("d2").isNotNull())
-        .withColumn("bin", F.floor(32 * F.log2(1 + F.col("d2"))).cast("int"))
-        .groupBy(*GROUP, "bin")
-        .agg(F.count("*").alias("n"), *[F.sum(v).alias(s) for s, v in moments.items()])
-    )
-    by = Window.partitionBy(*GROUP)
-    known = bins.withColumns({"before": F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(by)})
-    near = known.where("4 * before < 3 * all").groupBy(*GROUP).agg(F.sum("n").alias("n"), F.max("bin").alias("bin"), *[F.sum(s).alias(s) for s in moments])
-    out = near.withColumns({f"c{j}": F.col(f"s{j}") / F.col("n") / UNIT for j in range(5)})
-    cov = {(j, k): F.col(f"s{j}{k}") / F.col("n") / (UNIT * UNIT) - F.col(f"c{j}") * F.col(f"c{k}") for j in range(5) for k in range(j + 1)}
-    out = out.withColumns({f"a{j}{k}": v * (1 - ridge) + (ridge if j == k else 0.0) for (j, k), v in cov.items()})
-    for j in range(5):  # L V L' factors, column by column
-        out = out.withColumn(f"v{j}", F.col(f"a{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") * F.col(f"v{k}") for k in range(j)), F.lit(0.0)))
-        out = out.withColumns({f"l{i}{j}": (F.col(f"a{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"v{k}") for k in range(j)), F.lit(0.0))) / F.col(f"v{j}") for i in range(j + 1, 5)}) if j < 4 else out
-    return materialize(out.select(*GROUP, *[f"c{j}" for j in range(5)], *[f"v{j}" for j in range(5)], *[f"l{j}{k}" for j in range(5) for k in range(j)], F.lit(1.0).alias("scale")))
+    """z with `d2`, the squared Mahalanobis distance by forward substitution through the covariance's factors."""
+    y = [f"z{j} / {UNIT}D - c{j}" + "".join(f" - l{j}{k} * y{k}" for k in range(j)) + f" AS y{j}" for j in DIMS]
+    total = " + ".join(f"y{j} * y{j} / v{j}" for j in DIMS)
+    kept = [*z.columns, *(c for c in ("start",) if c in estimate.columns)]
+    return z.join(estimate, list(GROUP), "left").selectExpr("*", *y, f"({total}) / scale AS d2").select(*kept, "d2")
+
+
+def concentrate(z: DataFrame, estimate: DataFrame, ridge: float) -> DataFrame:
+    """One concentration step: the mean and covariance of the nearest three quarters of each group. `chosen`
+    is a fingerprint of those rows."""
+    far = with_distance(z, estimate).where("d2 IS NOT NULL").withColumn("bin", F.expr("int(floor(32 * log2(1 + d2)))"))
+    bins = far.groupBy(*START, "bin").agg(*moments([f"z{j}" for j in DIMS]))
+    by = f"PARTITION BY {', '.join(START)}"
+    known = bins.selectExpr("*", f"coalesce(sum(n) OVER ({by} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before", f"sum(n) OVER ({by}) AS total")
+    near = known.where("4 * before < 3 * total").groupBy(*START).agg(*[F.sum(c).alias(c) for c in ("n", *SUMS)])
+    out = near.selectExpr("*", *factors(UNIT, ridge), "1D AS scale", f"xxhash64(n, {', '.join(SUMS)}) AS chosen")
+    return materialize(out.select(*START, *ESTIMATE, "chosen"))
+
+
+def smaller_determinant(estimate: DataFrame) -> DataFrame:
+    """Of a group's estimates the one with the smallest determinant; the first start if they are equal."""
+    det = F.round(sum((F.log(f"v{j}") for j in range(1, 5)), F.log("v0")), 9)
+    first = Window.partitionBy(*GROUP).orderBy(det, "start")
+    return materialize(estimate.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k"))
+
+
+def settled(z: DataFrame, scale: DataFrame, steps: int, ridge: float = 0.1) -> DataFrame:
+    """The estimate of every group, with `start`, the start it comes from."""
+    estimate = first_estimates(z, scale, ridge)
+    for _ in range(2):
+        estimate = concentrate(z, estimate, ridge)
+    estimate = smaller_determinant(estimate)
+    for _ in range(steps - 2):
+        new = concentrate(z, estimate, ridge)
+        moved = new.join(estimate.select(*GROUP, F.col("chosen").alias("old")), list(GROUP)).where("chosen <> old")
+        estimate, done = new, moved.isEmpty()
+        if done:
+            break
+    return estimate.drop("chosen")
 
 
 def consistent(z: DataFrame, estimate: DataFrame) -> DataFrame:
     """estimate with `scale`: brings the three-quarter quantile of the distances down to chi-square's (never up: floors already widen narrow groups)."""
-    bins = with_distance(z, estimate).where(F.col("d2").isNotNull()).groupBy(*GROUP, F.floor(32 * F.log2(1 + F.col("d2"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*GROUP)
-    known = bins.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
-    at = known.where("4 * upto >= 3 * all").groupBy(*GROUP).agg(((F.pow(F.lit(2.0), (F.min("bin") + 1) / F.lit(32.0)) - 1) / CHI2_75).alias("scale"))
-    return materialize(estimate.drop("scale").join(at.withColumn("scale", F.greatest("scale", F.lit(1.0))), list(GROUP)))
+    bins = with_distance(z, estimate).where("d2 IS NOT NULL").groupBy(*GROUP, F.expr("int(floor(32 * log2(1 + d2)))").alias("bin")).agg(F.count("*").alias("n"))
+    by = f"PARTITION BY {', '.join(GROUP)}"
+    known = bins.selectExpr("*", f"sum(n) OVER ({by} ORDER BY bin) AS upto", f"sum(n) OVER ({by}) AS total")
+    at = known.where("4 * upto >= 3 * total").groupBy(*GROUP).agg(F.expr(f"greatest((pow(2D, (min(bin) + 1) / 32D) - 1) / {CHI2_75}D, 1D)").alias("scale"))
+    return materialize(estimate.drop("scale").join(at, list(GROUP)))
 
 
-def quality(docs: DataFrame, least: int = 50, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
+def quality(docs: DataFrame, least: int = 50, steps: int = 12, cut: float = CHI2_CUT) -> DataFrame:
     """One row per row of docs: the statistics, base_failed, distance (null where there is no estimate) and kept."""
     rows = materialize(vectors(statistics(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")))))
     known = rows.join(levels(rows, least), ["g_lang", "g_source"])
@@ -197,10 +234,7 @@ def quality(docs: DataFrame, least: int = 50, steps: int = 3, cut: float = CHI2_
     good = at_level(good, F.col("level")).drop("level")
     scale = materialize(scales(good))
     z = materialize(standardised(good, scale).select(*GROUP, *[f"z{j}" for j in range(5)]))
-    estimate = first_estimate(scale)
-    for _ in range(steps):
-        estimate = concentrate(z, estimate)
-    estimate = consistent(z, estimate)
+    estimate = consistent(z, settled(z, scale, steps))
     judged = with_distance(standardised(at_level(known, F.col("own")), scale), estimate)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
