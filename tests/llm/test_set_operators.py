@@ -210,7 +210,7 @@ def test_mixing_takes_prefixes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     low, high = (mixing.mix(docs, share=s, epochs=3).toPandas().set_index("doc_id")["copies"] for s in (0.3, 1.5))
     assert all(high.get(i, 0) >= c for i, c in low.items()) and high.max() >= 2
-    weighted = mixing.mix(docs, share=0.3, weights={"lang": {"en": 5}}).toPandas()
+    weighted = mixing.mix(docs, share=0.3, weights={("d1",): 5}).toPandas()
     assert weighted["tokens"].sum() <= 0.3 * mixing.mix(docs, share=1.0, epochs=1).toPandas()["tokens"].sum()
 
 

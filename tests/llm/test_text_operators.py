@@ -179,7 +179,7 @@ def test_pii_replaces_consistently(spark):
 def test_pii_surrogates_stay_distinct(spark):
     from pyspark.sql import functions as F
 
-    found = spark.range(254).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 3, "0").alias("value")).where("id < 200")
+    found = spark.range(254).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 3, "0").alias("value"), F.lit(0).alias("sex"), "id").where("id < 200")
     table = pii.mapping(found, "k").collect()
     assert len({r["surrogate"] for r in table}) == 200
     assert not {r["surrogate"] for r in table} & {r["value"] for r in table}
