@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, linededup, mixing, packing, toxicity
-from palimpsest.llm.common import materialize, read
+from palimpsest.llm.common import materialize, read, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +29,16 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest id stays. Rows with a
-    null id stay."""
-    later = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    later = jaccard.narrow(materialize(later.distinct()), 2_000_000)
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that near-duplicate links connect, the row with the smallest id stays. Rows are told apart
+    by id and text, so that of rows that share an id each different text is judged by itself, and of equal
+    rows one stays; a null id comes last. Rows without words stay."""
+    return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of all tokens, dealt evenly down the domain - language - source tree, each document once at most."""
-    return mixing.mixed_documents(docs, share=0.9, epochs=1)
+    """Nine tenths of all tokens, dealt down the domain - language - source tree by mixing.WEIGHTS, each document
+    once at most; rows that share an id enter together or not at all."""
+    return mixing.mixed_documents(docs, share=0.9, epochs=1, weights=mixing.WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    written = []
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
+        if name == STAGES[-1][0]:
+            break
+        docs = materialize(docs)
+        release(*written)
+        written = [docs]
     return docs
