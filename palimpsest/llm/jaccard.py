@@ -54,9 +54,10 @@ GROWTH, SMALLEST, PARTS_PER_ELEMENT, LEAST_PARTS = 1.8, 8, 0.8, 64
 #: A sketch's owner in a packed block: set key, set size with the top bit for the next band up, parts that aren't empty.
 OWNER = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("filled", "<u4")])
 NEXT = 1 << 31
-RANGES_PER_TASK = 4
+#: Ranges of part hashes, at least: a small corpus is spread over the cluster too.
+LEAST_RANGES = 64
 #: Bits of a Hamming sketch for each element of a set, at least.
-BITS_PER_ELEMENT = 8
+BITS_PER_ELEMENT = 2
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -289,9 +290,8 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         return found[found["n"] > 1]
 
     schema = "sig long, hi long, lo long, band int, parts long, size long, filled long, need long, length long, n long"
-    packed = docs.mapInPandas(emit, "r long, sigs binary, owners binary, table binary")
-    # as many tasks as the ranges need, a few ranges each
-    met = packed.repartition(-(-ranges // RANGES_PER_TASK), "r").groupBy("r").applyInPandas(meet, schema)
+    packed = docs.mapInPandas(emit, "r int, sigs binary, owners binary, table binary")
+    met = packed.repartitionById(ranges, F.col("r").cast("int")).groupBy("r").applyInPandas(meet, schema)  # a task a range
     return met.select("sig", F.struct("hi", "lo").alias("key"), "band", "parts", "size", "filled", "need", "length", "n")
 
 
@@ -402,7 +402,7 @@ def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, b
     return paired(met.select("x", "y")).join(tested, ["a", "b"], "left_anti")
 
 
-def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 200_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 1_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs(row.., text) with n_shingles, its class hi, lo, and component: the smallest (rep, hi, lo) of the classes
     that links reach, rep being a class's smallest doc_id. Empty sets have no class and no component."""
     if percent < 75:
@@ -412,7 +412,7 @@ def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 200_0
     filled = keys.where("n_shingles > 0")
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     reps = filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    close = materialize(candidates(shared_parts(texts, max(1, -(-total // elements_per_range)))))
+    close = materialize(candidates(shared_parts(texts, max(LEAST_RANGES, -(-total // elements_per_range)))))
     prefix = materialize(prefixes(close))
     release(close)
     used = prefix.select("key.hi", "key.lo").distinct()
