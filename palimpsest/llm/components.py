@@ -32,6 +32,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         release(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.materialized_at = edges.materialized_at
+            return out
         before = now
     raise ValueError(f"components not settled after {rounds} rounds")

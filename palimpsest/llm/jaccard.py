@@ -340,26 +340,26 @@ def possible(a: str, b: str) -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(hi, lo, rep, n, elements) of the classes in wanted(rep, hi, lo)."""
+    """(hi, lo, node, n, elements) of the classes in wanted(rep, hi, lo, node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for b in batches:
             rows = []
-            for rep, hi, lo, s in zip(b["rep"], b["hi"], b["lo"], shingler.sets(b["text"].tolist()), strict=True):
+            for node, hi, lo, s in zip(b["node"], b["hi"], b["lo"], shingler.sets(b["text"].tolist()), strict=True):
                 if set_key(s) == (hi, lo):
-                    rows.append((hi, lo, rep, len(s), s.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["hi", "lo", "rep", "n", "elements"])
+                    rows.append((hi, lo, node, len(s), s.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["hi", "lo", "node", "n", "elements"])
 
-    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "hi", "lo", "text")
-    return rows.mapInPandas(run, "hi long, lo long, rep long, n long, elements array<long>").dropDuplicates(["hi", "lo"])
+    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("node", "hi", "lo", "text")
+    return rows.mapInPandas(run, "hi long, lo long, node long, n long, elements array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): nodes - (rep, hi, lo) - of the pairs(a, b) of classes whose sets are similar enough."""
+    """(u, v): nodes of the pairs(a, b) of classes whose sets are similar enough."""
 
     def side(x: str) -> DataFrame:
-        return sets.select(F.struct("hi", "lo").alias(x), F.struct("rep", "hi", "lo").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("elements").alias(f"elements_{x}"))
+        return sets.select(F.struct("hi", "lo").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("elements").alias(f"elements_{x}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("elements_a", "elements_b"))
@@ -402,7 +402,7 @@ def crossing_pairs(prefix: DataFrame, component: DataFrame, tested: DataFrame, b
     return paired(met.select("x", "y")).join(tested, ["a", "b"], "left_anti")
 
 
-def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 1_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 3_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs(row.., text) with n_shingles, its class hi, lo, and component: the smallest (rep, hi, lo) of the classes
     that links reach, rep being a class's smallest doc_id. Empty sets have no class and no component."""
     if percent < 75:
@@ -416,19 +416,23 @@ def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 1_000
     prefix = materialize(prefixes(close))
     release(close)
     used = prefix.select("key.hi", "key.lo").distinct()
-    wanted = materialize(reps.where("rep is not null").join(used, ["hi", "lo"], "left_semi"))
+    # classes that may have a partner are numbered: 64 bits without a collision, for the links and components
+    wanted = materialize(reps.where("rep is not null").join(used, ["hi", "lo"], "left_semi").withColumn("node", F.monotonically_increasing_id()))
     sets = materialize(sets_of(texts, narrow(wanted, broadcast_rows)))
     stars = materialize(star_pairs(prefix))
     links = materialize(verified(stars, sets, percent))
     label = components(links)
-    node = F.struct("rep", "hi", "lo")
-    found = materialize(sets.select(node.alias("node")).join(label, "node", "left").select(F.struct("node.hi", "node.lo").alias("key"), F.coalesce("component", "node").alias("component")))
+    found = materialize(sets.select("hi", "lo", "node").join(label, "node", "left").select(F.struct("hi", "lo").alias("key"), F.coalesce("component", "node").alias("component")))
     crossing = materialize(crossing_pairs(prefix, found, stars, bit_sketches(sets)))
     more = materialize(verified(crossing, sets, percent))
     if not more.isEmpty():
+        release(label)
         label = components(links.unionByName(more))
-    release(prefix, wanted, sets, stars, found, crossing, links, more)
-    named = reps.withColumn("node", node).join(label, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
+    linked = wanted.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = linked.groupBy("component").agg(F.min(F.struct("rep", "hi", "lo")).alias("first"))
+    other = materialize(linked.join(firsts, "component").select("hi", "lo", "first").where("hi <> first.hi or lo <> first.lo"))
+    release(prefix, wanted, sets, stars, found, crossing, links, more, label)
+    named = reps.join(narrow(other, broadcast_rows), ["hi", "lo"], "left").select("hi", "lo", F.coalesce("first", F.struct("rep", "hi", "lo")).alias("component"))
     none = F.lit(None).cast(named.schema["component"].dataType).alias("component")
     return filled.join(named, ["hi", "lo"]).select(*keys.columns, "component").unionByName(keys.where("n_shingles = 0").select("*", none))
 
