@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import analytics, arbitration, capture, lifecycle, ranking, recall, scans
+from palimpsest.plans import analytics, arbitration, capture, lifecycle, ranking, recall, records, scans
 from palimpsest.plans.registry import Query
 
-PLANS = (recall, scans, ranking, lifecycle, arbitration, analytics, capture)
+PLANS = (recall, scans, ranking, lifecycle, arbitration, analytics, capture, records)
 
 
 def queries() -> dict[str, Query]:

@@ -17,7 +17,7 @@ DECISION = (
 )
 SYSTEM_XML = (r"^<[a-z-]+>", r"</[a-z-]+>\s*$")
 EXACT = (r"(?i)\bexact(?:ly)?\b", r"(?i)\bcommit\b", r"\b[A-Z][A-Z0-9_]{2,}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d+(?:\.\d+){1,}\b", r"\b\d+\b", r"`[^`]+`", r"/[\w./-]+", r"(?m)^\s*(?:[-*+]|\d+[.)])\s+\S", r"```")
-ACKNOWLEDGE = (r"(?i)^(ok|okay|k|sure|fine|thanks|thank you|thx|ty|got it|understood|cool|nice|great|good|perfect|awesome|alright|yep|yup|yeah|right)\s*[.!]?$", r"^好的?\s*[。！]?$")
+ACKNOWLEDGE = (r"(?i)^(ok|okay|k|sure|fine|thanks|thank you|thx|ty|got it|understood|cool|nice|great|good|perfect|awesome|alright|yep|yup|yeah|right)\s*[.!]?$", r"^好的?\s*[。！]?$", r"^嗯\s*[。]?$", r"^收到\s*[。！]?$", r"^了解\s*[。！]?$", r"^明白\s*[。！]?$", r"^谢谢\s*[。！]?$", r"^感谢\s*[。！]?$", r"^👍\s*$")
 DECISION_MARKERS = ("we decided to", "we'll go with", "going with", "let's go with", "decided to use", "decided on", "chose to", "we chose", "settled on", "final answer is", "i'll choose", "we'll use")
 
 
@@ -62,17 +62,18 @@ def tags(values: Column) -> Column:
 
 
 def djb2(text: Column) -> Column:
-    """The 32-bit djb2 hash of a text's code points, as a long: folded in whole numbers."""
-    codes = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
-    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33 + c, F.lit(1 << 32)))
+    """The 32-bit djb2 hash of a text's UTF-16 units, as an unsigned number in a long."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.aggregate(F.transform(units, lambda u: F.conv(u, 16, 10).cast("long")), F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33 + c, F.lit(1 << 32)))
 
 
 def fact_key(category: Column, text: Column) -> Column:
-    """category:slug-hash with up to six ASCII words, only the hash if there are fewer than two."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    code = F.right(F.lpad(F.lower(F.hex(djb2(F.lower(F.trim(text))))), 8, "0"), F.lit(6))
-    slug = F.array_join(F.slice(words, 1, 6), "-")
-    return F.concat(category, F.lit(":"), F.when(F.size(words) >= 2, F.concat(slug, F.lit("-"), code)).otherwise(code))
+    """category:slug-hash. The hash is of the text as it is; the slug has the first six words, between spaces and
+    punctuation, that are letters a-z and digits only; with fewer than two of them the hash stands alone."""
+    words = F.transform(F.split(text, r"[\s\p{Z}\x{FEFF}\p{P}]+"), lambda w: F.lower(w))
+    slug = F.slice(F.filter(words, lambda w: w.rlike("^[a-z0-9]+$")), 1, 6)
+    code = F.right(F.lpad(F.lower(F.hex(djb2(text))), 8, "0"), F.lit(6))
+    return tx.let(slug, lambda s: F.concat(category, F.lit(":"), F.when(F.size(s) >= 2, F.concat(F.array_join(s, "-"), F.lit("-"), code)).otherwise(code)))
 
 
 def compress(turns: DataFrame, by: str, most: int) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.stored import written
+
 
 def normalised_name(name: Column) -> Column:
     """Lower case, accents of Latin letters folded, other marks as spaces. Fixed folding, not full decomposition."""
@@ -49,27 +48,15 @@ def shared_pairs(edges: DataFrame, least: int = 2, jaccard: float = 0.3, cell: i
     return counts.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > jaccard).select("a", "b", "shared", "jaccard")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder and read back, to cut an iteration's lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # as in tests
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, cluster): connected components by least label with shortcutting; ends when nothing changes."""
-    both = _written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")))
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")))
     for _ in range(rounds):
         near = both.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
         jump = label.select(F.col("id").alias("cluster"), F.col("cluster").alias("far"))
         new = label.join(near, "id", "left").join(jump, "cluster", "left").select("id", F.least("cluster", "near", "far").alias("cluster"), F.col("cluster").alias("old"))
-        new = _written(new)
+        new = written(new)
         if new.where("cluster <> old").isEmpty():
             return new.select("id", "cluster")
         label = new.select("id", "cluster")

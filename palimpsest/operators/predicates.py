@@ -31,7 +31,8 @@ SKIP_RETRIEVE = (
     r"^[\s\p{P}]*$",
     r"(?i)^(lol|lmao|haha|heh|hmm|ah|oh|ugh|mhm|uh-huh)[\s!.,?]*$",
 )
-EMOJI_ONLY = r"^[\p{IsEmoji_Presentation}\p{IsExtended_Pictographic}\s]+$"
+# The blocks that hold emoji; the regular expressions of older Java versions have no property for them.
+EMOJI_ONLY = r"^[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FA}\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}\s]+$"
 NOISE_FACTS = (
     r"(?i)\b(i don'?t have|i cannot|i can'?t|i am not able to|i'?m unable to|i do not have|i lack)\b.*\b(information|access|knowledge|data|details)\b",
     r"(?i)\b(as an ai|as a language model|i'?m just an ai)\b",
@@ -40,7 +41,22 @@ NOISE_FACTS = (
     r"(?i)\[tool (call|result|error)\]",
     r"(?i)^(true|false|null|undefined|NaN)$",
 )
-EXACT_QUERY = tuple(rf"(?i)\b{w}\b" for w in ("exact(?:ly)?", "verbatim", "which", "when", "what", "who", "how many", "list", "version", "port", "commit", "date", "value", "answer"))
+EXACT_QUERY = (
+    r"(?i)\bexact(?:ly)?\b",
+    r"(?i)\bverbatim\b",
+    r"(?i)\bwhich\b",
+    r"(?i)\bwhen\b",
+    r"(?i)\bwhat\b",
+    r"(?i)\bwho\b",
+    r"(?i)\bhow many\b",
+    r"(?i)\blist\b",
+    r"(?i)\bversion\b",
+    r"(?i)\bport\b",
+    r"(?i)\bcommit\b",
+    r"(?i)\bdate\b",
+    r"(?i)\bvalue\b",
+    r"(?i)\banswer\b",
+)
 EXACT_VALUE = (
     r"\b\d{4}-\d{2}-\d{2}\b",
     r"\b\d+(?:\.\d+){1,}\b",
@@ -56,7 +72,13 @@ EXACT_VALUE = (
     r"(?m)^\s*(?:[-*+]|\d+[.)])\s+\S",
 )
 CATEGORY_FLOORS = {"profile": 0.7, "preferences": 0.7, "entities": 0.85, "events": 0.85, "cases": 0.8, "patterns": 0.8}
-HANDOFF_CUES = ("session handoff", "resume here", "next time", "pick up from", "left off", "handoff note")
+HANDOFF_CUES = (
+    "session handoff", "resume here", "next time",
+    "resume point", "resume points", "resume order", "next resume point", "next designated resume point",
+    "handoff doc created", "handoff document created", "handoff was created", "handoff document was created", "handoff doc was created",
+    "durable handoff doc is already committed", "handoff committed to docs/handoffs/", "handoff doc committed to docs/handoffs/",
+)
+
 
 
 def is_active() -> Column:
@@ -118,7 +140,7 @@ def skips_retrieval(text: Column, least: int = 5) -> Column:
     return (
         F.when(tx.any_match(query, FORCE_RETRIEVE), False)
         .when(F.length(query) < least, True)
-        .when(tx.any_match(query, SKIP_RETRIEVE), True)
+        .when(tx.any_match(query, SKIP_RETRIEVE) | query.rlike(EMOJI_ONLY), True)
         .otherwise(F.length(query) < F.when(cjk, 6).otherwise(15))
     )
 
@@ -128,8 +150,8 @@ def is_noise(text: Column) -> Column:
 
 
 def confidence_floor(floor: float = 0.7, unknown: float = 0.95) -> Column:
-    """The category's floor, unknown categories' floor, never below the global one."""
-    by = F.lit(unknown)
+    """The category's floor, unknown categories' floor, never below the global one, which null categories get."""
+    by = F.when(F.col("category").isNull(), floor).otherwise(unknown)
     for name, least in CATEGORY_FLOORS.items():
         by = F.when(F.col("category") == name, least).otherwise(by)
     return F.greatest(F.lit(floor), by)

@@ -13,7 +13,9 @@ from palimpsest.functions import text as tx
 # Ranking constants and cue lists.
 INTENTS = (
     ("session_opener", r"(?i)^(hi|hello|hey|good morning|good afternoon|good evening|what's up|let'?s (continue|resume|pick up)|where (were|did) we leave off|catch me up|status update|resume|continue|(?:just\s+)?starting a new session)\b"),
-    ("workflow_posture", r"(?i)\b(highest-priority|top priority|do we have any blocker|what(?:'s| is) the next step|let'?s write the handoff|write the handoff|priority outcome|surface blockers?)\b"),
+    ("architecture", r"(?i)\b(how should we|what sections should|what belongs in|what regression checks?|what navigation|what should .* keep versus skip|how do we keep .* while still reusing|how do we prove .* are present but demoted|what exactly do we need to inspect|how do we evolve .* instead of|what ranking or selection metadata should|how should we expose raw json|what navigation affordances should|how do we tell reviewers)\b"),
+    ("architecture", r"(?i)\b(html review surface|artifact contract|turn-by-turn replay|seed(?:ed)? history|recency buckets?|raw artifacts?|track navigation|turn navigation|retrieval trace id|selected ids|db delta|interesting turns?)\b"),
+    ("workflow_posture", r"(?i)\b(highest-priority|top priority|what should the assertions prove|do we have any blocker|what(?:'s| is) the next step|let'?s write the handoff|write the handoff|priority outcome|surface blockers?)\b"),
     ("latest_state", r"(?i)\b(latest state|current state|current truth|latest truth|most recent state|active representative)\b"),
     ("latest_state", r"(?i)\b(what is|what's|show me|tell me)\s+the\s+(latest|current|active)\b"),
     ("exact_lookup", r"(?i)\b(exact lookup|exact match|direct lookup|look up exactly)\b"),
@@ -22,16 +24,22 @@ INTENTS = (
     ("unknown_mixed", r"(?i)\b(mixed bag|not sure|ambiguous|unknown mixed)\b"),
     ("preference", r"(?i)\b(prefer|preference|preferences|preferred|favorite|favourite|like to|style|habit|convention|setting|configuration)\b"),
     ("preference", r"(?i)\b(how do i|what do i|my preferred|i usually|i always|i tend to)\b"),
+    ("preference", "偏好|喜欢|习惯|风格"),
     ("decision", r"(?i)\b(decide|decided|decision|chose|chosen|why did we|rationale|tradeoff|trade-off|approach)\b"),
     ("decision", r"(?i)\b(opted for|went with|picked|selected|agreed on)\b"),
+    ("decision", "决定|选择|权衡"),
     ("current_status", r"(?i)\b(what are we working on|current status|status update|where are we|what changed in the current status)\b"),
+    ("recent_work", r"(?i)\bMIM-\d+\b"),
     ("recent_work", r"(?i)\b(recent work|tonight|today|what changed recently|latest changes?)\b"),
-    ("debugging", r"(?i)\b(test failure|mocking|500 error|debug)\b"),
+    ("schema", r"(?i)\b(schema|SearchHit|payload\.\w+|SurrealDB.*field|DEFINE FIELD)\b"),
+    ("debugging", r"(?i)\b(test failure|vitest|mocking|500 error|debug)\b"),
     ("architecture", r"(?i)\b(write arbitration|pipeline|architecture|data flow)\b"),
     ("entity", r"(?i)\b(status of|state of|what is|tell me about|describe|overview of|details about)\b"),
     ("entity", r"(?i)\b(component|service|module|system|project|library|framework)\b"),
+    ("entity", "状态|组件|服务|项目"),
     ("event", r"(?i)\b(happened|occurred|when did|timeline|history|deployed|shipped|released|launched)\b"),
     ("event", r"(?i)\b(yesterday|last week|last month|recently|earlier today)\b"),
+    ("event", "发生|部署|发布|上线"),
 )
 LANES = {
     "session_opener": "session_opener", "current_status": "current_status", "latest_state": "latest_state", "exact_lookup": "exact_lookup", "recent_work": "recent_work",
@@ -40,7 +48,10 @@ LANES = {
 LANE_WINDOW_HOURS = {"guidance_reference": 12, "workflow_posture": 18, "exact_lookup": 12, "recent_work": 24, "decision_trace": 18, "exploratory_topic": 48}
 CATEGORY_OF_INTENT = {
     "preference": ("preferences", "profile"), "decision": ("cases", "patterns"), "entity": ("entities",), "event": ("events", "entities"),
-    "current_status": ("events", "entities"), "recent_work": ("events", "cases"), "debugging": ("cases", "patterns"),
+    "current_status": ("events", "entities"), "recent_work": ("events", "cases"), "schema": ("entities", "cases"), "debugging": ("cases", "patterns"),
+    "architecture": ("entities", "cases", "patterns"), "workflow_posture": ("events", "cases", "patterns"), "session_opener": ("events", "entities"),
+    "latest_state": ("entities", "events"), "exact_lookup": ("entities", "cases"), "decision_trace": ("cases", "patterns"),
+    "exploratory_topic": ("entities", "patterns"), "unknown_mixed": ("entities", "events"),
 }
 STATUS_SIGNALS = (r"(?i)\bcurrently\b", r"(?i)\bin progress\b", r"(?i)\bblocked\b", r"(?i)\bworking on\b", r"(?i)\btesting\b", r"(?i)\bdebugging\b", r"\b[A-Z]{2,5}-\d+\b")
 NOISE_SIGNALS = (r"(?i)\bscout\b", r"(?i)\bbrief\b", r"(?i)\bdeploy(?:ed)?\b", r"(?i)\badmin(?:istrative)?\b", r"(?i)\bmaintenance\b", r"(?i)\bworkflow\b", r"(?i)\bhousekeeping\b", r"(?i)\bserver restart\b")

@@ -7,12 +7,15 @@ columns are read for k rows. Every top k breaks ties by id.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vec
+from palimpsest.operators.stored import written
 
 # Fusion and scoring constants.
 RRF_K = 60
@@ -39,24 +42,36 @@ def vector_leg(memories: DataFrame, query: Sequence[float], k: int) -> DataFrame
 
 def corpus_stats(memories: DataFrame) -> DataFrame:
     """One row: n rows and their mean length in words split at single spaces (1 where there is none)."""
-    length = F.avg(F.size(F.split("text_norm", " ")))
+    length = F.avg(F.length("text_norm") - F.length(F.replace("text_norm", F.lit(" "), F.lit(""))) + 1)
     return memories.agg(F.count("*").alias("n"), F.coalesce(length, F.lit(1.0)).alias("avgdl"))
 
 
 def bm25_scores(memories: DataFrame, terms: Sequence[str], stats: DataFrame) -> DataFrame:
     """(id, score) of the rows that hold a term. Document frequencies count over the matched rows; lengths
-    are tokens, the mean length is words: as specified, not symmetric. Terms are filtered before
-    exploding, so the shuffle carries matches only."""
-    bag = tx.tokens(F.col("text"))
-    wanted = F.lit([str(t) for t in terms])
-    hits = memories.select("id", F.size(bag).alias("dl"), F.explode(F.filter(bag, lambda t: F.array_contains(wanted, t))).alias("term"))
-    counts = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    joined = counts.join(F.broadcast(df), "term").join(F.broadcast(stats), F.lit(True))  # a row a query term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score"))
+    are tokens, the mean length is words: as specified, not symmetric. A text is tokenised once and
+    becomes one count per query term; no row is shuffled, only one row of document frequencies."""
+    counts = written(term_counts(memories, terms))
+    n_with = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    known = counts.join(F.broadcast(counts.agg(*n_with)), F.lit(True)).join(F.broadcast(stats), F.lit(True))  # one row each
+
+    def part(i: int) -> Column:
+        tf, df = F.col("tf")[i], F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    return known.select("id", sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
+
+
+def term_counts(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(id, dl, tf): tokens of each row that holds a term, and how often each of the terms occurs. Texts without
+    any of the terms are passed by without being tokenised."""
+    low = F.lower("text")
+    count = lambda bag, t: F.size(F.filter(bag, lambda x: x == str(t)))
+    may_match = reduce(or_, [F.contains(low, F.lit(str(t))) for t in terms])
+    counted = tx.let(tx.tokens(F.col("text")), lambda bag: F.struct(F.size(bag).alias("dl"), F.array(*[count(bag, t) for t in terms]).alias("tf")))
+    # exploding keeps the filter on its result from tokenising once more
+    rows = memories.where(may_match).select("id", F.explode(F.array(counted)).alias("c"))
+    return rows.where(F.exists("c.tf", lambda n: n > 0)).select("id", "c.dl", "c.tf")
 
 
 def bm25_leg(memories: DataFrame, terms: Sequence[str], k: int, stats: DataFrame | None = None) -> DataFrame:

@@ -118,14 +118,14 @@ def lexical_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.round(mt.lexical_density(F.col("text"), STOPWORDS), 6).alias("density"))
 
 
-EDGES = "e AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)"
+EDGES = "e AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS id FROM lineitem)"
 PAIR_SQL = f"""{EDGES}, n AS (SELECT id, count(*) AS n FROM e GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.entity = y.entity AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2),
 pairs AS (SELECT a, b, shared, shared / (p.n + q.n - shared) AS jaccard FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE shared / (p.n + q.n - shared) > 0.3)"""
 
 
 def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40")
-    return gr.shared_pairs(line.select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("id")))
+    """Every row of lineitem is an edge."""
+    return gr.shared_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("id")))
 
 
 @R.query(f"WITH {PAIR_SQL} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM pairs")
@@ -140,22 +140,16 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("cluster").agg(F.count("*").alias("n"), gr.fingerprint(F.collect_list("id")).alias("fingerprint"))
 
 
-def all_entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of lineitem is an edge; entity_pairs and its twin hold a part of them."""
-    return gr.shared_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("id")))
-
-
 @R.query()
 def entity_jaccard_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No twin; tested against brute force."""
-    return all_entity_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
+    """entity_jaccard_edges by its older name. No twin; tested against brute force."""
+    return entity_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @R.query()
 def clusters_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No twin; tested against brute force."""
-    found = gr.clusters(all_entity_pairs(spark, sf_dir))
-    return found.groupBy("cluster").agg(F.count("*").alias("n"), gr.fingerprint(F.collect_list("id")).alias("fingerprint"))
+    """clusters by its older name. No twin; tested against brute force."""
+    return clusters(spark, sf_dir)
 
 
 @R.query("""WITH m AS (SELECT DISTINCT lower(p_brand) AS mention FROM part UNION SELECT DISTINCT lower(p_type) FROM part), e AS (SELECT p_partkey AS entity, lower(p_brand) AS name_norm, [lower(p_type)] AS aliases FROM part),
@@ -182,9 +176,9 @@ def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.merged_entities(rows, ["name"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@R.query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+@R.query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def orphan_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("id"))
+    linked = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).join(linked, "id", "left_anti")
 
 

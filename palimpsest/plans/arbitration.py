@@ -56,14 +56,14 @@ OPPOSING = " OR ".join(f"(list_contains(ot, '{a}') AND list_contains(nt, '{b}'))
 @R.query(PAIRS + f""", k AS (SELECT *, {NORM('new_text')} AS nn, {NORM('old_text')} AS no FROM c WHERE rank <= 5),
 v AS (SELECT *, {key_sql('nn')} AS kn, {key_sql('no')} AS ko, {value_sql('nn')} AS vn, {value_sql('no')} AS vo, {ANCHORS('new_text')} AS an, {ANCHORS('old_text')} AS ao, {TOKS('new_text')} AS nt, {TOKS('old_text')} AS ot FROM k),
 s AS (SELECT *, ko <> '' AND ko = kn AND (({OPPOSING}) OR (vo <> '' AND vn <> '' AND vo <> vn AND NOT contains(vo, vn) AND NOT contains(vn, vo))) AS corrects, len(an) > 0 AND len(ao) > 0 AND an <> ao AS conflict FROM v),
-b AS (SELECT *, CASE WHEN nn = no AND age <= 24 THEN '1_skip_exact' WHEN sim >= 0.2 AND corrects AND NOT conflict THEN '2_supersede' WHEN sim >= 0.95 AND age <= 24 AND NOT conflict THEN '3_skip_near'
-  WHEN sim >= 0.2 AND conflict THEN '6_create' WHEN sim >= 0.2 AND contains(no, nn) THEN '4_skip_contained' WHEN sim >= 0.2 THEN '5_merge' ELSE '6_create' END AS band FROM s),
+b AS (SELECT *, CASE WHEN nn = no AND age <= 24 THEN '1_skip_exact' WHEN sim >= 0.85 AND age <= 72 AND corrects AND NOT conflict THEN '2_supersede' WHEN sim >= 0.95 AND age <= 24 AND NOT conflict THEN '3_skip_near'
+  WHEN sim >= 0.85 AND age <= 72 AND conflict THEN '6_create' WHEN sim >= 0.85 AND age <= 72 AND contains(no, nn) THEN '4_skip_contained' WHEN sim >= 0.85 AND age <= 72 THEN '5_merge' ELSE '6_create' END AS band FROM s),
 f AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY band, sim DESC, old_id) AS j FROM b)
 SELECT m.id, coalesce(band, '6_create') AS decision, CASE WHEN coalesce(band, '6_create') <> '6_create' THEN old_id END AS target FROM mem m LEFT JOIN f ON f.new_id = m.id AND j = 1 WHERE m.embedding IS NOT NULL""")
 def arbitration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder with a merge threshold at test scale (the vectors are nearly orthogonal)."""
+    """The ladder at its own thresholds; a test runs its bands on planted near copies."""
     rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull())
-    return ar.decide(ar.candidates(rows, rows), rows, merge=0.2)
+    return ar.decide(ar.candidates(rows, rows), rows)
 
 
 @R.query(f"WITH {MEMORY_SQL}, n AS (SELECT id, {NORM('text')} AS norm FROM mem) SELECT min(id) AS first_id, count(*) AS n FROM n GROUP BY norm HAVING count(*) > 1")

@@ -75,14 +75,14 @@ def usefulness_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMOTION = "0.45 * (alpha / (alpha + beta)) + 0.30 * alpha / greatest(alpha + beta, 1.0) + 0.20 * p + 0.05 * (1 - contradictions / retrieved)"
 
 
-@R.query(f"WITH {FEEDBACK} SELECT id, round({PROMOTION}, 6) AS score, {PROMOTION} >= 0.55 AND used >= 1 AND contradictions = 0 AS promote FROM b")
+@R.query(f"WITH {FEEDBACK} SELECT id, round({PROMOTION}, 6) AS score, {PROMOTION} >= 0.78 AND used >= 3 AND cross_used >= 2 AND contradictions = 0 AS promote FROM b")
 def claim_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality snapshot and the claim gate; the gate's thresholds are parameters, here at test scale."""
+    """The quality snapshot and the claim gate; of uses at least two come from other sessions."""
     rows = feedback(spark, sf_dir)
     prior = rows.groupBy("id").agg(F.max("prior").alias("prior"))
     u = lc.usefulness(rows, ["id"]).join(prior, "id")
     score = lc.quality_snapshot(F.col("usefulness"), F.col("alpha"), F.col("beta"), F.col("prior"), F.col("contradictions"), F.col("retrieved"))
-    return u.select("id", F.round(score, 6).alias("score"), ((score >= 0.55) & (F.col("used") >= 1) & (F.col("contradictions") == 0)).alias("promote"))
+    return u.select("id", F.round(score, 6).alias("score"), ((score >= 0.78) & (F.col("used") >= 3) & (F.col("cross_used") >= 2) & (F.col("contradictions") == 0)).alias("promote"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id FROM mem WHERE NOT coalesce(active, true) AND created_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY")

@@ -127,7 +127,7 @@ def noise_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", pr.is_noise(F.col("text")).alias("noise"))
 
 
-@R.query(f"WITH {MEMORY_SQL} SELECT id, category FROM mem WHERE coalesce(confidence, 0) >= greatest(0.7, CASE category WHEN 'profile' THEN 0.7 WHEN 'preferences' THEN 0.7 WHEN 'entities' THEN 0.85 WHEN 'events' THEN 0.85 WHEN 'cases' THEN 0.8 WHEN 'patterns' THEN 0.8 ELSE 0.95 END)")
+@R.query(f"WITH {MEMORY_SQL} SELECT id, category FROM mem WHERE coalesce(confidence, 0) >= greatest(0.7, CASE category WHEN 'profile' THEN 0.7 WHEN 'preferences' THEN 0.7 WHEN 'entities' THEN 0.85 WHEN 'events' THEN 0.85 WHEN 'cases' THEN 0.8 WHEN 'patterns' THEN 0.8 ELSE CASE WHEN category IS NULL THEN 0.7 ELSE 0.95 END END)")
 def confidence_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory_units(spark, sf_dir).where(F.coalesce("confidence", F.lit(0.0)) >= pr.confidence_floor()).select("id", "category")
 

@@ -149,21 +149,57 @@ def test_shared_pairs_in_cells(spark):
     assert len(got) == len(expected) and {(r["a"], r["b"], r["shared"]) for r in got} == expected
 
 
-def test_fact_keys_hash_the_whole_text(spark, sf_dir):
-    from palimpsest.plans import capture
-    from palimpsest.sources.tables import memory_units
+def test_fact_keys(spark):
+    from palimpsest.operators import capture as cp
 
     def key(category, text):
         h = 5381
-        for c in text.strip(" ").lower():
-            h = (h * 33 + ord(c)) & 0xFFFFFFFF
-        words, code = re.findall("[a-z0-9]+", text.lower()), f"{h:08x}"[-6:]
-        return f"{category}:" + ("-".join([*words[:6], code]) if len(words) >= 2 else code)
-
-    rows = memory_units(spark, sf_dir).select("id", "category", "text").where("text is not null").collect()
-    got = {r["id"]: r["fact_key"] for r in capture.fact_keys(spark, sf_dir).collect()}
-    assert any(len(r["text"]) > 200 for r in rows)
-    assert [got[r["id"]] for r in rows] == [key(r["category"], r["text"]) for r in rows]
+        units = text.encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = (h * 33 + int.from_bytes(units[i : i + 2], "big")) & 0xFFFFFFFF
+        return h, f"{h:08x}"[-6:]
+
+    texts = {"The Café is open, Now": "the-is-open-now-", "one": "", "  Two words ": "two-words-", "a b c d e f g h": "a-b-c-d-e-f-", "smile 😀 now": "smile-now-", "": ""}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cp.fact_key(F.lit("cases"), F.col("t")).alias("k"), cp.djb2(F.col("t")).alias("h")).collect()
+    for r in rows:
+        h, code = key("cases", r["t"])
+        assert r["h"] == h and r["k"] == f"cases:{texts[r['t']]}{code}"
+
+
+def test_fixed_lists(spark):
+    from palimpsest.operators import capture as cp
+    from palimpsest.operators import predicates as pr
+    from palimpsest.operators import ranking as rk
+
+    for text, cue in (("the Resume Point is here", True), ("handoff committed to docs/handoffs/ today", True), ("see docs/handoffs/a.md", False), ("we left off there", False)):
+        assert one(spark, pr.has_handoff_cue(F.col("t")), t=text) is cue
+    for text, intent in (("how should we structure the pipeline data flow", "architecture"), ("show the schema of it", "schema"), ("MIM-12", "recent_work"), ("我的偏好", "preference"), ("发布", "event"), ("nothing of note", "fact")):
+        assert one(spark, rk.intent(F.col("t")), t=text) == intent
+    for text, score in (("收到。", 0.1), ("👍", 0.1), ("谢谢", 0.1), ("thanks!", 0.1)):
+        assert one(spark, cp.message_score(F.col("t")), t=text) == score
+    assert one(spark, pr.skips_retrieval(F.col("t")), t="😀🎉😀🎉😀🎉😀🎉😀🎉😀🎉😀🎉😀🎉") is True
+
+
+def test_confidence_floor_of_null_and_unknown(spark):
+    from palimpsest.operators import predicates as pr
+
+    rows = spark.createDataFrame([(None,), ("other",), ("cases",), ("profile",)], "category string").select(pr.confidence_floor().alias("f")).collect()
+    assert [r["f"] for r in rows] == [0.7, 0.95, 0.8, 0.7]
+
+
+def test_bands_on_near_copies(spark):
+    """Planted near copies at the ladder's own thresholds."""
+    from palimpsest.operators import arbitration as ar
+
+    at = lambda h: dt.datetime(2024, 6, 1) - dt.timedelta(hours=h)
+    tilt = lambda c: [c, (1 - c * c) ** 0.5]
+    store = [(1, "the port is 80", [1.0, 0.0], at(10))]
+    new = {2: ("The  port is 80", 1.0), 3: ("the port is 8443", 0.9), 4: ("quite near to it", 0.96), 5: ("port is 80", 0.9), 6: ("other words of some kind", 0.9), 7: ("other words", 0.8), 8: ("ABC-1 moved", 0.9)}
+    schema = "id long, text string, embedding array<double>, created_at timestamp, user_id string"
+    old = spark.createDataFrame([(*r, "u") for r in store] + [(11, "ABC-2 moved", [0.0, 1.0], at(10), "v")], schema)
+    rows = spark.createDataFrame([(i, t, tilt(c), at(1), "u") for i, (t, c) in new.items() if i != 8] + [(8, "ABC-1 moved", [0.3, 0.95], at(1), "v")], schema)
+    got = {r["id"]: (r["decision"], r["target"]) for r in ar.decide(ar.candidates(rows, old), rows).collect()}
+    assert got == {2: ("1_skip_exact", 1), 3: ("2_supersede", 1), 4: ("3_skip_near", 1), 5: ("4_skip_contained", 1), 6: ("5_merge", 1), 7: ("6_create", None), 8: ("6_create", None)}
 
 
 def test_merge_prefers_changes(spark):
