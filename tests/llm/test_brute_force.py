@@ -341,7 +341,7 @@ def test_pii_leaves_what_stands_between(spark, limit):
 def test_columns_of_any_name_pass_through(spark):
     names = ("_id", "_hash", "_covered", "_map", "_h", "_found", "_new", "_text_hash", "covered", "text_hash", "row", "old", "new", "row_id", "signed", "copies", "taken_id", "a.b")
     lines = "a a\nb b\nc c\nmail x@y.example.com"
-    docs = spark.createDataFrame([(1, lines), (2, lines), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, lines, "en", "s"), (2, lines, "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
     wide = docs.select("*", *[F.lit(i).alias(name) for i, name in enumerate(names)])
     for run in (linededup.dedup_lines, pii.pseudonymise, mixing.mixed_documents, jaccard.one_of_each):
         got = run(wide)
@@ -389,9 +389,9 @@ def by_rules(words: list[str], model: toxicity.Model) -> float:
             elif said:
                 weight *= 0.5
             total += weight * (1.5 if aimed and (s == toxicity.INSULT or denied or said) else 1.0)
-        run = s == toxicity.INSULT and not run or s == toxicity.INSULT
+        run = s == toxicity.INSULT
         said = said or s == toxicity.REPORT
-        aimed = aimed or (s == toxicity.TARGET and i not in claimed)
+        aimed = aimed or (s == toxicity.TARGET and not (i in claimed and (denied or said)))
     return total
 
 
