@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, narrow
 
-#: Rows of a leaf, children of a node, columns bounded at a time.
-LEAF, FAN, CHUNK = 32, 32, 2048
+#: Rows of a data leaf and of a query leaf (a query group is pruned by its worst member), children of a node, columns bounded at a time.
+LEAF, QUERY_LEAF, FAN, CHUNK = 32, 4, 32, 2048
 #: A node is divided only if most of its rows come to lie in balls of this share of its radius.
 SHRINKS = 0.8
 LONG = (-(1 << 63), (1 << 63) - 1)
@@ -69,19 +69,19 @@ def net(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(chosen), nearest
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
+def cover_tree(x: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None) -> Node:
     """Nested covers: the children of a node are balls around a net of it. Where their radii hardly
-    shrink, for distances concentrate, the node stays a leaf."""
+    shrink, for distances concentrate, the node stays a leaf. Single rows count as balls if leaves are small."""
     rows = np.arange(len(x)) if rows is None else rows
     centre = x[rows].mean(axis=0)
     node = Node(centre, float(away(x[rows], centre).max()), rows)
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= leaf or node.radius == 0:
         return node
     _, nearest = net(x[rows], FAN)
     groups = [rows[nearest == i] for i in range(nearest.max() + 1)]
-    small = sum(len(g) for g in groups if away(x[g], x[g].mean(axis=0)).max() <= SHRINKS * node.radius and len(g) > 1)
+    small = sum(len(g) for g in groups if away(x[g], x[g].mean(axis=0)).max() <= SHRINKS * node.radius and (len(g) > 1 or leaf < LEAF))
     if 2 * small >= len(rows):
-        node.children = [cover_tree(x, g) for g in groups]
+        node.children = [cover_tree(x, leaf, g) for g in groups]
     return node
 
 
@@ -149,7 +149,7 @@ class Search:
     def run(self) -> None:
         if not len(self.q_ids) or not len(self.p_ids):
             return
-        stack = [(np.inf, cover_tree(self.qf), cover_tree(self.pf))]
+        stack = [(np.inf, cover_tree(self.qf, QUERY_LEAF), cover_tree(self.pf))]
         while stack:
             bound, a, b = stack.pop()
             if bound < self.worst[a.rows].min():
@@ -225,7 +225,8 @@ def meet(k: int):
         p = p.sort_values("vec_id", kind="stable")
         search = Search(q["vec_id"].to_numpy(), matrix(q["v"], dim), p["vec_id"].to_numpy(), matrix(p["v"], dim), k, q["floor"].to_numpy())
         search.run()
-        return pd.DataFrame(list(search.rows()), columns=columns).astype("Int64")
+        found = list(search.rows())
+        return pd.DataFrame({c: pd.array([r[i] for r in found], dtype="Int64") for i, c in enumerate(columns)})  # whole numbers beside nulls
 
     return run
 
