@@ -218,3 +218,12 @@ def compare_and_set(states: DataFrame, writes: DataFrame) -> DataFrame:
     best = marked.groupBy("key", "version", "value").agg(F.max("applied").alias("applied"), F.min(F.when(F.col("applied"), F.col("new_value"))).alias("new_value"))
     after = best.where("version is not null or applied")
     return after.select("key", F.when(F.col("applied"), F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"), F.when(F.col("applied"), F.col("new_value")).otherwise(F.col("value")).alias("value"), "applied")
+
+
+def write_scope(asked: Column, long_term: Column, session: Column) -> dict[str, Column]:
+    """The scope a write goes to, and the session it keeps: what is asked for, an unknown name being user; else session
+    where it is said not to be long-term; else user. Only the session scope keeps a session."""
+    named = F.nullif(F.trim(asked), F.lit(""))
+    known = F.when(named.isin("session", "team", "global"), named).otherwise("user")
+    scope = F.when(named.isNotNull(), known).when(~long_term, "session").otherwise("user")
+    return {"scope": scope, "session_id": F.when(scope == "session", session)}

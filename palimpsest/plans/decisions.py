@@ -185,3 +185,14 @@ def guarded_state_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = events.where("user_id % 3 <> 0").groupBy(key).agg(version.alias("version"), F.max("event_type").alias("value"))
     counted = events.groupBy(key).agg(version.alias("expected"), F.min("event_type").alias("new_value"))
     return dc.compare_and_set(states, counted.withColumn("expected", F.when(F.col("key") % 2 == 0, F.col("expected"))))
+
+
+@R.query(f"""WITH {MEMORY_SQL}, a AS (SELECT id, session_id, CASE id % 4 WHEN 0 THEN scope || ' ' WHEN 1 THEN ' ' WHEN 2 THEN 'odd' END AS asked, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS long_term FROM mem),
+s AS (SELECT id, session_id, CASE WHEN trim(asked) IN ('session', 'team', 'global') THEN trim(asked) WHEN trim(asked) <> '' THEN 'user' WHEN long_term = false THEN 'session' ELSE 'user' END AS scope FROM a)
+SELECT id, scope, CASE WHEN scope = 'session' THEN session_id END AS session_id FROM s""")
+def write_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some writes name a scope, a blank or an unknown one; some say whether they are long-term."""
+    i = F.col("id")
+    asked = F.when(i % 4 == 0, F.concat("scope", F.lit(" "))).when(i % 4 == 1, " ").when(i % 4 == 2, "odd")
+    resolved = dc.write_scope(asked, F.when(i % 3 == 0, True).when(i % 3 == 1, False), F.col("session_id"))
+    return memory_units(spark, sf_dir).select("id", *[c.alias(name) for name, c in resolved.items()])

@@ -94,3 +94,10 @@ def test_atomic_facts(spark):
 def test_empty_tables(spark):
     assert dc.merged_entries(spark.createDataFrame([], "cluster long, id long, text string, confidence double, category string")).count() == 0
     assert dc.compare_and_set(spark.createDataFrame([], "key string, version long, value string"), spark.createDataFrame([], "key string, expected long, new_value string")).count() == 0
+
+
+def test_write_scope(spark):
+    rows = [(" session ", True, "s"), ("global", None, "s"), ("what", False, "s"), (" ", False, "s"), (None, True, "s"), (None, None, "s")]
+    made = dc.write_scope(F.col("a"), F.col("l"), F.col("s"))
+    got = values(spark, rows, "a string, l boolean, s string", F.struct(made["scope"], made["session_id"]))
+    assert [tuple(r) for r in got] == [("session", "s"), ("global", None), ("user", None), ("session", "s"), ("user", None), ("user", None)]
