@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import analytics, arbitration, capture, decisions, lifecycle, ranking, recall, records, scans
+from palimpsest.plans import analytics, arbitration, capture, choices, decisions, lifecycle, ranking, recall, records, scans
 from palimpsest.plans.registry import Query
 
-PLANS = (recall, scans, ranking, lifecycle, arbitration, analytics, capture, records, decisions)
+PLANS = (recall, scans, ranking, lifecycle, arbitration, analytics, capture, records, decisions, choices)
 
 
 def queries() -> dict[str, Query]:
