@@ -268,31 +268,42 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         sigs, tables, owners, base = [], [], [], 0
         for a, b, c in zip(blobs["sigs"], blobs["owners"], blobs["table"], strict=True):
             sigs.append(from_planes(a, 8))
-            owners.append(from_planes(b, 4) + U(base))
+            owners.append((from_planes(b, 4) + U(base)).astype(np.int32))
             tables.append(np.frombuffer(c, OWNER))
             base += len(tables[-1])
-        sig, owner, table = np.concatenate(sigs), np.concatenate(owners).astype(np.int64), np.concatenate(tables)
-        order = np.argsort(sig, kind="stable")
-        sig, owner = sig[order], owner[order]
-        run = np.concatenate([[True], sig[1:] != sig[:-1]])
-        size = np.diff(np.append(np.flatnonzero(run), len(sig)))
-        many = np.repeat(size > 1, size)
-        own = table[owner[many]]
-        size = (own["size"] & np.uint32(NEXT - 1)).astype(np.int64)
-        band = np.searchsorted(TOPS, size) + (own["size"] >= NEXT)
-        filled, most = own["filled"].astype(np.int64), differences(size, band)
-        found = pd.DataFrame({
-            "sig": sig[many].astype(np.int64), "hi": own["hi"], "lo": own["lo"], "band": band.astype(np.int32), "parts": PARTS[band], "size": size, "filled": filled,
-            "need": np.maximum(filled - most, 1), "length": filled + (filled <= most),
-        })
-        found = found.drop_duplicates(["sig", "hi", "lo", "band"])
-        found["n"] = found.groupby("sig")["hi"].transform("size").astype(np.int64)
-        return found[found["n"] > 1]
-
-    schema = "sig long, hi long, lo long, band int, parts long, size long, filled long, need long, length long, n long"
+        sig, owner, table = np.concatenate(sigs), np.concatenate(owners), np.concatenate(tables)
+        del sigs, owners, tables
+        # a class that several blocks have in one band has one row of the table
+        order = np.lexsort((table["size"], table["lo"], table["hi"]))
+        table = table[order]
+        fresh = np.concatenate([[True], table[1:] != table[:-1]])
+        row = np.empty(len(table), np.int32)
+        row[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        table, owner = table[fresh], row[owner]
+        sig, owner, _ = shared(sig, owner, np.argsort(sig, kind="stable"))
+        order = np.lexsort((owner, sig))
+        again = (np.diff(sig[order]) == 0) & (np.diff(owner[order]) == 0)
+        sig, owner, n = shared(sig, owner, order[np.concatenate([np.ones(min(1, len(order)), bool), ~again])])
+        size = (table["size"] & np.uint32(NEXT - 1)).astype(np.int64)
+        band = np.searchsorted(TOPS, size) + (table["size"] >= NEXT)
+        filled, most = table["filled"].astype(np.int64), differences(size, band)
+        facts = {"hi": table["hi"], "lo": table["lo"], "band": band, "parts": PARTS[band], "size": size, "filled": filled, "need": np.maximum(filled - most, 1), "length": filled + (filled <= most)}
+        narrow_to = {name: v if name in ("hi", "lo") else v.astype(np.int32) for name, v in facts.items()}
+        return pd.DataFrame({"sig": sig.view(np.int64), **{name: v[owner] for name, v in narrow_to.items()}, "n": n})
+
+    def shared(sig: np.ndarray, owner: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sig, owner, n) in this order, which sorts by sig: those whose sig is there n > 1 times."""
+        sig = sig[order]
+        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]]))
+        n = np.diff(np.append(edges, len(sig))).astype(np.int32)
+        n = np.repeat(n, n)
+        many = n > 1
+        return sig[many], owner[order[many]], n[many]
+
+    schema = "sig long, hi long, lo long, band int, parts int, size int, filled int, need int, length int, n int"
     packed = docs.mapInPandas(emit, "r int, sigs binary, owners binary, table binary")
     met = packed.repartitionById(ranges, F.col("r").cast("int")).groupBy("r").applyInPandas(meet, schema)  # a task a range
-    return met.select("sig", F.struct("hi", "lo").alias("key"), "band", "parts", "size", "filled", "need", "length", "n")
+    return met.select("sig", F.struct("hi", "lo").alias("key"), "band", *[F.col(c).cast("long").alias(c) for c in ("parts", "size", "filled", "need", "length", "n")])
 
 
 def candidates(shared: DataFrame) -> DataFrame:
