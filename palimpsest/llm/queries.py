@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import jaccard, langid, linededup, mixing, packing, pii, quality, secrets, topk, toxicity
+from palimpsest.llm import jaccard, langid, linededup, mixing, packing, pii, quality, secrets, sentencepieces, topk, toxicity
 from palimpsest.llm.common import read
 
 
@@ -50,5 +50,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op7_ngram_jaccard, op8_pii_surrogates, op9_dual_tree_topk, op10_toxicity)}
+def op11_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op7_ngram_jaccard, op8_pii_surrogates, op9_dual_tree_topk, op10_toxicity, op11_sentencepiece_encoding)}
 ORACLE: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_line_dedup": linededup.ORACLE, "op9_dual_tree_topk": topk.ORACLE}
