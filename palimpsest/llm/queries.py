@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import jaccard, langid, linededup, mixing, packing, periodic, pii, quality, secrets, sentencepieces, topk, toxicity
+from palimpsest.llm import jaccard, langid, linededup, mixing, packing, periodic, pii, quality, secrets, sentencepieces, spelling, topk, toxicity
 from palimpsest.llm.common import read
 
 
@@ -58,5 +58,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse_runs(read(spark, sf_dir, "documents"), prepare=periodic.tandem_copies))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op7_ngram_jaccard, op8_pii_surrogates, op9_dual_tree_topk, op10_toxicity, op11_sentencepiece_encoding, op12_periodic_runs)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), slip_one_in=199)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_source_mixing, op5_line_dedup, op6_quality_outliers, op7_ngram_jaccard, op8_pii_surrogates, op9_dual_tree_topk, op10_toxicity, op11_sentencepiece_encoding, op12_periodic_runs, op13_spelling_variants)}
 ORACLE: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_line_dedup": linededup.ORACLE, "op9_dual_tree_topk": topk.ORACLE}
