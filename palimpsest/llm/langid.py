@@ -1,19 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams per language come from a hash sample of about
-`max_train_per_lang` labelled documents outside the held-out fold, of the `max_langs` languages with
-most of them; the matrix of log probabilities (languages x buckets, at most 64 MB) is broadcast, and
-whole texts are scored in numpy, batches of texts at a time, by gathering that matrix at the texts'
+`max_train_per_lang` labelled documents of each language, outside the held-out fold; the matrix of log
+probabilities (64 KB a language, whatever the corpus) is broadcast, and whole texts are scored in numpy, batches of texts at a time, by gathering that matrix at the texts'
 n-gram buckets. A very long text is read in windows, in which every n-gram counts once.
 
-Edge cases: a null text, or one without any letter, is `und` with score 0; a null doc_id is never
+Edge cases: a null text, or one without any letter (a character of Unicode category L: numerals such as
+`²`, `½` or `Ⅷ` are none), is `und` with score 0; a null doc_id is never
 learned from; an empty table, or one without labelled rows, predicts `und` throughout; ties go to
 the first language by name; repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +22,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fold, hash_fraction, held_out, map_rows
 
-LETTER = re.compile(r"[^\W\d_]")
 ORDERS = 3
+#: Languages whose counts a task holds at a time while it learns.
+LANGS_HELD = 200
 #: Characters that are hashed and scored at a time: bounds a task's memory whatever a text's length.
 CHUNK = 1 << 19
 
@@ -49,33 +49,41 @@ def pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield codes[at : at + CHUNK + ORDERS - 1], (ORDERS - 1 if at else 0)
 
 
-def learn(docs: DataFrame, max_train_per_lang: int = 4000, max_langs: int = 1000, bits: int = 14, smoothing: float = 0.1, seed: int = 23) -> tuple[list[str], np.ndarray]:
-    """Language names, sorted, and their float32 log-probability matrix; reaches the driver: languages x 2^bits sums."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return [], np.zeros((0, 1 << bits), np.float32)
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & hash_fraction(F.col("doc_id"), min(1.0, max_train_per_lang / n), seed))
-    place = {lang: i for i, lang in enumerate(langs)}
+def learn(docs: DataFrame, max_train_per_lang: int = 4000, bits: int = 14, smoothing: float = 0.1, seed: int = 23) -> tuple[list[str], np.ndarray]:
+    """Language names, sorted, and their float32 log-probability matrix. The driver gets one row of 2^bits numbers
+    for each language."""
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("of"))
+    sizes = known.groupBy("of").agg(F.least(F.lit(1.0), max_train_per_lang / F.count("*")).alias("share"))
+    sample = known.join(sizes, "of").where(hash_fraction(F.col("doc_id"), F.col("share"), seed))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = np.zeros((len(langs), 1 << bits), np.int64)
+        tally: dict[str, np.ndarray] = {}
+
+        def sums() -> pd.DataFrame:
+            rows = [(lang, b, n[b]) for lang, n in tally.items() for b in np.nonzero(n)[0]]
+            return pd.DataFrame(rows, columns=["of", "bucket", "n"])
+
         for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
+            for text, lang in zip(b["text"], b["of"], strict=True):
+                own = tally.setdefault(lang, np.zeros(1 << bits, np.int64))
                 for piece, seen in pieces(prepared(text)):
                     for order in range(1, ORDERS + 1):
-                        tally[place[lang]] += np.bincount(buckets(piece, order, bits)[max(seen - order + 1, 0) :], minlength=1 << bits)
-        row, bucket = np.nonzero(tally)
-        yield pd.DataFrame({"lang": row, "bucket": bucket, "n": tally[row, bucket]})
+                        own += np.bincount(buckets(piece, order, bits)[max(seen - order + 1, 0) :], minlength=1 << bits)
+                if len(tally) > LANGS_HELD:
+                    yield sums()
+                    tally.clear()
+        if tally:
+            yield sums()
+
+    def logs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.full(1 << bits, smoothing)
+        p[rows["bucket"]] += rows["n"]
+        return pd.DataFrame({"of": [key[0]], "row": [np.log(p / p.sum()).astype("<f4").tobytes()]})
 
-    counts = np.zeros((len(langs), 1 << bits))
-    rows = known.where(keep).select("text", "lang").mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[rows["lang"], rows["bucket"]] = rows["n"]
-    p = counts + smoothing
-    return langs, np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = sample.select("text", "of").mapInPandas(count, "of string, bucket int, n long").groupBy("of", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted((r["of"], r["row"]) for r in counts.groupBy("of").applyInPandas(logs, "of string, row binary").collect())
+    matrix = np.array([np.frombuffer(row, "<f4") for _, row in found], np.float32).reshape(len(found), 1 << bits)
+    return [lang for lang, _ in found], matrix
 
 
 def posterior(texts: list[str], matrix: np.ndarray, bits: int) -> np.ndarray:
@@ -122,7 +130,7 @@ def identify(docs: DataFrame, bits: int = 14, **training) -> DataFrame:
         for b in batches:
             lang = np.full(len(b), "und", object)
             score = np.zeros(len(b))
-            read = [i for i, t in enumerate(b["text"]) if langs and t and LETTER.search(t)]
+            read = [i for i, t in enumerate(b["text"]) if langs and t and any(map(str.isalpha, t))]
             if read:
                 logs = posterior([b["text"].iat[i] for i in read], shared.value, bits)
                 logs -= logs.max(axis=1, keepdims=True)
