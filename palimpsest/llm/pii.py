@@ -72,8 +72,8 @@ LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзи
 
 
 def has_sign(text: Column) -> Column:
-    """A cheap sign that a text may hold an entity: a digit, an @, or a name."""
-    return text.rlike("[0-9@]") | text.rlike(PATTERNS["name"])
+    """A cheap sign of every pattern's matches: a digit, an @, two colons as an IPv6 address has them, or a name."""
+    return text.rlike("[0-9@]|:[0-9A-Fa-f]{0,4}:") | text.rlike(PATTERNS["name"])
 
 
 def by_signs(text: Column, make) -> Column:
@@ -202,7 +202,10 @@ def dressed(type_: Column, value: Column, plain: Column) -> Column:
         return F.array_join(F.transform(F.split(value, ""), one), "")
 
     cased = F.array_join(F.transform(F.split(plain[0], ""), lambda c, i: F.when(F.substr(value, i + 1, F.lit(1)).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
-    name = F.concat(F.regexp_extract(value, f"^{PREFIX}", 0), F.initcap(F.array_join(plain, " ")))
+    letter = lambda token, i: F.substr(token, i + 1, F.lit(1))
+    like = lambda s, token: F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(letter(token, i).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    tokens = F.split(F.regexp_replace(value, f"^{PREFIX}", ""), " ")
+    name = F.concat(F.regexp_extract(value, f"^{PREFIX}", 0), F.array_join(F.zip_with(plain, tokens, like), " "))
     return F.when(type_ == "name", name).when(type_.isin("email", "ipv6"), cased).when(type_ == "ip", plain[0]).when(type_ == "iban", filled("A-Z0-9")).otherwise(filled("0-9"))
 
 
