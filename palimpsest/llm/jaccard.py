@@ -18,8 +18,8 @@ in equal parts only. All of this is exact: no link is lost, whatever the groups'
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is
 its own component; fewer than five words are one shingle; equal rows are one class; a null doc_id
-never names a component, but shares its class's; a class without any id links with nothing; rows that
-share an id and differ in text are nodes of their own; a word of any length is one word; an empty
+never names a component, but rows without one link as others do (a component without any id has the
+component_id null); rows that share an id and differ in text are nodes of their own; a word of any length is one word; an empty
 table gives an empty result. Texts are hashed a megabyte at a time; a text's set is held whole, eight
 bytes a shingle. Sets of equal key, 128 bits, are taken for the same set.
 
@@ -56,6 +56,8 @@ OWNER = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("filled", "<u4
 NEXT = 1 << 31
 #: Ranges of part hashes, at least: a small corpus is spread over the cluster too.
 LEAST_RANGES = 64
+#: Rows that a range sends on at a time: neither Python nor the JVM holds a range's rows at once.
+ROWS_AT_ONCE = 100_000
 #: Bits of a Hamming sketch for each element of a set, at least.
 BITS_PER_ELEMENT = 2
 
@@ -264,13 +266,14 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         if sigs:
             yield block(owners, sigs)
 
-    def meet(blobs: pd.DataFrame) -> pd.DataFrame:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigs, tables, owners, base = [], [], [], 0
-        for a, b, c in zip(blobs["sigs"], blobs["owners"], blobs["table"], strict=True):
-            sigs.append(from_planes(a, 8))
-            owners.append((from_planes(b, 4) + U(base)).astype(np.int32))
-            tables.append(np.frombuffer(c, OWNER))
-            base += len(tables[-1])
+        for blobs in batches:
+            for a, b, c in zip(blobs["sigs"], blobs["owners"], blobs["table"], strict=True):
+                sigs.append(from_planes(a, 8))
+                owners.append((from_planes(b, 4) + U(base)).astype(np.int32))
+                tables.append(np.frombuffer(c, OWNER))
+                base += len(tables[-1])
         sig, owner, table = np.concatenate(sigs), np.concatenate(owners), np.concatenate(tables)
         del sigs, owners, tables
         # a class that several blocks have in one band has one row of the table
@@ -284,12 +287,15 @@ def shared_parts(docs: DataFrame, ranges: int) -> DataFrame:
         order = np.lexsort((owner, sig))
         again = (np.diff(sig[order]) == 0) & (np.diff(owner[order]) == 0)
         sig, owner, n = shared(sig, owner, order[np.concatenate([np.ones(min(1, len(order)), bool), ~again])])
+        del order, again
         size = (table["size"] & np.uint32(NEXT - 1)).astype(np.int64)
         band = np.searchsorted(TOPS, size) + (table["size"] >= NEXT)
         filled, most = table["filled"].astype(np.int64), differences(size, band)
         facts = {"hi": table["hi"], "lo": table["lo"], "band": band, "parts": PARTS[band], "size": size, "filled": filled, "need": np.maximum(filled - most, 1), "length": filled + (filled <= most)}
         narrow_to = {name: v if name in ("hi", "lo") else v.astype(np.int32) for name, v in facts.items()}
-        return pd.DataFrame({"sig": sig.view(np.int64), **{name: v[owner] for name, v in narrow_to.items()}, "n": n})
+        for at in range(0, len(sig), ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            yield pd.DataFrame({"sig": sig[part].view(np.int64), **{name: v[owner[part]] for name, v in narrow_to.items()}, "n": n[part]})
 
     def shared(sig: np.ndarray, owner: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sig, owner, n) in this order, which sorts by sig: those whose sig is there n > 1 times."""
@@ -350,20 +356,25 @@ def possible(a: str, b: str) -> Column:
     return sizes & (equal >= x("parts") - F.floor((x("size") + y("size")) / 7))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(hi, lo, node, n, elements) of the classes in wanted(rep, hi, lo, node)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(hi, lo, node, n, elements) of the classes in wanted(rep, hi, lo, node): texts are found by their class's
+    smallest doc_id; those of classes without an id by their sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for b in batches:
             rows = []
             for node, hi, lo, s in zip(b["node"], b["hi"], b["lo"], shingler.sets(b["text"].tolist()), strict=True):
-                if set_key(s) == (hi, lo):
-                    rows.append((hi, lo, node, len(s), s.astype(np.int64)))
+                key = set_key(s)
+                if len(s) and (node < 0 or key == (hi, lo)):
+                    rows.append((*key, node, len(s), s.astype(np.int64)))
             yield pd.DataFrame(rows, columns=["hi", "lo", "node", "n", "elements"])
 
-    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("node", "hi", "lo", "text")
-    return rows.mapInPandas(run, "hi long, lo long, node long, n long, elements array<long>").dropDuplicates(["node"])
+    schema = "hi long, lo long, node long, n long, elements array<long>"
+    named = docs.join(narrow(wanted.where("rep is not null"), broadcast_rows), docs["doc_id"] == wanted["rep"]).select("node", "hi", "lo", "text")
+    nameless = docs.where("doc_id is null").select(F.lit(-1).cast("long").alias("node"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), "text")
+    keyed = nameless.mapInPandas(sets, schema).drop("node").join(wanted.where("rep is null").select("hi", "lo", "node"), ["hi", "lo"])
+    return named.mapInPandas(sets, schema).unionByName(keyed).dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -428,8 +439,8 @@ def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 3_000
     release(close)
     used = prefix.select("key.hi", "key.lo").distinct()
     # classes that may have a partner are numbered: 64 bits without a collision, for the links and components
-    wanted = materialize(reps.where("rep is not null").join(used, ["hi", "lo"], "left_semi").withColumn("node", F.monotonically_increasing_id()))
-    sets = materialize(sets_of(texts, narrow(wanted, broadcast_rows)))
+    wanted = materialize(reps.join(used, ["hi", "lo"], "left_semi").withColumn("node", F.monotonically_increasing_id()))
+    sets = materialize(sets_of(texts, wanted, broadcast_rows))
     stars = materialize(star_pairs(prefix))
     links = materialize(verified(stars, sets, percent))
     label = components(links)
@@ -440,7 +451,8 @@ def labelled(docs: DataFrame, percent: int = 75, elements_per_range: int = 3_000
         release(label)
         label = components(links.unionByName(more))
     linked = wanted.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = linked.groupBy("component").agg(F.min(F.struct("rep", "hi", "lo")).alias("first"))
+    place = F.struct(F.col("rep").isNull(), F.struct("rep", "hi", "lo").alias("class"))  # a class without an id comes last
+    firsts = linked.groupBy("component").agg(F.min(place)["class"].alias("first"))
     other = materialize(linked.join(firsts, "component").select("hi", "lo", "first").where("hi <> first.hi or lo <> first.lo"))
     release(prefix, wanted, sets, stars, found, crossing, links, more, label)
     named = reps.join(narrow(other, broadcast_rows), ["hi", "lo"], "left").select("hi", "lo", F.coalesce("first", F.struct("rep", "hi", "lo")).alias("component"))
