@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -20,3 +21,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, marked for broadcasting if it has no more than so many (narrow) rows; joined by shuffling otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
