@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
@@ -42,17 +42,28 @@ def vector_leg(memories: DataFrame, query: Sequence[float], k: int) -> DataFrame
 
 def corpus_stats(memories: DataFrame) -> DataFrame:
     """One row: n rows and their mean length in words split at single spaces (1 where there is none)."""
-    length = F.avg(F.length("text_norm") - F.length(F.replace("text_norm", F.lit(" "), F.lit(""))) + 1)
-    return memories.agg(F.count("*").alias("n"), F.coalesce(length, F.lit(1.0)).alias("avgdl"))
+    return memories.agg(F.count("*").alias("n"), F.coalesce(F.avg(words("text_norm")), F.lit(1.0)).alias("avgdl"))
 
 
-def bm25_scores(memories: DataFrame, terms: Sequence[str], stats: DataFrame) -> DataFrame:
+def words(column: str) -> Column:
+    """How many words: pieces between single spaces."""
+    return F.length(column) - F.length(F.replace(column, F.lit(" "), F.lit(""))) + 1
+
+
+def bm25_scores(memories: DataFrame, terms: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """(id, score) of the rows that hold a term. Document frequencies count over the matched rows; lengths
-    are tokens, the mean length is words: as specified, not symmetric. A text is tokenised once and
-    becomes one count per query term; no row is shuffled, only one row of document frequencies."""
-    counts = written(term_counts(memories, terms))
+    are tokens, the mean length is words: as specified, not symmetric. One scan: while it counts the terms of
+    the rows that hold one, in a table of their own, it observes the number and length of all rows, unless
+    stats, one row of corpus_stats, are given."""
+    seen = Observation()
+    watched = memories.observe(seen, F.count("*").alias("n"), F.avg(words("text_norm")).alias("avgdl")) if stats is None else memories
+    counts = written(term_counts(watched, terms))
     n_with = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
-    known = counts.join(F.broadcast(counts.agg(*n_with)), F.lit(True)).join(F.broadcast(stats), F.lit(True))  # one row each
+    known = counts.join(F.broadcast(counts.agg(*n_with)), F.lit(True))  # one row
+    if stats is None:
+        known = known.withColumns({"n": F.lit(seen.get["n"]), "avgdl": F.lit(seen.get["avgdl"] or 1.0)})
+    else:
+        known = known.join(F.broadcast(stats), F.lit(True))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col("tf")[i], F.col(f"df{i}")
@@ -75,7 +86,7 @@ def term_counts(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def bm25_leg(memories: DataFrame, terms: Sequence[str], k: int, stats: DataFrame | None = None) -> DataFrame:
-    return top(bm25_scores(memories, terms, corpus_stats(memories) if stats is None else stats), k)
+    return top(bm25_scores(memories, terms, stats), k)
 
 
 def overlap_leg(memories: DataFrame, terms: Sequence[str], k: int) -> DataFrame:

@@ -18,7 +18,7 @@ R = Registry()
 
 @R.query(f"WITH {MEMORY_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(active, true)) AS active, count(*) FILTER (WHERE NOT coalesce(active, true)) AS inactive, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM mem")
 def health_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = mt.health(memory_units(spark, sf_dir))
+    stats = mt.health(memory_units(spark, sf_dir, ()))
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return stats.select("total", "active", "inactive", text("oldest"), text("newest"))
 
@@ -32,7 +32,7 @@ def rejections_per_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT DISTINCT user_id FROM mem WHERE coalesce(active, true)")
 def distinct_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(F.coalesce("active", F.lit(True))).select("user_id").distinct()
+    return memory_units(spark, sf_dir, ()).where(F.coalesce("active", F.lit(True))).select("user_id").distinct()
 
 
 @R.query("SELECT l_suppkey AS entity, count(DISTINCT l_partkey) AS mentions FROM lineitem GROUP BY l_suppkey")
@@ -84,7 +84,7 @@ s AS (SELECT user_id, count(*) AS returned, count(*) FILTER (WHERE hit) AS found
 SELECT w.user_id, coalesce(found, 0) AS found, first_rank, round(mean_rank, 6) AS mean_rank, round(coalesce(found, 0) / relevant, 6) AS recall, round(CASE WHEN returned > 0 THEN found / returned ELSE 0.0 END, 6) AS precision
 FROM (SELECT user_id, count(*) AS relevant FROM g GROUP BY user_id) w LEFT JOIN s USING (user_id)""")
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mem = memory_units(spark, sf_dir).select("user_id", "id", "created_at", "quality", "tier")
+    mem = memory_units(spark, sf_dir, ("labels",)).select("user_id", "id", "created_at", "quality", "tier")
     hits = rt.top_per(mem, ["user_id"], 10, F.desc("created_at"), F.asc("id")).select("user_id", "id", "rank")
     scores = mt.retrieval_scores(hits, mem.where("quality = 1 and tier = 'durable'").select("user_id", "id"), "user_id")
     return scores.select("user_id", "found", "first_rank", *[F.round(c, 6).alias(c) for c in ("mean_rank", "recall", "precision")])
@@ -96,7 +96,7 @@ sc AS (SELECT variant, c, id, relevant, coalesce(v / (60 + vector_rank), 0.0) +
 k AS (SELECT *, row_number() OVER (PARTITION BY variant, c ORDER BY round(score, 9) DESC, id) AS k FROM sc)
 SELECT variant, count(*) AS cases, round(avg(relevant::INTEGER), 6) AS accuracy FROM k WHERE k = 1 GROUP BY variant""")
 def replay_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ("embeddings",))
     legs = {"vector": rt.vector_leg(memories, query_vector(spark, sf_dir), 45), "bm25": rt.bm25_leg(memories, TERMS, 45), "recency": rt.recency_leg(memories, now_col(), 48, 45)}
     cases = rt.fuse(legs).select((F.col("id") % 10).alias("case"), "id", "vector_rank", "bm25_rank", "recency_rank", (F.col("id") % 3 == 0).alias("relevant"))
     return mt.replay_grid(cases, [("even", 1.0, 1.0, 1.0), ("lexical", 0.5, 2.0, 0.2), ("recent", 0.5, 0.5, 2.0)]).withColumn("accuracy", F.round("accuracy", 6))
@@ -106,7 +106,7 @@ def replay_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT category, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM u), m AS (SELECT category, i, avg(x) AS x FROM l GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY category)) AS len FROM m)
 SELECT category, i::INTEGER AS i, round(x / len, 6) AS x FROM n""")
 def category_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = mt.centroids(memory_units(spark, sf_dir).select("category", "embedding"), "category")
+    c = mt.centroids(memory_units(spark, sf_dir, ("embeddings",)).select("category", "embedding"), "category")
     return c.select("category", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -140,18 +140,6 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("cluster").agg(F.count("*").alias("n"), gr.fingerprint(F.collect_list("id")).alias("fingerprint"))
 
 
-@R.query()
-def entity_jaccard_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_jaccard_edges by its older name. No twin; tested against brute force."""
-    return entity_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
-
-
-@R.query()
-def clusters_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clusters by its older name. No twin; tested against brute force."""
-    return clusters(spark, sf_dir)
-
-
 @R.query("""WITH m AS (SELECT DISTINCT lower(p_brand) AS mention FROM part UNION SELECT DISTINCT lower(p_type) FROM part), e AS (SELECT p_partkey AS entity, lower(p_brand) AS name_norm, [lower(p_type)] AS aliases FROM part),
 x AS (SELECT mention, entity, 0 AS via FROM m JOIN e ON name_norm = mention UNION ALL SELECT mention, entity, 1 FROM m JOIN (SELECT entity, unnest(aliases) AS a FROM e) ON a = mention),
 k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY via, entity) AS k FROM x) SELECT mention, entity, CASE via WHEN 0 THEN 'name' ELSE 'alias' END AS via FROM k WHERE k = 1""")

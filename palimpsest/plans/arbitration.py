@@ -33,7 +33,7 @@ def value_sql(norm: str) -> str:
 
 @R.query(f"WITH {MEMORY_SQL}, n AS (SELECT id, {NORM('text')} AS norm FROM mem) SELECT id, {key_sql('norm')} AS key, md5({value_sql('norm')}) AS value FROM n")
 def statement_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir)
+    rows = memory_units(spark, sf_dir, ("embeddings",))
     return rows.select("id", tx.statement_key(F.col("text")).alias("key"), F.md5(tx.statement_value(F.col("text")).cast("binary")).alias("value"))
 
 
@@ -44,7 +44,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id
 
 @R.query(PAIRS + " SELECT new_id, old_id, rank, round(sim, 6) AS similarity FROM c WHERE rank <= 5")
 def write_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull())
+    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull())
     return ar.candidates(rows, rows).select("new_id", "old_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -62,24 +62,24 @@ f AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY band, sim DESC,
 SELECT m.id, coalesce(band, '6_create') AS decision, CASE WHEN coalesce(band, '6_create') <> '6_create' THEN old_id END AS target FROM mem m LEFT JOIN f ON f.new_id = m.id AND j = 1 WHERE m.embedding IS NOT NULL""")
 def arbitration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder at its own thresholds; a test runs its bands on planted near copies."""
-    rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull())
+    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull())
     return ar.decide(ar.candidates(rows, rows), rows)
 
 
 @R.query(f"WITH {MEMORY_SQL}, n AS (SELECT id, {NORM('text')} AS norm FROM mem) SELECT min(id) AS first_id, count(*) AS n FROM n GROUP BY norm HAVING count(*) > 1")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).select("id", F.sha2(tx.normalised(F.col("text")), 256).alias("k"))
+    rows = memory_units(spark, sf_dir, ()).select("id", F.sha2(tx.normalised(F.col("text")), 256).alias("k"))
     return rows.groupBy("k").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("k")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, coalesce(nullif(regexp_extract(text, '\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b'), ''), nullif(regexp_extract(text, '\\bQ[1-4] ?[0-9]{{4}}\\b'), ''), nullif(regexp_extract(text, '\\b(?:19|20)[0-9]{{2}}\\b'), '')) AS occasion FROM mem")
 def occasion_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", ar.occasion(F.col("text")).alias("occasion"))
+    return memory_units(spark, sf_dir, ()).select("id", ar.occasion(F.col("text")).alias("occasion"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, {ANCHORS('text')} AS anchors FROM mem")
 def referent_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", ar.anchors(F.col("text")).alias("anchors"))
+    return memory_units(spark, sf_dir, ()).select("id", ar.anchors(F.col("text")).alias("anchors"))
 
 
 TURNS = "t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS old FROM conversations)"
@@ -106,4 +106,4 @@ def merged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query()
 def near_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs: at this threshold hyperplane buckets prune little. No twin; tested against brute force."""
-    return ar.near_pairs(memory_units(spark, sf_dir).select("user_id", "id", "embedding"), "user_id", 0.35).withColumn("similarity", F.round("similarity", 6))
+    return ar.near_pairs(memory_units(spark, sf_dir, ("embeddings",)).select("user_id", "id", "embedding"), "user_id", 0.35).withColumn("similarity", F.round("similarity", 6))

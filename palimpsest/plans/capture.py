@@ -68,12 +68,12 @@ def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     project = F.substring(F.sha2(F.concat_ws(":", F.coalesce("path", F.lit("?")), "user_id"), 256), 1, 24)
     claim = F.sha2(F.concat(F.col("category"), F.lit("\x00"), tx.normalised(F.col("text"))), 256)
-    return memory_units(spark, sf_dir).select("id", project.alias("project_key"), claim.alias("claim_hash"))
+    return memory_units(spark, sf_dir, ()).select("id", project.alias("project_key"), claim.alias("claim_hash"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, list_filter(list_transform(string_split(text_norm, ' ')[1:14], lambda x: trim(x)), lambda x: x <> '')[1:10] AS tags FROM mem")
 def tag_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", cp.tags(F.slice(F.split("text_norm", " "), 1, 14)).alias("tags"))
+    return memory_units(spark, sf_dir, ()).select("id", cp.tags(F.slice(F.split("text_norm", " "), 1, 14)).alias("tags"))
 
 
 @R.query("SELECT page_id, regexp_extract_all(html, '<li>([^<]*)</li>', 1) AS items, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS n_text FROM pages")
@@ -135,4 +135,4 @@ def compressed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query()
 def fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the whole text, so that near copies with another tail differ. No twin; tested against brute force."""
-    return memory_units(spark, sf_dir).select("id", cp.fact_key(F.col("category"), F.col("text")).alias("fact_key"))
+    return memory_units(spark, sf_dir, ("embeddings",)).select("id", cp.fact_key(F.col("category"), F.col("text")).alias("fact_key"))

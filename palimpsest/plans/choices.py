@@ -28,7 +28,7 @@ CUES = decisions.R.sql["currentness_cues"].replace("conv_id, turn, role,", "id,"
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir)
+    rows = memory_units(spark, sf_dir, ())
     suffix = F.expr(SUFFIX.format(i="id", div="div", string="STRING"))
     person = F.expr("'person:p' || cast(id div 40 % 3 as string)")
     project = F.expr("'project:' || if(id % 4 = 0, 'other', session_id)")
@@ -102,7 +102,7 @@ POINTER = "CASE WHEN {i} % 31 = 5 THEN {i} + 12 WHEN {i} % 11 <> 0 AND {i} >= 4
 SELECT user_id, id, min(CASE WHEN k = 1 THEN cur END) AS target, bool_or(cur = id) OR max(k) >= 50 AS cycle FROM walk GROUP BY user_id, id""")
 def supersede_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most records point four back, in their own tenant; some point forward, so that walks turn in circles."""
-    rows = memory_units(spark, sf_dir).select((F.col("id") % 4).alias("user_id"), "id", F.expr(POINTER.format(i="id")).alias("next"))
+    rows = memory_units(spark, sf_dir, ()).select((F.col("id") % 4).alias("user_id"), "id", F.expr(POINTER.format(i="id")).alias("next"))
     return ch.would_cycle(rows.withColumnRenamed("next", "target"), rows)
 
 
@@ -123,7 +123,7 @@ SELECT user_id, session_id, used, array_to_string(ids, ',') AS ids, left_out FRO
 def preference_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve newest records of a user's session are a query's hits."""
     newest = Window.partitionBy("user_id", "session_id").orderBy(F.desc("created_at"), "id")
-    hits = memory_units(spark, sf_dir).withColumn("place", F.row_number().over(newest)).where("place <= 12").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
+    hits = memory_units(spark, sf_dir, ("labels",)).withColumn("place", F.row_number().over(newest)).where("place <= 12").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
     return ch.preference_packet(hits, ["user_id", "session_id"]).withColumn("ids", F.array_join("ids", ","))
 
 
@@ -140,7 +140,7 @@ def claim_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = F.expr("case when id % 2 = 0 then ' f' || id end")
     named = ch.identity_part(subject, F.col("category"), F.lit("memory")), ch.identity_part(F.col("memory_role"), F.lit("states"))
     contract = ch.claim_contract(F.col("user_id"), F.col("scope"), F.col("path"), fact, *named, F.col("text"))
-    return memory_units(spark, sf_dir).select("id", *[c.alias(name) for name, c in contract.items()])
+    return memory_units(spark, sf_dir, ()).select("id", *[c.alias(name) for name, c in contract.items()])
 
 
 STATUS = "CASE {i} % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'superseded' WHEN 2 THEN 'conflicted' WHEN 3 THEN 'rejected' WHEN 4 THEN 'odd' END"
@@ -150,4 +150,4 @@ STATUS = "CASE {i} % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'superseded' WHEN 2 THEN
 SELECT id, old, new, old = new OR old = 'active' OR old = 'conflicted' AS allowed FROM s""")
 def claim_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = ch.claim_status(F.expr(STATUS.format(i="id"))), ch.claim_status(F.expr(STATUS.format(i="(id div 6)")))
-    return memory_units(spark, sf_dir).select("id", old.alias("old"), new.alias("new"), ch.allowed_transition(old, new).alias("allowed"))
+    return memory_units(spark, sf_dir, ()).select("id", old.alias("old"), new.alias("new"), ch.allowed_transition(old, new).alias("allowed"))

@@ -19,7 +19,7 @@ def norm_sql(column: str) -> str:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record beside the one twenty before it."""
-    rows = memory_units(spark, sf_dir)
+    rows = memory_units(spark, sf_dir, ())
     old = rows.select((F.col("id") + 20).alias("id"), F.col("text").alias("old_text"), F.col("tier").alias("old_tier"), F.col("created_at").alias("old_created"), F.col("category").alias("old_category"), F.col("session_id").alias("old_session"))
     return rows.join(old, "id", "left")
 
@@ -39,7 +39,7 @@ SELECT id, CASE WHEN role <> 'project_state' THEN role
 def memory_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third record has a stored role."""
     role = F.when(F.col("id") % 3 == 0, F.col("memory_role"))
-    return memory_units(spark, sf_dir).select("id", dc.memory_kind(F.col("text"), role).alias("kind"))
+    return memory_units(spark, sf_dir, ()).select("id", dc.memory_kind(F.col("text"), role).alias("kind"))
 
 
 @R.query(r"""WITH t AS (SELECT conv_id, turn, role, lower(text) AS t FROM conversations)
@@ -79,7 +79,7 @@ j AS (SELECT coalesce(d.id, o.id) AS id, d.id IS NOT NULL AS found, o.id IS NOT
 SELECT id, coalesce(score, 0)::DOUBLE AS score, CASE WHEN wins THEN new_text ELSE hit_text END AS text, wins AS from_overlay FROM j WHERE found OR wins""")
 def overlay_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even records are the durable hits, every third one has an overlay entry; some entries have no record."""
-    rows = memory_units(spark, sf_dir)
+    rows = memory_units(spark, sf_dir, ())
     durable = rows.where("id % 2 = 0").select("id", F.when(F.col("id") % 14 != 0, F.col("active")).alias("active"), (F.col("id") * 37 % 101 / 100.0).alias("score"), F.col("tier").alias("text"))
     overlay = rows.where("id % 3 = 0").select("id", F.col("category").alias("text")).union(rows.where("id % 100 = 3").select(F.col("id") + 1000000000, "category"))
     return dc.overlay_merge(durable, overlay, rows.select("id", "active"))
@@ -99,13 +99,13 @@ v AS (SELECT cluster, category, count(*) AS n, min(id) AS first FROM m GROUP BY
 SELECT m.cluster, max(confidence) AS confidence, count(*) AS members, any_value(c.category) AS category, sha256(any_value(t.text)) AS text_sha FROM m JOIN c ON c.cluster = m.cluster AND c.k = 1 LEFT JOIN t ON t.cluster = m.cluster GROUP BY m.cluster""")
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five records in a row are one cluster; the text is compared by its hash."""
-    members = memory_units(spark, sf_dir).select(F.floor(F.col("id") / 5).alias("cluster"), "id", "text", "confidence", "category")
+    members = memory_units(spark, sf_dir, ("labels",)).select(F.floor(F.col("id") / 5).alias("cluster"), "id", "text", "confidence", "category")
     return dc.merged_entries(members).select("cluster", "confidence", "members", "category", F.sha2("text", 256).alias("text_sha"))
 
 
 @R.query(rf"""WITH {MEMORY_SQL}, f AS (SELECT id, CASE WHEN user_id IS NULL THEN '\x00'::BLOB ELSE '\x01'::BLOB || encode(to_json(user_id)::VARCHAR) END AS a, CASE WHEN path IS NULL THEN '\x00'::BLOB ELSE '\x01'::BLOB || encode(to_json(path)::VARCHAR) END AS b FROM mem) SELECT id, sha256(a || b) AS hash FROM f""")
 def boundary_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", dc.boundary_hash(F.col("user_id"), F.col("path")).alias("hash"))
+    return memory_units(spark, sf_dir, ()).select("id", dc.boundary_hash(F.col("user_id"), F.col("path")).alias("hash"))
 
 
 @R.query("""WITH t AS (SELECT role, conv_id, CASE WHEN role = 'user' THEN ceil(length(text) / 4)::BIGINT END AS p, CASE WHEN role <> 'user' THEN ceil(length(text) / 4)::BIGINT END AS c, CASE conv_id % 3 WHEN 0 THEN 0.001 * turn WHEN 1 THEN -1.0 END AS billed FROM conversations),
@@ -127,7 +127,7 @@ SELECT id, left(text, 100) AS l0, '- ' || left(text, 100) AS l1, category, confi
 def fact_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, none = F.col("id"), F.lit(None).cast("string")
     conf = F.when(i % 4 == 0, "high").when(i % 4 == 2, "nan").when(i % 4 == 3, F.col("confidence").cast("string"))
-    raw = memory_units(spark, sf_dir).select("id", F.col("text").alias("l2"), none.alias("l0"), none.alias("l1"), F.when(i % 11 != 0, F.col("category")).otherwise("other").alias("category"), conf.alias("confidence"))
+    raw = memory_units(spark, sf_dir, ("labels",)).select("id", F.col("text").alias("l2"), none.alias("l0"), none.alias("l1"), F.when(i % 11 != 0, F.col("category")).otherwise("other").alias("category"), conf.alias("confidence"))
     return dc.normalised_facts(raw).select("id", "l0", "l1", "category", "confidence", "identity_key")
 
 
@@ -163,7 +163,7 @@ SELECT s.user_id, max(CASE WHEN open_from IS NULL OR tm < open_from THEN tm END)
 def dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Swept are records that have a label, and old ones."""
     old = F.col("created_at") < F.expr(f"timestamp '{NOW}' - interval 1000 hours")
-    rows = memory_units(spark, sf_dir).select("user_id", F.col("created_at").alias("at"), (F.col("quality").isNotNull() | old).alias("swept"))
+    rows = memory_units(spark, sf_dir, ("labels",)).select("user_id", F.col("created_at").alias("at"), (F.col("quality").isNotNull() | old).alias("swept"))
     return dc.tie_safe_watermark(rows, ["user_id"])
 
 
@@ -195,4 +195,4 @@ def write_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     asked = F.when(i % 4 == 0, F.concat("scope", F.lit(" "))).when(i % 4 == 1, " ").when(i % 4 == 2, "odd")
     resolved = dc.write_scope(asked, F.when(i % 3 == 0, True).when(i % 3 == 1, False), F.col("session_id"))
-    return memory_units(spark, sf_dir).select("id", *[c.alias(name) for name, c in resolved.items()])
+    return memory_units(spark, sf_dir, ()).select("id", *[c.alias(name) for name, c in resolved.items()])

@@ -26,25 +26,25 @@ VITALITY = f"CASE WHEN pinned THEN 1.0 ELSE (pow(0.5, {age('coalesce(last_access
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, round({VITALITY}, 6) AS vitality FROM mem WHERE coalesce(active, true)")
 def decay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(F.coalesce("active", F.lit(True))).select("id", F.round(lc.vitality(now()), 6).alias("vitality"))
+    return memory_units(spark, sf_dir, ("labels",)).where(F.coalesce("active", F.lit(True))).select("id", F.round(lc.vitality(now()), 6).alias("vitality"))
 
 
 @R.query(f"""WITH {MEMORY_SQL}, a AS (SELECT *, {VITALITY} AS vitality FROM mem WHERE coalesce(active, true)), n AS (SELECT user_id, floor(count(*) * 0.05) AS most FROM a GROUP BY user_id),
 e AS (SELECT user_id, id, vitality, row_number() OVER (PARTITION BY user_id ORDER BY vitality, id)::INTEGER AS turn FROM a WHERE vitality < 0.10 AND {age('created_at')} > 720 AND {CONF} < 0.7 AND tier <> 'durable' AND NOT pinned)
 SELECT user_id, id, round(vitality, 6) AS vitality, turn FROM e JOIN n USING (user_id) WHERE turn <= most""")
 def decay_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lc.prune(memory_units(spark, sf_dir), ["user_id"], now()).withColumn("vitality", F.round("vitality", 6))
+    return lc.prune(memory_units(spark, sf_dir, ("labels",)), ["user_id"], now()).withColumn("vitality", F.round("vitality", 6))
 
 
 @R.query(f"""WITH {MEMORY_SQL} SELECT id, tier, CASE WHEN tier = 'ephemeral' AND (access_count >= 2 OR {CONF} >= 0.9) AND {age('created_at')} >= 1 THEN 'working'
   WHEN tier = 'working' AND access_count >= 3 AND {CONF} >= 0.8 AND {age('created_at')} >= 24 THEN 'durable' ELSE tier END AS new_tier FROM mem WHERE coalesce(active, true)""")
 def tier_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(F.coalesce("active", F.lit(True))).select("id", "tier", lc.promoted_tier(now()).alias("new_tier"))
+    return memory_units(spark, sf_dir, ("labels",)).where(F.coalesce("active", F.lit(True))).select("id", "tier", lc.promoted_tier(now()).alias("new_tier"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, round(access_count * pow(0.5, {age('coalesce(last_accessed_at, created_at)')} / 168.0), 6) AS score FROM mem")
 def access_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", F.round(lc.access_score(now()), 6).alias("score"))
+    return memory_units(spark, sf_dir, ("labels",)).select("id", F.round(lc.access_score(now()), 6).alias("score"))
 
 
 TOK = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1))"
@@ -62,7 +62,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn of conversation i is an answer that used memory i."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("id"), F.col("text").alias("answer"))
     names = F.array(*[F.lit(v) for v in ("explicit_success", "implicit_success", "rephrased", "failure", "other")])
-    rows = memory_units(spark, sf_dir).select("id", "text", F.col("confidence").alias("prior")).join(turns, "id")
+    rows = memory_units(spark, sf_dir, ("labels",)).select("id", "text", F.col("confidence").alias("prior")).join(turns, "id")
     rows = rows.withColumns({"resolution": F.get(names, (F.col("id") % 5).cast("int")), "corrected": F.col("id") % 11 == 0, "cross_session": F.col("id") % 2 == 0})
     return rows.withColumn("evidence", lc.evidence(F.col("text"), F.col("answer"), F.col("resolution"), F.col("corrected"), F.col("cross_session")))
 
@@ -87,7 +87,7 @@ def claim_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id FROM mem WHERE NOT coalesce(active, true) AND created_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY")
 def soft_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(~F.coalesce("active", F.lit(True)) & (F.col("created_at") < now() - F.expr("INTERVAL 90 DAYS"))).select("id")
+    return memory_units(spark, sf_dir, ()).where(~F.coalesce("active", F.lit(True)) & (F.col("created_at") < now() - F.expr("INTERVAL 90 DAYS"))).select("id")
 
 
 @R.query("SELECT o_custkey, o_orderkey AS id, row_number() OVER w AS revision, lag(o_orderkey) OVER w AS supersedes, lead(o_orderkey) OVER w AS superseded_by, first_value(o_orderkey) OVER w AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -132,7 +132,7 @@ def recurring_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"WITH {MEMORY_SQL} SELECT id, user_id, row_number() OVER (PARTITION BY text_norm ORDER BY created_at DESC, id) = 1 AS keeps FROM mem")
 def tenant_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of each normalised text stays, whatever its tenant: the newest."""
-    rows = memory_units(spark, sf_dir).select("id", "user_id", F.xxhash64("text_norm").alias("fact_key"), "created_at")
+    rows = memory_units(spark, sf_dir, ()).select("id", "user_id", F.xxhash64("text_norm").alias("fact_key"), "created_at")
     return lc.newest_per_key(rows, ["fact_key"], F.desc("created_at"), F.asc("id")).select("id", "user_id", "keeps")
 
 
@@ -144,6 +144,6 @@ def sweep_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, CASE WHEN user_id = 'src1' THEN 'durable' ELSE tier END AS tier, active FROM mem")
 def merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = memory_units(spark, sf_dir).select("id", "tier", "active", "user_id")
+    current = memory_units(spark, sf_dir, ()).select("id", "tier", "active", "user_id")
     changes = current.where("user_id = 'src1'").withColumn("tier", F.lit("durable"))
     return lc.merge(current, changes, "id").select("id", "tier", "active")

@@ -25,7 +25,7 @@ def now() -> Column:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).withColumn("score", (F.col("id") * 37 % 101) / 100.0)
+    return memory_units(spark, sf_dir, ()).withColumn("score", (F.col("id") * 37 % 101) / 100.0)
 
 
 def scored(df: DataFrame, *more: str) -> DataFrame:

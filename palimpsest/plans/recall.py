@@ -47,27 +47,27 @@ RECENCY_SQL = f"SELECT id, epoch(created_at)::DOUBLE AS score FROM mem WHERE cre
 
 @R.query(f"WITH {MEMORY_SQL}, {QVEC_SQL}, {leg_sql('leg', VECTOR_SQL, 50)} SELECT id, rank, round(score, 6) AS score FROM leg")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.vector_leg(memory_units(spark, sf_dir), query_vector(spark, sf_dir), 50).select("id", "rank", F.round("score", 6).alias("score"))
+    return rt.vector_leg(memory_units(spark, sf_dir, ("embeddings",)), query_vector(spark, sf_dir), 50).select("id", "rank", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT count(*) AS n, round(avg(len(string_split(text_norm, ' '))), 6) AS avgdl FROM mem")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.corpus_stats(memory_units(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return rt.corpus_stats(memory_units(spark, sf_dir, ())).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @R.query(f"WITH {MEMORY_SQL}, {BM25_CTES}, {leg_sql('leg', BM25_SQL, 50)} SELECT id, rank, round(score, 6) AS score FROM leg")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.bm25_leg(memory_units(spark, sf_dir), TERMS, 50).select("id", "rank", F.round("score", 6).alias("score"))
+    return rt.bm25_leg(memory_units(spark, sf_dir, ()), TERMS, 50).select("id", "rank", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {MEMORY_SQL}, {leg_sql('leg', f'SELECT id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), $$[\\p{{L}}\\p{{N}}_]+$$)), {TERMS_SQL})) / {len(TERMS)} AS score FROM mem WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(text), $$[\\p{{L}}\\p{{N}}_]+$$)), {TERMS_SQL})) > 0', 100)} SELECT id, rank, round(score, 6) AS score FROM leg")
 def overlap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.overlap_leg(memory_units(spark, sf_dir), TERMS, 100).select("id", "rank", F.round("score", 6).alias("score"))
+    return rt.overlap_leg(memory_units(spark, sf_dir, ()), TERMS, 100).select("id", "rank", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {MEMORY_SQL}, {leg_sql('leg', RECENCY_SQL, 50)} SELECT id, rank, score FROM leg")
 def recency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.recency_leg(memory_units(spark, sf_dir), now_col(), 48, 50).select("id", "rank", "score")
+    return rt.recency_leg(memory_units(spark, sf_dir, ()), now_col(), 48, 50).select("id", "rank", "score")
 
 
 FUSED_SQL = f"""
@@ -80,14 +80,14 @@ fused AS (SELECT id, sum(part) AS score, max(rank) FILTER (WHERE leg = 'vector')
 
 @R.query(f"WITH {MEMORY_SQL}, {QVEC_SQL}, {FUSED_SQL}, {leg_sql('best', 'SELECT id, round(score, 9) AS score FROM fused', 15)} SELECT best.id, rank, round(score, 6) AS score, text, category FROM best JOIN mem ON mem.id = best.id")
 def hybrid_rrf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ("embeddings",))
     best = rt.hybrid(memories, query_vector(spark, sf_dir), TERMS, now_col(), 15)
     return rt.hydrate(memories, best, "text", "category").select("id", "rank", F.round("score", 6).alias("score"), "text", "category")
 
 
 @R.query(f"WITH {MEMORY_SQL}, {QVEC_SQL}, {FUSED_SQL} SELECT id, round(score, 6) AS score, vector_rank, bm25_rank, recency_rank FROM fused")
 def leg_rank_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ("embeddings",))
     legs = {"vector": rt.vector_leg(memories, query_vector(spark, sf_dir), 45), "bm25": rt.bm25_leg(memories, TERMS, 45), "recency": rt.recency_leg(memories, now_col(), 48, 45)}
     return rt.fuse(legs).withColumn("score", F.round("score", 6))
 
@@ -96,7 +96,7 @@ def leg_rank_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT id, {COSINE.format(a='embedding', b='q')} AS score FROM best JOIN mem USING (id), qv WHERE len(embedding) = 64)
 SELECT id, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'direct' WHEN score >= 0.5 THEN 'supporting' WHEN score >= 0.3 THEN 'background' END AS label FROM s WHERE score >= 0.3""")
 def rerank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories, query = memory_units(spark, sf_dir), query_vector(spark, sf_dir)
+    memories, query = memory_units(spark, sf_dir, ("embeddings",)), query_vector(spark, sf_dir)
     best = rt.hybrid(memories, query, TERMS, now_col(), 15)
     return rt.rerank(rt.hydrate(memories, best, "embedding"), query).select("id", F.round("score", 6).alias("score"), "label")
 
@@ -106,7 +106,7 @@ x AS (SELECT b.id, score, least(1.0, len(list_intersect(list_distinct(regexp_ext
   + 0.1 * (strpos(text_norm, 'passage') > 0)::INTEGER) AS exact FROM b JOIN mem ON mem.id = b.id)
 SELECT id, round(exact, 6) AS exact, round(score + CASE WHEN exact >= 0.5 THEN 0.05 * exact ELSE 0.0 END, 6) AS score FROM x""")
 def exact_qa_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ())
     hits = rt.hydrate(memories, rt.bm25_leg(memories, TERMS, 50), "text", "text_norm")
     bumped = rt.exact_bump(hits, TERMS, F.col("text").rlike(r"\b[0-9]+\b"), F.contains("text_norm", F.lit("passage")))
     return bumped.select("id", F.round("exact", 6).alias("exact"), F.round("score", 6).alias("score"))
@@ -118,7 +118,7 @@ CLAIMS = "claims AS (SELECT id + 1000000000 AS id, confidence AS score, [id, id
 @R.query(f"""WITH {MEMORY_SQL}, {CLAIMS}, {leg_sql('r', RECENCY_SQL, 200)}
 SELECT id, round(score, 6) AS score FROM claims UNION ALL SELECT id, round(score, 6) FROM r WHERE id NOT IN (SELECT unnest(supports) FROM claims)""")
 def claim_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ("labels",))
     claims = memories.where("pinned and confidence is not null").select((F.col("id") + 1000000000).alias("id"), F.col("confidence").alias("score"), F.array("id", F.col("id") + 1, F.col("id") + 2).alias("supports"))
     return rt.merge_claims(rt.recency_leg(memories, now_col(), 48, 200), claims, "primary").select("id", F.round("score", 6).alias("score"))
 
@@ -126,7 +126,7 @@ def claim_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"""WITH {MEMORY_SQL}, {CLAIMS}, {leg_sql('r', "SELECT id, 1.0 AS score FROM mem WHERE created_at > TIMESTAMP '2099-01-01'", 10)}
 SELECT id, score FROM r UNION ALL SELECT id, round(score * 0.6, 6) FROM claims WHERE NOT EXISTS (SELECT 1 FROM r)""")
 def claim_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = memory_units(spark, sf_dir)
+    memories = memory_units(spark, sf_dir, ("labels",))
     claims = memories.where("pinned and confidence is not null").select((F.col("id") + 1000000000).alias("id"), F.col("confidence").alias("score"), F.array("id").alias("supports"))
     none = rt.recency_leg(memories, F.lit("2099-01-03").cast("timestamp"), 1, 10)
     return rt.merge_claims(none, claims, "annotation").select("id", F.round("score", 6).alias("score"))
@@ -152,5 +152,5 @@ def entity_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"WITH {MEMORY_SQL}, s AS (SELECT embedding FROM mem WHERE embedding IS NOT NULL) SELECT len(embedding) AS dim, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x * x)))), 6) AS mean_norm FROM s GROUP BY ALL")
 def embedding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store's dimension census: a recall whose model has another dimension must return no rows."""
-    rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull())
+    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull())
     return rows.groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.round(F.avg(vec.norm(F.col("embedding"))), 6).alias("mean_norm"))

@@ -19,7 +19,7 @@ def now() -> Column:
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", "user_id", "active", F.when(F.col("id") % 3 == 0, F.col("id") - 1000).alias("lineage_root"))
+    return memory_units(spark, sf_dir, ()).select("id", "user_id", "active", F.when(F.col("id") % 3 == 0, F.col("id") - 1000).alias("lineage_root"))
 
 
 @R.query(f"""WITH {STATE_SQL}, d AS (SELECT n.id AS new_id, o.id AS old_id, coalesce(o.lineage_root, o.id) AS root FROM rec n JOIN rec o ON o.id = n.id - 20 AND o.user_id = n.user_id WHERE n.id % 8 = 0)
@@ -34,53 +34,53 @@ def supersede_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"""WITH {MEMORY_SQL} SELECT id, user_id, CASE WHEN id % 13 = 0 AND user_id = 'src1' THEN false ELSE active END AS active, CASE WHEN id % 13 = 0 AND user_id = 'src1' THEN 'forgotten' WHEN active = false THEN 'old' END AS inactive_reason FROM mem""")
 def forget_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids divisible by 13 are asked for by one tenant: only its own are forgotten."""
-    rows = memory_units(spark, sf_dir).select("id", "user_id", "active", F.when(~F.col("active"), "old").alias("inactive_reason"))
+    rows = memory_units(spark, sf_dir, ()).select("id", "user_id", "active", F.when(~F.col("active"), "old").alias("inactive_reason"))
     return rc.forget(rows, rows.where("id % 13 = 0").select("id", F.lit("src1").alias("user_id"))).select("id", "user_id", "active", "inactive_reason")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, user_id FROM mem WHERE NOT (id % 13 = 0 AND user_id = 'src1')")
 def erase_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).select("id", "user_id")
+    rows = memory_units(spark, sf_dir, ()).select("id", "user_id")
     return rc.forget(rows, rows.where("id % 13 = 0").select("id", F.lit("src1").alias("user_id")), hard=True)
 
 
 @R.query(f"""WITH {MEMORY_SQL} SELECT id, user_id, CASE WHEN id % 2 = 0 AND NOT coalesce(active, false) THEN true ELSE active END AS active, CASE WHEN id % 2 = 0 AND NOT coalesce(active, false) THEN NULL WHEN active = false THEN 'old' END AS inactive_reason FROM mem""")
 def restore_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).select("id", "user_id", "active", F.when(~F.col("active"), "old").alias("inactive_reason"))
+    rows = memory_units(spark, sf_dir, ()).select("id", "user_id", "active", F.when(~F.col("active"), "old").alias("inactive_reason"))
     return rc.restore(rows, rows.where("id % 2 = 0").select("id", "user_id")).select("id", "user_id", "active", "inactive_reason")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, CASE WHEN memory_role IN ('session_handoff', 'project_state') AND path = '/repo/1' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{NOW}') THEN TIMESTAMP '{NOW}' ELSE invalid_at END AS invalid_at FROM mem")
 def continuity_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rc.invalidated(memory_units(spark, sf_dir), ["session_handoff", "project_state"], now(), "/repo/1").select("id", "invalid_at")
+    return rc.invalidated(memory_units(spark, sf_dir, ()), ["session_handoff", "project_state"], now(), "/repo/1").select("id", "invalid_at")
 
 
 @R.query("SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT coalesce(l.toxic = 1, false)")
 def stale_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxic label stands for the stale flag: true, false or null."""
-    return memory_units(spark, sf_dir).withColumn("stale", F.col("toxic") == 1).where(rc.not_stale("stale")).select("id")
+    return memory_units(spark, sf_dir, ("labels",)).withColumn("stale", F.col("toxic") == 1).where(rc.not_stale("stale")).select("id")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id FROM mem WHERE path = '/repo/1' AND lang = 'en'")
 def attribution_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).withColumn("client", F.col("lang")).where(rc.attributed("/repo/1", "en")).select("id")
+    return memory_units(spark, sf_dir, ()).withColumn("client", F.col("lang")).where(rc.attributed("/repo/1", "en")).select("id")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id FROM mem WHERE access_count >= 3 AND quality = 0 AND coalesce(active, true)")
 def learned_noise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).withColumns({"status_retrieved": F.col("access_count"), "used": F.col("quality")})
+    rows = memory_units(spark, sf_dir, ("labels",)).withColumns({"status_retrieved": F.col("access_count"), "used": F.col("quality")})
     return rows.where(rc.learned_noise()).select("id")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, round(((id * 37) % 101) / 100.0 * CASE WHEN coalesce(lang, '') = '' THEN 1.0 WHEN lang = 'de' THEN 1.08 ELSE 0.72 END, 6)::DOUBLE AS score FROM mem")
 def preferred_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = memory_units(spark, sf_dir).select("id", (F.col("id") * 37 % 101 / 100.0).alias("score"), F.col("lang").alias("client"))
+    hits = memory_units(spark, sf_dir, ()).select("id", (F.col("id") * 37 % 101 / 100.0).alias("score"), F.col("lang").alias("client"))
     return rc.prefer_client(hits, "de", "prefer").select("id", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, CASE WHEN category IN ('profile', 'preferences') THEN 'durable' WHEN confidence < 0.5 THEN 'ephemeral' WHEN category IN ('cases', 'events') AND confidence >= 0.9 THEN 'durable' ELSE 'working' END AS tier FROM mem")
 def resolved_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", rc.resolved_tier(F.col("category"), F.col("confidence")).alias("tier"))
+    return memory_units(spark, sf_dir, ("labels",)).select("id", rc.resolved_tier(F.col("category"), F.col("confidence")).alias("tier"))
 
 
 @R.query("""WITH c AS (SELECT source, count(*) AS committed, count(e.vec_id) AS indexed FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY source)
@@ -97,7 +97,7 @@ s AS (SELECT q.id AS query_id, {COSINE.format(a="q.embedding", b="m.embedding")}
 SELECT q.id AS query_id, count(s.k) AS nearest, round(1 - coalesce(max(similarity), 0.0), 6) AS novelty FROM q LEFT JOIN s ON s.query_id = q.id AND k <= 10 GROUP BY q.id""")
 def session_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: records whose id is divisible by 100, against all."""
-    rows = memory_units(spark, sf_dir).where("embedding is not null")
+    rows = memory_units(spark, sf_dir, ("embeddings",)).where("embedding is not null")
     return rc.novelty(rows.where("id % 100 = 0"), rows).withColumn("novelty", F.round("novelty", 6))
 
 
@@ -122,7 +122,7 @@ def synthesis_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT user_id, id, path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN path = '/repo/1' THEN 0 WHEN path IS NULL THEN 1 ELSE 2 END, created_at DESC, id) AS k FROM mem WHERE memory_role = 'project_state') WHERE k = 1")
 def project_state_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = memory_units(spark, sf_dir).where("memory_role = 'project_state'")
+    states = memory_units(spark, sf_dir, ()).where("memory_role = 'project_state'")
     return rc.state_of_path(states, ["user_id"], "/repo/1").select("user_id", "id", "path")
 
 
@@ -140,7 +140,7 @@ def gap_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"WITH {MEMORY_SQL} SELECT id, user_id FROM mem SEMI JOIN (SELECT DISTINCT l_partkey AS id FROM lineitem) USING (id) WHERE coalesce(active, true) AND (scope = 'user' OR scope IS NULL)")
 def linked_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
-    rows = memory_units(spark, sf_dir).where(F.coalesce("active", F.lit(True)) & ((F.col("scope") == "user") | F.col("scope").isNull()))
+    rows = memory_units(spark, sf_dir, ()).where(F.coalesce("active", F.lit(True)) & ((F.col("scope") == "user") | F.col("scope").isNull()))
     return rows.join(linked, "id", "left_semi").select("id", "user_id")
 
 
@@ -158,4 +158,4 @@ def unenriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"WITH {MEMORY_SQL} SELECT id FROM mem WHERE path IN ('/repo/0', '/repo/2') OR session_id = 's7'")
 def session_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project key in a list, or the workspace's fingerprint."""
-    return memory_units(spark, sf_dir).where(F.col("path").isin("/repo/0", "/repo/2") | (F.col("session_id") == "s7")).select("id")
+    return memory_units(spark, sf_dir, ()).where(F.col("path").isin("/repo/0", "/repo/2") | (F.col("session_id") == "s7")).select("id")

@@ -28,30 +28,30 @@ def rx(text: str, patterns: tuple[str, ...]) -> str:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, created_at FROM mem WHERE user_id = 'src0' AND {ACTIVE} ORDER BY created_at DESC, id LIMIT 100")
 def tenant_active_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).where((F.col("user_id") == "src0") & pr.is_active())
+    rows = memory_units(spark, sf_dir, ()).where((F.col("user_id") == "src0") & pr.is_active())
     return rows.orderBy(F.desc("created_at"), "id").limit(100).select("id", "created_at")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, text, tier FROM mem WHERE id = 7")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where("id = 7").select("id", "text", "tier")
+    return memory_units(spark, sf_dir, ()).where("id = 7").select("id", "text", "tier")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, created_at FROM mem WHERE created_at > TIMESTAMP '{NOW}' - INTERVAL 14 DAY AND {ACTIVE} ORDER BY created_at DESC, id LIMIT 200")
 def time_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).where((F.col("created_at") > now() - F.expr("INTERVAL 14 DAYS")) & pr.is_active())
+    rows = memory_units(spark, sf_dir, ()).where((F.col("created_at") > now() - F.expr("INTERVAL 14 DAYS")) & pr.is_active())
     return rows.orderBy(F.desc("created_at"), "id").limit(200).select("id", "created_at")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, user_id, tier FROM mem WHERE id IN (SELECT item_id FROM benchmark)")
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
-    return memory_units(spark, sf_dir).join(ids, "id", "left_semi").select("id", "user_id", "tier")
+    return memory_units(spark, sf_dir, ()).join(ids, "id", "left_semi").select("id", "user_id", "tier")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, scope, category, confidence FROM mem WHERE {ACTIVE}")
 def active_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(pr.is_active()).select("id", "scope", "category", "confidence")
+    return memory_units(spark, sf_dir, ("labels",)).where(pr.is_active()).select("id", "scope", "category", "confidence")
 
 
 @R.query(f"""WITH {MEMORY_SQL} SELECT id, memory_role, created_at FROM mem WHERE {ACTIVE} AND {VALID} AND (memory_role IN ('current_status', 'session_handoff', 'debugging_active', 'planning_active', 'project_state')
@@ -59,12 +59,12 @@ def active_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def continuity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.col("memory_role").isin("current_status", "session_handoff", "debugging_active", "planning_active", "project_state")
     passing = F.col("category").isin("entities", "events") & (F.col("tier") == "working") & (F.col("created_at") > now() - F.expr("INTERVAL 14 DAYS"))
-    return memory_units(spark, sf_dir).where(pr.is_active() & pr.is_valid(now()) & (state | (F.col("memory_role") == "recent_work") | passing)).select("id", "memory_role", "created_at")
+    return memory_units(spark, sf_dir, ()).where(pr.is_active() & pr.is_valid(now()) & (state | (F.col("memory_role") == "recent_work") | passing)).select("id", "memory_role", "created_at")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, session_id, created_at FROM mem WHERE session_id IN ('s1', 's2', 's3') AND created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
 def cursor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(F.col("session_id").isin("s1", "s2", "s3") & (F.col("created_at") > now() - F.expr("INTERVAL 30 DAYS"))).select("id", "session_id", "created_at")
+    return memory_units(spark, sf_dir, ()).where(F.col("session_id").isin("s1", "s2", "s3") & (F.col("created_at") > now() - F.expr("INTERVAL 30 DAYS"))).select("id", "session_id", "created_at")
 
 
 @R.query("SELECT conv_id, turn, role, text FROM conversations WHERE turn >= 1")
@@ -96,22 +96,22 @@ def retention_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, scope FROM mem WHERE scope = 'user' OR scope IS NULL OR (scope = 'session' AND session_id = 's3')")
 def scope_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(pr.in_scope("default", session_id="s3")).select("id", "scope")
+    return memory_units(spark, sf_dir, ()).where(pr.in_scope("default", session_id="s3")).select("id", "scope")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, scope FROM mem WHERE scope = 'session' AND session_id = 's3'")
 def scope_strict_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(pr.in_scope("session", session_id="s3")).select("id", "scope")
+    return memory_units(spark, sf_dir, ()).where(pr.in_scope("session", session_id="s3")).select("id", "scope")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, path FROM mem WHERE (path = '/repo/1' OR path IS NULL) AND {VALID}")
 def path_and_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(pr.on_path("/repo/1") & pr.is_valid(now())).select("id", "path")
+    return memory_units(spark, sf_dir, ()).where(pr.on_path("/repo/1") & pr.is_valid(now())).select("id", "path")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, tier, confidence FROM mem WHERE created_at >= TIMESTAMP '2024-04-01' AND tier = 'durable' AND coalesce(confidence, -1) >= 0.6 AND category IN ('events', 'cases')")
 def soft_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(pr.soft("2024-04-01", "durable", 0.6, ["events", "cases"])).select("id", "tier", "confidence")
+    return memory_units(spark, sf_dir, ("labels",)).where(pr.soft("2024-04-01", "durable", 0.6, ["events", "cases"])).select("id", "tier", "confidence")
 
 
 NQ = r"trim(regexp_replace(regexp_replace(text, '(?i)^Cron\s+job\s*\([^)]*\):\s*', ''), '^\[\d{4}-\d{2}-\d{2}T[^\]]*\]\s*', ''))"
@@ -129,7 +129,7 @@ def noise_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, category FROM mem WHERE coalesce(confidence, 0) >= greatest(0.7, CASE category WHEN 'profile' THEN 0.7 WHEN 'preferences' THEN 0.7 WHEN 'entities' THEN 0.85 WHEN 'events' THEN 0.85 WHEN 'cases' THEN 0.8 WHEN 'patterns' THEN 0.8 ELSE CASE WHEN category IS NULL THEN 0.7 ELSE 0.95 END END)")
 def confidence_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).where(F.coalesce("confidence", F.lit(0.0)) >= pr.confidence_floor()).select("id", "category")
+    return memory_units(spark, sf_dir, ("labels",)).where(F.coalesce("confidence", F.lit(0.0)) >= pr.confidence_floor()).select("id", "category")
 
 
 @R.query(f"SELECT item_id, (trim(text) <> '') AND (contains(trim(text), '?') OR {rx('trim(text)', pr.EXACT_QUERY)}) AND ({rx('trim(text)', pr.EXACT_VALUE)} OR {rx('trim(text)', pr.EXACT_QUERY)}) AS exact, {rx('text', pr.EXACT_VALUE)} AS has_value FROM benchmark")
@@ -139,7 +139,7 @@ def exact_qa_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, {' OR '.join(f'contains(lower(text), {chr(39)}{c}{chr(39)})' for c in pr.HANDOFF_CUES)} AS handoff FROM mem")
 def handoff_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", pr.has_handoff_cue(F.col("text")).alias("handoff"))
+    return memory_units(spark, sf_dir, ()).select("id", pr.has_handoff_cue(F.col("text")).alias("handoff"))
 
 
 @R.query("WITH h AS (SELECT user_id, event_id, value / 200 AS score FROM events), g AS (SELECT user_id FROM h GROUP BY user_id HAVING max(score) >= 0.9) SELECT user_id, event_id, round(score, 6) AS score FROM h WHERE user_id IN (SELECT user_id FROM g)")
@@ -153,25 +153,25 @@ COS = "(list_sum(list_transform(list_zip(m.embedding, p.embedding), lambda z: z[
 
 @R.query(f"WITH {MEMORY_SQL} SELECT m.id, round(max({COS}), 6) AS best, coalesce(max({COS}) > 0.92, false) AS noise FROM mem m, (SELECT embedding FROM mem WHERE id < 20 AND embedding IS NOT NULL) p WHERE m.embedding IS NOT NULL GROUP BY m.id")
 def noise_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir).where(F.col("embedding").isNotNull()).select("id", "embedding")
+    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull()).select("id", "embedding")
     bank = rows.where("id < 20").select("embedding")  # a prototype bank is a stated, bounded set
     return pr.noise_like(rows, bank).select("id", F.round("best", 6).alias("best"), "noise")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, text[:100] AS l0, CASE WHEN regexp_extract(text, '^[\\s\\S]*?[.!?。！？]') = '' THEN text ELSE regexp_extract(text, '^[\\s\\S]*?[.!?。！？]') END AS l1 FROM mem")
 def depth_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", sh.at_depth("l0").alias("l0"), sh.at_depth("l1").alias("l1"))
+    return memory_units(spark, sf_dir, ()).select("id", sh.at_depth("l0").alias("l0"), sh.at_depth("l1").alias("l1"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, ceil(length(text) / 4)::BIGINT AS tokens FROM mem")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", tx.token_estimate(F.col("text")).alias("tokens"))
+    return memory_units(spark, sf_dir, ()).select("id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
 @R.query(f"""WITH {MEMORY_SQL}, r AS (SELECT user_id, id, text, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id)::INTEGER AS rank FROM mem)
 SELECT user_id, '<memories untrusted="true">' || chr(10) || string_agg('- ' || regexp_replace(regexp_replace(replace(text, chr(0), ''), '[\\r\\n]+', ' ', 'g'), '^(?:> ?)+', ''), chr(10) ORDER BY rank) || chr(10) || '</memories>' AS block FROM r WHERE rank <= 5 GROUP BY user_id""")
 def untrusted_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rt.top_per(memory_units(spark, sf_dir).select("user_id", "id", "text", "created_at"), ["user_id"], 5, F.desc("created_at"), F.asc("id"))
+    rows = rt.top_per(memory_units(spark, sf_dir, ()).select("user_id", "id", "text", "created_at"), ["user_id"], 5, F.desc("created_at"), F.asc("id"))
     return sh.envelope(rows, ["user_id"])
 
 
@@ -184,7 +184,7 @@ s AS (SELECT *, CASE WHEN sum(tf) OVER g <= 2000 THEN 'full' WHEN sum(t1) OVER g
 c AS (SELECT *, sum(CASE depth WHEN 'full' THEN tf WHEN 'l1' THEN t1 ELSE t0 END) OVER (PARTITION BY user_id ORDER BY rank)::BIGINT AS spent FROM s)
 SELECT user_id, id, rank, depth, spent FROM c WHERE spent <= 2000""")
 def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rt.top_per(memory_units(spark, sf_dir).select("user_id", "id", "text", "created_at"), ["user_id"], 12, F.desc("created_at"), F.asc("id"))
+    rows = rt.top_per(memory_units(spark, sf_dir, ()).select("user_id", "id", "text", "created_at"), ["user_id"], 12, F.desc("created_at"), F.asc("id"))
     return sh.budget_fit(rows, ["user_id"], 2000).select("user_id", "id", "rank", "depth", "spent")
 
 
@@ -194,17 +194,17 @@ x AS (SELECT *, count(*) FILTER (WHERE kind = 'exact') OVER (PARTITION BY user_i
 y AS (SELECT user_id, id, rank, row_number() OVER (PARTITION BY user_id ORDER BY kind, rank)::INTEGER AS place FROM x WHERE kind = 'exact' OR exact * 2 < 8 OR place = 1)
 SELECT user_id, id, place FROM y WHERE place <= 8""")
 def path_quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rt.top_per(memory_units(spark, sf_dir).select("user_id", "id", "path", "created_at"), ["user_id"], 30, F.desc("created_at"), F.asc("id"))
+    rows = rt.top_per(memory_units(spark, sf_dir, ()).select("user_id", "id", "path", "created_at"), ["user_id"], 30, F.desc("created_at"), F.asc("id"))
     return sh.path_quota(rows, ["user_id"], "/repo/1", 8).select("user_id", "id", "place")
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[email]', 'g'), '\\b(AKIA[A-Z0-9]{{16}}|[0-9a-f]{{32,}})\\b', '[key]', 'g'), '/(home|Users)/[^/\\s]+', '~', 'g') AS text FROM mem")
 def export_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_units(spark, sf_dir).select("id", sh.redacted(F.col("text")).alias("text"))
+    return memory_units(spark, sf_dir, ()).select("id", sh.redacted(F.col("text")).alias("text"))
 
 
 @R.query(f"WITH {MEMORY_SQL} SELECT created_at::DATE AS day, category AS folder, count(*) AS notes, sum(length(text))::BIGINT AS chars FROM mem WHERE {ACTIVE} GROUP BY ALL")
 def vault_daily_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregation behind a vault export: notes a day and folder."""
-    rows = memory_units(spark, sf_dir).where(pr.is_active())
+    rows = memory_units(spark, sf_dir, ()).where(pr.is_active())
     return rows.groupBy(F.to_date("created_at").alias("day"), F.col("category").alias("folder")).agg(F.count("*").alias("notes"), F.sum(F.length("text")).alias("chars"))

@@ -26,11 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def memory_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """memory_unit rows; Catalyst prunes the joins' columns and the scans to what a query uses."""
+def memory_units(spark: SparkSession, sf_dir: str, joined: tuple[str, ...] = ("embeddings", "labels")) -> DataFrame:
+    """memory_unit rows. A left join can't be pruned unless its keys are known to be unique: a query that needs no
+    vector leaves out `embeddings`, one that needs no confidence, quality or toxicity leaves out `labels`, and
+    then has no shuffle for them."""
     doc = table(spark, sf_dir, "documents")
-    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    if "embeddings" in joined:
+        doc = doc.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "doc_id", "left")
+    if "labels" in joined:
+        doc = doc.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
     i = F.col("doc_id")
     hours = lambda n: F.make_dt_interval(hours=n.cast("int"))
     created = F.to_timestamp(F.lit(NOW)) - hours(i * 7 % 2400)
@@ -38,18 +42,19 @@ def memory_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.lit("profile")
     for lang, name in CATEGORIES.items():
         category = F.when(F.col("lang") == lang, name).otherwise(category)
-    return (
-        doc.join(vec, "doc_id", "left")
-        .join(lab, "doc_id", "left")
-        .select(
-            i.alias("id"), "text", F.lower("text").alias("text_norm"), F.col("source").alias("user_id"), category.alias("category"),
-            pick(TIERS, i).alias("tier"), pick(SCOPES, i / 3).alias("scope"), F.concat(F.lit("s"), (i % 20).cast("string")).alias("session_id"),
-            pick(ROLES, i / 2).alias("memory_role"), F.when(i % 4 != 0, F.concat(F.lit("/repo/"), (i % 3).cast("string"))).alias("path"),
-            F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.55).alias("confidence"), F.when(i % 10 == 0, False).when(i % 10 != 1, True).alias("active"),
-            created.alias("created_at"), F.when(i % 5 == 0, created + hours(i % 50)).alias("last_accessed_at"), F.when(i % 9 == 0, created + hours(i % 700)).alias("invalid_at"),
-            (i % 7).cast("int").alias("access_count"), (i % 50 == 0).alias("pinned"), "embedding", "lang", "quality", "toxic",
-        )
-    )
+    columns = [
+        i.alias("id"), "text", F.lower("text").alias("text_norm"), F.col("source").alias("user_id"), category.alias("category"),
+        pick(TIERS, i).alias("tier"), pick(SCOPES, i / 3).alias("scope"), F.concat(F.lit("s"), (i % 20).cast("string")).alias("session_id"),
+        pick(ROLES, i / 2).alias("memory_role"), F.when(i % 4 != 0, F.concat(F.lit("/repo/"), (i % 3).cast("string"))).alias("path"),
+        F.when(i % 10 == 0, False).when(i % 10 != 1, True).alias("active"),
+        created.alias("created_at"), F.when(i % 5 == 0, created + hours(i % 50)).alias("last_accessed_at"), F.when(i % 9 == 0, created + hours(i % 700)).alias("invalid_at"),
+        (i % 7).cast("int").alias("access_count"), (i % 50 == 0).alias("pinned"), "lang",
+    ]
+    if "embeddings" in joined:
+        columns += ["embedding"]
+    if "labels" in joined:
+        columns += [F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.55).alias("confidence"), "quality", "toxic"]
+    return doc.select(*columns)
 
 
 def _pick(values: tuple[str, ...], n: str) -> str:

@@ -132,19 +132,19 @@ def test_pairs_and_clusters_of_all_edges(spark, sf_dir):
 
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
     expected = brute_pairs(map(tuple, rows))
-    assert {(r["a"], r["b"], r["shared"]) for r in analytics.entity_jaccard_all_edges(spark, sf_dir).collect()} == expected
+    assert {(r["a"], r["b"], r["shared"]) for r in analytics.entity_jaccard_edges(spark, sf_dir).collect()} == expected
     root = {i: i for a, b, _ in expected for i in (a, b)}
     while any(root[a] != root[b] for a, b, _ in expected):
         for a, b, _ in expected:
             root[a] = root[b] = min(root[a], root[b])
     sizes = {c: sum(r == c for r in root.values()) for c in root.values()}
-    assert {r["cluster"]: r["n"] for r in analytics.clusters_all_edges(spark, sf_dir).collect()} == sizes
+    assert {r["cluster"]: r["n"] for r in analytics.clusters(spark, sf_dir).collect()} == sizes
 
 
 def test_shared_pairs_in_cells(spark):
     rng = np.random.default_rng(2)
     edges = [(0, i) for i in range(80)] + [(int(e), int(i)) for e, i in zip(rng.integers(1, 9, 300), rng.integers(0, 90, 300), strict=True)]
-    got = gr.shared_pairs(spark.createDataFrame(edges, "entity long, id long"), cell=7).collect()
+    got = gr.shared_pairs(spark.createDataFrame(edges, "entity long, id long"), block_ids=7).collect()
     expected = brute_pairs(edges)
     assert len(got) == len(expected) and {(r["a"], r["b"], r["shared"]) for r in got} == expected
 
