@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, hash_fraction, held_out, map_rows
+from palimpsest.llm.common import fold, hash_fraction, held_out, map_rows, narrow
 
 ORDERS = 3
 #: Languages whose counts a task holds at a time while it learns.
@@ -54,7 +54,8 @@ def learn(docs: DataFrame, max_train_per_lang: int = 4000, bits: int = 14, smoot
     for each language."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("of"))
     sizes = known.groupBy("of").agg(F.least(F.lit(1.0), max_train_per_lang / F.count("*")).alias("share"))
-    sample = known.join(sizes, "of").where(hash_fraction(F.col("doc_id"), F.col("share"), seed))
+    # sizes is joined by broadcasting up to 100,000 languages: else a language's texts would meet in one task
+    sample = known.join(narrow(sizes, 100_000), "of").where(hash_fraction(F.col("doc_id"), F.col("share"), seed))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: dict[str, np.ndarray] = {}
