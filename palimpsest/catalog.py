@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import analytics, arbitration, capture, choices, decisions, lifecycle, mentions, ranking, recall, recall_many, records, scans, upkeep
+from palimpsest.plans import analytics, arbitration, capture, choices, decisions, indexes, lifecycle, mentions, ranking, recall, recall_many, records, scans, upkeep
 from palimpsest.plans.registry import Query
 
-PLANS = (recall, recall_many, scans, ranking, lifecycle, arbitration, analytics, capture, records, decisions, choices, upkeep, mentions)
+PLANS = (recall, recall_many, scans, ranking, lifecycle, arbitration, analytics, capture, records, decisions, choices, upkeep, mentions, indexes)
 
 
 def queries() -> dict[str, Query]:
