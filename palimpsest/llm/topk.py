@@ -9,14 +9,18 @@ is split by a hash. The search then has two rounds:
 2. it goes on to those other blocks alone whose bound, q.c + |q| r, reaches that score, and carries
    it along.
 
-Inside a block, cover trees over both sides are searched together. A pair of nodes with centres q and
-p and covering radii rq and rp holds no inner product above q.p + rq |p| + rp |q| + rq rp; it is pruned
-if that is below the worst k-th score of the queries below the query node. In leaves a pair is bounded
-once more: the product over three quarters of the directions, those with most of the block's spread,
-plus the product of the two remainders' lengths (Cauchy-Schwarz). Only what reaches the k-th score is
-compared in full, in whole numbers. So the result is exact; ties go to the smaller vec_id. Where
-distances concentrate, as between random vectors of 64 dimensions, balls prune nothing and the second
-bound does the work; every data row is then written once for each `query_rows` queries.
+Inside a block, cover trees over both sides are searched together. They are built on the leading coordinates: three
+quarters of the directions, those in which the block spreads most. A node has a centre, a covering radius and the
+length of the longest remainder below it; nodes are divided down to leaves of a few rows, whose children are the single
+rows, with radius 0. A pair of nodes with centres q and p, radii rq and rp, remainders sq and sp holds no inner product
+above q.p + rq |p| + rp |q| + rq rp + sq sp; it is pruned if that is below the worst k-th score of the queries below
+the query node. A query node hands on the data nodes that it couldn't prune to its children, which go on from there; at
+a query leaf the data leaves come in the order of their bounds, until one can be pruned, and a pair of a query and a row is pruned like any other
+pair of nodes. Only what reaches the k-th score is compared in full, in whole numbers. So the result is exact; ties go
+to the smaller vec_id. Where distances concentrate, as between random vectors of 64 dimensions, hardly any ball of several rows is small
+enough to be pruned, and all pruning is that of single rows; every data row is then written once for each
+`query_rows` queries. `Search.pruned` counts the pairs of nodes pruned above the single rows, `Search.compared` the
+full comparisons.
 
 Edge cases: vectors that are null or hold a null or a number that isn't finite take no part; only
 vectors of equal length are compared; rows that share the query's vec_id are its own and no candidates;
@@ -39,8 +43,6 @@ from palimpsest.llm.common import materialize, narrow
 
 #: Rows of a data leaf and of a query leaf (a query group is pruned by its worst member), children of a node, columns bounded at a time.
 LEAF, QUERY_LEAF, FAN, CHUNK = 32, 4, 32, 2048
-#: A node is divided only if most of its rows come to lie in balls of this share of its radius.
-SHRINKS = 0.8
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -48,10 +50,38 @@ LONG = (-(1 << 63), (1 << 63) - 1)
 class Node:
     centre: np.ndarray
     radius: float
+    rest: float
     rows: np.ndarray
     children: list[Node] = field(default_factory=list)
 
 
+class Balls:
+    """A data tree's nodes, level by level, as arrays: what a query node is bounded against at once."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, at = [root], 0
+        first, count = [], []
+        while at < len(self.nodes):
+            first.append(len(self.nodes))
+            count.append(len(self.nodes[at].children))
+            self.nodes += self.nodes[at].children
+            at += 1
+        self.first, self.count = np.array(first), np.array(count)
+        self.rows = np.array([len(n.rows) for n in self.nodes])
+        self.centre = np.array([n.centre for n in self.nodes])
+        self.radius, self.rest = np.array([n.radius for n in self.nodes]), np.array([n.rest for n in self.nodes])
+        self.length = np.sqrt((self.centre**2).sum(axis=1))
+
+    def bounds(self, q: Node, which: np.ndarray) -> np.ndarray:
+        """Above any inner product of a query below q and a row below each node."""
+        length = float(np.sqrt(q.centre @ q.centre))
+        return self.centre[which] @ q.centre + q.radius * self.length[which] + self.radius[which] * (length + q.radius) + q.rest * self.rest[which]
+
+    def children(self, which: np.ndarray) -> np.ndarray:
+        n = self.count[which]
+        return np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def away(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - centre) ** 2).sum(axis=1))
 
@@ -69,25 +99,22 @@ def net(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(chosen), nearest
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None) -> Node:
-    """Nested covers: the children of a node are balls around a net of it. Where their radii hardly
-    shrink, for distances concentrate, the node stays a leaf. Single rows count as balls if leaves are small."""
+def cover_tree(x: np.ndarray, rest: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None) -> Node:
+    """Nested covers: the children of a node are balls around a farthest-first net of it, down to leaves of at most `leaf`
+    rows, or of rows that lie at one place. rest are the lengths that x leaves out."""
     rows = np.arange(len(x)) if rows is None else rows
     centre = x[rows].mean(axis=0)
-    node = Node(centre, float(away(x[rows], centre).max()), rows)
-    if len(rows) <= leaf or node.radius == 0:
-        return node
-    _, nearest = net(x[rows], FAN)
-    groups = [rows[nearest == i] for i in range(nearest.max() + 1)]
-    small = sum(len(g) for g in groups if away(x[g], x[g].mean(axis=0)).max() <= SHRINKS * node.radius and (len(g) > 1 or leaf < LEAF))
-    if 2 * small >= len(rows):
-        node.children = [cover_tree(x, leaf, g) for g in groups]
+    node = Node(centre, float(away(x[rows], centre).max()), float(rest[rows].max()), rows)
+    if len(rows) > leaf and node.radius > 0:
+        _, nearest = net(x[rows], min(FAN, max(2, -(-2 * len(rows) // leaf))))
+        if nearest.max() > 0:
+            node.children = [cover_tree(x, rest, leaf, rows[nearest == i]) for i in range(nearest.max() + 1)]
     return node
 
 
 class Search:
     """The k best of each query so far, and the walk over node pairs that betters them. `floor` are k-th
-    scores known before; compared counts full comparisons by query."""
+    scores known before; compared counts full comparisons by query, pruned the pairs of nodes that were."""
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
         self.q_ids, self.q, self.p_ids, self.p, self.k = q_ids, q, p_ids, p, k
@@ -97,7 +124,7 @@ class Search:
         self.slack = 1 + largest * 1e-12
         self.best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
         self.worst = np.full(len(q_ids), -np.inf) if floor is None else floor.astype(np.float64)
-        self.compared = np.zeros(len(q_ids), np.int64)
+        self.compared, self.pruned = np.zeros(len(q_ids), np.int64), 0
         self._rotate()
 
     def _rotate(self) -> None:
@@ -125,43 +152,54 @@ class Search:
             self.worst[row] = max(self.worst[row], -merged[-1][0])
 
     def compare(self, rows: np.ndarray, cols: np.ndarray) -> None:
-        """All queries `rows` with all vectors `cols`, which are in the order of their ids."""
-        at, step = 0, 2 * LEAF  # a small first step: it gives the queries their first k-th scores
-        while at < len(cols):
-            part = cols[at : at + step]
-            bound = self.q_lead[rows] @ self.p_lead[part].T + np.outer(self.q_rest[rows], self.p_rest[part]) + self.slack
-            i, j = np.nonzero(bound >= self.worst[rows][:, None])
-            other = self.q_ids[rows[i]] != self.p_ids[part[j]]
-            i, j = i[other], j[other]
-            found = self.scores(rows[i], part[j])
-            self.compared += np.bincount(rows[i], minlength=len(self.compared))
-            kept = np.flatnonzero(found >= self.worst[rows[i]])
-            ends = np.searchsorted(i[kept], np.arange(len(rows) + 1))
-            for r in np.unique(i[kept]):
-                mine = kept[ends[r] : ends[r + 1]]
-                self.offer(int(rows[r]), part[j[mine]], found[mine])
-            at, step = at + step, min(2 * step, CHUNK)
-
-    def bound(self, a: Node, b: Node) -> float:
-        qn, pn = float(np.sqrt(a.centre @ a.centre)), float(np.sqrt(b.centre @ b.centre))
-        return float(a.centre @ b.centre) + a.radius * pn + b.radius * qn + a.radius * b.radius + self.slack
+        """The lowest level: queries `rows` and vectors `cols`, single rows of radius 0."""
+        part = np.sort(cols)  # in the order of their ids, as the vectors are
+        bound = self.q_lead[rows] @ self.p_lead[part].T + np.outer(self.q_rest[rows], self.p_rest[part]) + self.slack
+        i, j = np.nonzero(bound >= self.worst[rows][:, None])
+        other = self.q_ids[rows[i]] != self.p_ids[part[j]]
+        i, j = i[other], j[other]
+        found = self.scores(rows[i], part[j])
+        self.compared += np.bincount(rows[i], minlength=len(self.compared))
+        kept = np.flatnonzero(found >= self.worst[rows[i]])
+        ends = np.searchsorted(i[kept], np.arange(len(rows) + 1))
+        for r in np.unique(i[kept]):
+            mine = kept[ends[r] : ends[r + 1]]
+            self.offer(int(rows[r]), part[j[mine]], found[mine])
+
+    def visit(self, a: Node, which: np.ndarray) -> None:
+        """a against data nodes: what isn't pruned is divided once where a has children, and to the leaves where it has none."""
+        leaves, reach = [], []
+        while len(which):
+            bounds = self.balls.bounds(a, which) + self.slack
+            kept = bounds >= self.worst[a.rows].min()
+            self.pruned += len(which) - int(kept.sum())
+            inner = self.balls.count[which] > 0
+            leaves.append(which[kept & ~inner])
+            reach.append(bounds[kept & ~inner])
+            which = self.balls.children(which[kept & inner])
+            if a.children:
+                break
+        ends = np.concatenate(leaves)
+        if a.children:
+            onward = np.concatenate([ends, which])
+            for child in a.children if len(onward) else ():
+                self.visit(child, onward)
+        elif len(ends):
+            bounds = np.concatenate(reach)
+            order = np.argsort(-bounds, kind="stable")
+            last = np.cumsum(self.balls.rows[ends[order]])
+            at, step = 0, 2 * LEAF  # a small first step: it gives the queries their first k-th scores
+            while at < len(order) and bounds[order[at]] >= self.worst[a.rows].min():
+                upto = max(at + 1, int(np.searchsorted(last, (last[at - 1] if at else 0) + step, "right")))
+                self.compare(a.rows, np.concatenate([self.balls.nodes[i].rows for i in ends[order[at:upto]]]))
+                at, step = upto, min(2 * step, CHUNK)
+            self.pruned += len(order) - at
 
     def run(self) -> None:
         if not len(self.q_ids) or not len(self.p_ids):
             return
-        stack = [(np.inf, cover_tree(self.qf, QUERY_LEAF), cover_tree(self.pf))]
-        while stack:
-            bound, a, b = stack.pop()
-            if bound < self.worst[a.rows].min():
-                continue
-            if not a.children and not b.children:
-                self.compare(a.rows, b.rows)
-                continue
-            if b.children and (not a.children or b.radius >= a.radius):
-                pairs = [(a, c) for c in b.children]
-            else:
-                pairs = [(c, b) for c in a.children]
-            stack += sorted(((self.bound(*pair), *pair) for pair in pairs), key=lambda s: s[0])  # the most promising is on top
+        self.balls = Balls(cover_tree(self.p_lead, self.p_rest))
+        self.visit(cover_tree(self.q_lead, self.q_rest, QUERY_LEAF), np.array([0]))
 
     def rows(self) -> Iterator[tuple[int, int | None, int | None, int | None]]:
         """(query, vec_id, score, None) of what was found, and (query, None, None, compared) for each query."""

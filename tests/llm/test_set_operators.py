@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from palimpsest.llm import jaccard, mixing, packing, topk
@@ -129,6 +130,21 @@ def test_cover_tree_prunes():
     search.compare = lambda r, c: (compared.append(len(r) * len(c)), plain(r, c))[1]
     search.run()
     assert sum(compared) < 5 * len(x)
+    assert len(search.balls.nodes) > 8 and search.pruned > len(search.q_ids)  # whole balls go unseen
+    assert search.compared.sum() < 0.2 * 5 * len(x)
+
+
+def test_cover_tree_on_the_given_vectors():
+    """Many nodes; distances concentrate, so that single rows are pruned and no ball of several is."""
+    x = np.array(pq.read_table("/root/testdata/sf0.01/embeddings.parquet")["embedding"].to_pylist(), np.float64)
+    v = np.floor(256 * x).astype(np.int64)
+    search = topk.Search(np.arange(0, len(v), 50), v[::50], np.arange(len(v)), v, 5)
+    search.run()
+    assert len(search.balls.nodes) > 20
+    assert search.compared.sum() < 0.25 * len(v[::50]) * len(v)
+    scores = v[::50] @ v.T
+    for row, (q, found) in enumerate(zip(search.q_ids, search.best, strict=True)):
+        assert found == sorted((-int(s), i) for i, s in enumerate(scores[row]) if i != q)[:5]
 
 
 def check_packing(found: pd.DataFrame, capacity: int) -> int:
