@@ -15,12 +15,12 @@ length of the longest remainder below it; nodes are divided down to leaves of a
 rows, with radius 0. A pair of nodes with centres q and p, radii rq and rp, remainders sq and sp holds no inner product
 above q.p + rq |p| + rp |q| + rq rp + sq sp; it is pruned if that is below the worst k-th score of the queries below
 the query node. A query node hands on the data nodes that it couldn't prune to its children, which go on from there; at
-a query leaf the data leaves come in the order of their bounds, until one can be pruned, and a pair of a query and a row is pruned like any other
-pair of nodes. Only what reaches the k-th score is compared in full, in whole numbers. So the result is exact; ties go
-to the smaller vec_id. Where distances concentrate, as between random vectors of 64 dimensions, hardly any ball of several rows is small
-enough to be pruned, and all pruning is that of single rows; every data row is then written once for each
-`query_rows` queries. `Search.pruned` counts the pairs of nodes pruned above the single rows, `Search.compared` the
-full comparisons.
+a query leaf the data leaves come in the order of their bounds, until one can be pruned, and a pair of a query and a
+row is pruned like any other pair of nodes. Only what reaches the k-th score is compared in full, in whole numbers. So
+the result is exact; ties go to the smaller vec_id. Where distances concentrate, as between random vectors of 64
+dimensions, hardly any ball of several rows is small enough to be pruned, and most pruning is that of single rows; every
+data row is then written once for each `query_rows` queries. `Search.pruned` counts the pairs of nodes pruned above the
+single rows, `Search.compared` the full comparisons.
 
 Edge cases: vectors that are null or hold a null or a number that isn't finite take no part; only
 vectors of equal length are compared; rows that share the query's vec_id are its own and no candidates;
