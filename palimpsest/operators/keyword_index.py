@@ -70,7 +70,7 @@ def term_frequencies(text: Column) -> Column:
         ends = lambda s: F.transform(s, lambda at, j: F.struct(F.get(bag, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(bag)) - at).cast("long").alias("tf"), F.size(bag).cast("long").alias("dl")))
         return F.when(F.size(bag) > 0, tx.let(starts, ends))
 
-    return tx.let(F.array_sort(tx.tokens(text)), runs)
+    return tx.let(F.sort_array(tx.tokens(text)), runs)
 
 
 def share(tf: Column, dl: Column, usual: float) -> Column:
