@@ -41,6 +41,12 @@ def vector_index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFra
     return index, rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
 
 
+def probes(spark: SparkSession, sf_dir: str, index: VectorIndex) -> int:
+    """Calibrated on a bounded sample of rows that aren't queries."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 100 <> 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.calibrated(rows, K + 1, 0.93)
+
+
 def others(found: DataFrame) -> DataFrame:
     """The K best rows but the query's own."""
     kept = found.where("id <> query_id").drop("rank")
@@ -61,4 +67,4 @@ def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The K nearest rows in as many cells as find nine in ten of a sample's neighbours; recall is tested."""
     index, queries = vector_index(spark, sf_dir)
-    return others(index.search(queries, K + 1, index.calibrated(queries, K + 1, 0.93)))
+    return others(index.search(queries, K + 1, probes(spark, sf_dir, index)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import catalog
 from palimpsest.operators.vector_index import VectorIndex
-from palimpsest.plans.indexes import vector_index
+from palimpsest.plans.indexes import probes, vector_index
 
 SCHEMA = "id long, embedding array<double>"
 
@@ -81,7 +81,7 @@ def test_recall_on_the_given_vectors(spark, folder):
     exact = found(catalog.queries()["vector_index_exact"](spark, sf_dir))
     some = found(catalog.queries()["vector_index_topk"](spark, sf_dir))
     index, queries = vector_index(spark, sf_dir)
-    share = index.share_read(queries, index.calibrated(queries, 11, 0.93))
+    share = index.share_read(queries, probes(spark, sf_dir, index))
     print("recall", recall(some, exact), "share of pairs", share)
     assert recall(some, exact) >= 0.9 and share < 1
     assert index.rows.agg(F.countDistinct("id")).first()[0] == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
