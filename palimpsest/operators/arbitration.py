@@ -9,24 +9,101 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vec
+from palimpsest.operators.stored import written
 
 # Thresholds and windows.
 SKIP, SKIP_HOURS, MERGE, MERGE_HOURS, CANDIDATES, MERGED_CHARS = 0.95, 24, 0.85, 72, 5, 1200
 STATES = (("enabled", "disabled"), ("on", "off"), ("open", "closed"), ("active", "inactive"))
 
 
-def candidates(incoming: DataFrame, store: DataFrame, hours: int = MERGE_HOURS, k: int = CANDIDATES, least: float = -1.0) -> DataFrame:
-    """incoming(id, user_id, text, embedding, created_at) with its most similar stored rows of the last hours,
-    joined by tenant and time bucket, so that no tenant's whole history is paired."""
-    bucket = lambda c: F.floor(F.unix_seconds(c) / (hours * 3600))
-    left = incoming.select("user_id", F.col("id").alias("new_id"), F.col("text").alias("new_text"), F.col("embedding").alias("new_vec"), F.col("created_at").alias("new_at"))
-    left = left.withColumn("b", F.explode(F.array(bucket(F.col("new_at")), bucket(F.col("new_at")) - 1)))
-    right = store.select("user_id", F.col("id").alias("old_id"), F.col("text").alias("old_text"), F.col("embedding").alias("old_vec"), F.col("created_at").alias("old_at"), bucket(F.col("created_at")).alias("b"))
-    age = (F.unix_seconds("new_at") - F.unix_seconds("old_at")) / 3600.0
-    near = left.join(right, ["user_id", "b"]).where((age >= 0) & (age <= hours) & (F.col("old_id") != F.col("new_id")))
-    near = near.withColumns({"age_hours": age, "similarity": vec.cosine(F.col("new_vec"), F.col("old_vec"))}).where(F.col("similarity") >= least)
+def nearest(incoming: DataFrame, store: DataFrame, hours: int = MERGE_HOURS, k: int = CANDIDATES, least: float = -1.0, block: int = 4000, at_once: int = 20_000) -> DataFrame:
+    """(new_id, old_id, age_hours, similarity, rank): for each of incoming(id, user_id, embedding, created_at) its most
+    similar stored rows of the last hours; ids are unique, texts take no part. Rows meet by tenant and time
+    bucket, a bucket's rows are dealt to blocks, and two blocks are one product of matrices inside a task, of
+    which k rows a new id leave it. The product only proposes: what may be among the k is summed again in order."""
+    bucket = F.floor(F.col("at") / (hours * 3600))
+    usable = lambda rows: rows.where("id is not null and user_id is not null and embedding is not null and created_at is not null").select(
+        "user_id", "id", F.col("embedding").cast("array<double>").alias("v"), F.unix_seconds("created_at").alias("at"))
+    scaled = lambda rows: usable(rows).withColumn("norm", F.coalesce(vec.norm(F.col("v")), F.lit(0.0)))
+    new = scaled(incoming).withColumn("b", F.explode(F.array(bucket, bucket - 1)))
+    old = scaled(store).withColumn("b", bucket)
+    parts = lambda rows, name: rows.groupBy("user_id", "b").agg(F.count("*").alias(f"n_{name}"), F.ceil(F.count("*") / F.lit(block)).alias(name))
+    sizes = written(parts(new, "news").join(parts(old, "olds"), ["user_id", "b"]))
+    total = sizes.agg(F.sum(F.col("news") * F.col("olds")).alias("cells"), F.sum(F.col("n_news") * F.col("olds") + F.col("n_olds") * F.col("news")).alias("rows")).first()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    place = ["user_id", "b", "i", "j"]
+    left = new.join(sizes, ["user_id", "b"]).select("*", own("news").alias("i"), every("olds").alias("j"), F.lit(True).alias("new"))
+    right = old.join(sizes, ["user_id", "b"]).select("*", own("olds").alias("j"), every("news").alias("i"), F.lit(False).alias("new"))
+    # a bucket may have few rows: cells travel together, about at_once rows in one call
+    dealt = left.select(*place, "new", "id", "v", "at", "norm").unionByName(right.select(*place, "new", "id", "v", "at", "norm"))
+    calls = max(1, min(total["cells"] or 1, max(32, -(-(total["rows"] or 0) // at_once))))
+    dealt = dealt.withColumn("call", F.pmod(F.xxhash64(*place), F.lit(calls)))
+    kinds = {f.name: f.dataType.simpleString() for f in incoming.schema}, {f.name: f.dataType.simpleString() for f in store.schema}
+
+    def meet(pdf):
+        import pandas as pd
+
+        out = [_block_nearest(cell[cell["new"]], cell[~cell["new"]], hours, k, least) for _, cell in pdf.groupby(place)]
+        return pd.concat(out) if out else pd.DataFrame({"new_id": [], "old_id": [], "age_hours": [], "similarity": []})
+
+    found = dealt.groupBy("call").applyInPandas(meet, f"new_id {kinds[0]['id']}, old_id {kinds[1]['id']}, age_hours double, similarity double")
     best = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("b", "new_vec", "old_vec")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _block_nearest(new, old, hours: int, k: int, least: float, at_once: int = 4_000_000):
+    """The k most similar rows of old for each row of new, ties to the smaller id."""
+    import numpy as np
+    import pandas as pd
+
+    new_ids, old_ids = new["id"].to_numpy(), old["id"].to_numpy()
+    out = [pd.DataFrame({"new_id": new_ids[:0], "old_id": old_ids[:0], "age_hours": np.empty(0), "similarity": np.empty(0)})]
+    if not len(new) or not len(old):
+        return out[0]
+    place = np.unique(old_ids, return_inverse=True)[1]  # ids of any type in their order
+    sizes = old["v"].map(len).to_numpy()
+    old_at, old_norm = old["at"].to_numpy(), old["norm"].to_numpy()
+    for size, part in new.groupby(new["v"].map(len)):
+        same = np.flatnonzero(sizes == size)
+        b = np.array(old["v"].iloc[same].tolist(), np.float64).reshape(len(same), size)
+        column = np.full(len(old), -1)
+        column[same] = np.arange(len(same))
+        step = max(1, at_once // len(old))
+        for lo in range(0, len(part), step):
+            some = part.iloc[lo : lo + step]
+            a = np.array(some["v"].tolist(), np.float64).reshape(len(some), size)
+            norm = some["norm"].to_numpy()
+            age = (some["at"].to_numpy()[:, None] - old_at[None, :]) / 3600.0
+            with np.errstate(all="ignore"):
+                scale = norm[:, None] * old_norm[None, :]
+                close = np.zeros((len(some), len(old)))
+                if size and len(same):
+                    close[:, same] = a @ b.T / scale[:, same]
+                usable = ((scale > 0) | np.isnan(scale)) & (column >= 0)[None, :] & (size > 0)
+            close = np.where(usable, np.where(np.isfinite(close), close, np.inf), 0.0)
+            close[(age < 0) | (age > hours) | (some["id"].to_numpy()[:, None] == old_ids[None, :])] = -np.inf
+            floor = np.partition(close, len(old) - k, axis=1)[:, len(old) - k] if len(old) > k else np.full(len(some), -np.inf)
+            i, j = np.nonzero((close > -np.inf) & (close >= np.maximum(floor, least)[:, None] - 1e-9))
+            total = np.zeros(len(i))
+            with np.errstate(all="ignore"):
+                for d in range(size if len(same) else 0):
+                    total += a[i, d] * b[column[j], d]
+                total = np.where(usable[i, j], total / scale[i, j], 0.0)
+            kept = (total >= least) | np.isnan(total)
+            i, j, total = i[kept], j[kept], total[kept]
+            order = np.lexsort((place[j], np.where(np.isnan(total), -np.inf, -total), i))
+            i, j, total = i[order], j[order], total[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+            i, j, total = i[first], j[first], total[first]
+            out.append(pd.DataFrame({"new_id": some["id"].to_numpy()[i], "old_id": old_ids[j], "age_hours": age[i, j], "similarity": total}))
+    return pd.concat(out)
+
+
+def candidates(incoming: DataFrame, store: DataFrame, hours: int = MERGE_HOURS, k: int = CANDIDATES, least: float = -1.0) -> DataFrame:
+    """nearest() with the texts of both sides: new_text, old_text."""
+    found = nearest(incoming, store, hours, k, least)
+    return found.join(incoming.select(F.col("id").alias("new_id"), F.col("text").alias("new_text")), "new_id").join(store.select(F.col("id").alias("old_id"), F.col("text").alias("old_text")), "old_id")
 
 
 def opposing(a: Column, b: Column) -> Column:
@@ -70,12 +147,26 @@ def band(same: Column, similarity: Column, age: Column, corrects: Column, contai
     )
 
 
-def decide(found: DataFrame, incoming: DataFrame, merge: float = MERGE) -> DataFrame:
-    """(id, decision, target): the lowest band over each record's candidates, then the most similar one."""
+def decide(found: DataFrame, incoming: DataFrame, merge: float = MERGE, store: DataFrame | None = None) -> DataFrame:
+    """(id, decision, target): the lowest band over each record's candidates, then the most similar one. found is what
+    candidates() gives or, if the store(id, text) is given too, nearest(): then exact copies are known by the
+    hashes of their normal texts, and texts are read only for pairs that are near enough for another band."""
     new, old = tx.normalised(F.col("new_text")), tx.normalised(F.col("old_text"))
     b = band(new == old, F.col("similarity"), F.col("age_hours"), supersedes(F.col("old_text"), F.col("new_text")), F.contains(old, new), anchors_conflict(F.col("old_text"), F.col("new_text")), merge)
+    if store is None:
+        judged = found.withColumn("band", b)
+    else:
+        hashed = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.sha2(tx.normalised(F.col("text")), 256).alias(f"{side}_hash"))
+        known = found.join(hashed(incoming, "new"), "new_id").join(hashed(store, "old"), "old_id")
+        exact = F.coalesce((F.col("new_hash") == F.col("old_hash")) & (F.col("age_hours") <= SKIP_HOURS), F.lit(False))
+        # a similarity that is no number is above every threshold
+        known = written(known.select("new_id", "old_id", "age_hours", "similarity", exact.alias("exact"), (~exact & (F.col("similarity") >= min(merge, SKIP))).alias("near")))
+        text = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
+        near = known.where("near").join(text(incoming, "new"), "new_id").join(text(store, "old"), "old_id").withColumn("band", b)
+        plain = known.where("not near").withColumn("band", F.when(F.col("exact"), "1_skip_exact").otherwise("6_create"))
+        judged = plain.select("new_id", "old_id", "similarity", "band").unionByName(near.select("new_id", "old_id", "similarity", "band"))
     best = Window.partitionBy("new_id").orderBy("band", F.desc("similarity"), "old_id")
-    first = found.withColumn("band", b).withColumn("k", F.row_number().over(best)).where("k = 1")
+    first = judged.withColumn("k", F.row_number().over(best)).where("k = 1")
     out = incoming.select("id").join(first.select(F.col("new_id").alias("id"), "band", F.col("old_id").alias("target")), "id", "left")
     decision = F.coalesce("band", F.lit("6_create"))
     return out.select("id", decision.alias("decision"), F.when(decision != "6_create", F.col("target")).alias("target"))

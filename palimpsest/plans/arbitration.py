@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators import arbitration as ar
+from palimpsest.operators.stored import written
 from palimpsest.plans.registry import Registry
 from palimpsest.plans.scans import COS
 from palimpsest.sources.tables import MEMORY_SQL, memory_units, table
@@ -62,8 +63,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY band, sim DESC,
 SELECT m.id, coalesce(band, '6_create') AS decision, CASE WHEN coalesce(band, '6_create') <> '6_create' THEN old_id END AS target FROM mem m LEFT JOIN f ON f.new_id = m.id AND j = 1 WHERE m.embedding IS NOT NULL""")
 def arbitration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder at its own thresholds; a test runs its bands on planted near copies."""
-    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull())
-    return ar.decide(ar.candidates(rows, rows), rows)
+    rows = written(memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull()).select("id", "user_id", "text", "embedding", "created_at"))
+    return ar.decide(ar.nearest(rows, rows), rows, store=rows)
 
 
 @R.query(f"WITH {MEMORY_SQL}, n AS (SELECT id, {NORM('text')} AS norm FROM mem) SELECT min(id) AS first_id, count(*) AS n FROM n GROUP BY norm HAVING count(*) > 1")
