@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,81 +35,81 @@ def prefix_matches(misses: DataFrame, entities: DataFrame, least: int = 4, ratio
     return met.groupBy("mention").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").drop("n")
 
 
-def packed_blocks(edges: DataFrame, least_share: float, block_ids: int) -> tuple[DataFrame, DataFrame]:
-    """(block, ids, entities, n_ids) and (x, y), x <= y: edges(entity, id) by blocks of about `block_ids` ids, as packed
-    64-bit numbers, and the pairs of blocks that may hold a pair. Ids with the same rarest entity are put into
-    one block. Two sets that share `least_share` of either have one of the rarest entities of each in common,
-    all but the last ceil(least_share x n) - 1: blocks that share none of these don't meet."""
+def prefix_groups(edges: DataFrame, least: int, jaccard: float, part_ids: int) -> DataFrame:
+    """(group, entity, x, y, part, id, n, tail): for each of the rarest entities of an id, which any id that is alike enough
+    must share with it, the id's entities from this one on, in the order of rarity. The group of an entity that
+    more than `part_ids` ids begin with is dealt to parts, every two of which meet: x <= y, part one of them."""
     known = edges.join(edges.groupBy("entity").agg(F.count("*").alias("f")), "entity")
-    rarest = Window.partitionBy("id").orderBy("f", "entity")
-    whole = Window.partitionBy("id")
-    ranked = known.withColumns({"k": F.row_number().over(rarest), "n": F.count("*").over(whole), "first": F.first("entity").over(rarest)})
-    ranked = written(ranked.select("id", "entity", "first", (F.col("k") <= F.col("n") - F.ceil(least_share * F.col("n")) + 1).alias("prefix")))
-    sizes = ranked.select("id", "first").distinct().groupBy("first").agg(F.count("*").alias("ids"))
-    # small groups share a block by hash, large ones are split into blocks of their own
-    total = sizes.agg(F.sum("ids")).first()[0] or 0
-    shared = max(1, -(-total // block_ids))
-    place = sizes.select("first", F.when(F.col("ids") >= block_ids, F.ceil(F.col("ids") / block_ids)).otherwise(0).alias("parts"))
-    block = F.when(F.col("parts") == 0, F.struct(F.pmod(F.xxhash64("first"), F.lit(shared)).alias("a"), F.lit(-1).cast("long").alias("b"))).otherwise(F.struct(F.col("first").cast("long").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("b")))
-    placed = written(ranked.join(place, "first").select("id", "entity", "prefix", block.alias("block")))
-    held = placed.where("prefix").select("entity", "block").distinct()
-    meeting = held.select("entity", F.col("block").alias("x")).join(held.select("entity", F.col("block").alias("y")), "entity").where("x <= y").select("x", "y").distinct()
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": rows["block_a"].iloc[:1], "b": rows["block_b"].iloc[:1], "ids": [rows["id"].to_numpy("<i8").tobytes()], "entities": [rows["entity"].to_numpy("<i8").tobytes()]})
-
-    flat = placed.select("id", "entity", F.col("block.a").alias("block_a"), F.col("block.b").alias("block_b"))
-    packed = flat.groupBy("block_a", "block_b").applyInPandas(pack, "a long, b long, ids binary, entities binary")
-    return packed.select(F.struct("a", "b").alias("block"), "ids", "entities"), meeting
-
-
-def meeting_counts(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of x, ids of y, how many entities each two share), of two blocks given as (ids, entities) of their edges."""
-    ids_x, row = np.unique(x[0], return_inverse=True)
-    ids_y, column = np.unique(y[0], return_inverse=True)
-    order = np.argsort(y[1], kind="stable")
-    entities, column = y[1][order], column[order]
-    start, end = np.searchsorted(entities, x[1], "left"), np.searchsorted(entities, x[1], "right")
-    counts = np.zeros(len(ids_x) * len(ids_y), np.int32)
-    n = end - start
-    cuts = np.searchsorted(np.cumsum(n), np.arange(at_once, n.sum() + at_once, at_once)) + 1
-    lo = 0
-    for hi in np.minimum(cuts, len(n)):
-        some = n[lo:hi]
-        places = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(start[lo:hi], some)
-        counts += np.bincount(np.repeat(row[lo:hi], some) * len(ids_y) + column[places], minlength=len(counts)).astype(np.int32)
-        lo = hi
-    return ids_x, ids_y, counts.reshape(len(ids_x), len(ids_y))
-
-
-def shared_pairs(edges: DataFrame, least: int = 2, jaccard: float = 0.3, block_ids: int = 1500) -> DataFrame:
+    sets = known.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "entity"))), lambda e: e["entity"]).alias("all")).withColumn("n", F.size("all"))
+    # two sets that share s have one in common among all but the last s - 1 of either
+    must = F.greatest(F.ceil(F.lit(jaccard) * F.col("n")), F.lit(least), F.lit(1))
+    sets = written(sets.withColumn("must", must.cast("int")).where("n >= must").select("id", "n", "must", "all"))
+    begins = lambda df, *more: df.select("id", "n", *more, F.posexplode(F.slice("all", F.lit(1), F.col("n") - F.col("must") + 1)).alias("at", "entity"))
+    sizes = begins(sets).groupBy("entity").agg(F.ceil(F.count("*") / F.lit(part_ids)).cast("int").alias("parts"))
+    tails = begins(sets, "all").select("id", "n", "entity", F.slice("all", F.col("at") + 1, F.col("n")).alias("tail"))
+    placed = tails.join(sizes, "entity").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("entity", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "id", "n", "tail")
+
+
+def alike_in_group(part: np.ndarray, ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, entities: np.ndarray, x: int, y: int, least: int, jaccard: float, at_once: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared) of pairs a < b between parts x and y of one group: rows with `sizes` entities each, end to end."""
+    row = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(entities, kind="stable")
+    row, entities = row[order], entities[order]
+    end = np.searchsorted(entities, entities, "right")
+    later = end - np.arange(len(entities)) - 1  # each entity's rows after this one
+    out = [], [], []
+    step = max(1, at_once // max(len(ids), 1))
+    for lo in range(0, len(ids), step):
+        mine = np.flatnonzero((row >= lo) & (row < lo + step))
+        counts = np.zeros((min(step, len(ids) - lo)) * len(ids), np.int64)
+        cuts = np.searchsorted(np.cumsum(later[mine]), np.arange(at_once, later[mine].sum() + at_once, at_once)) + 1
+        start = 0
+        for stop in np.minimum(cuts, len(mine)):
+            some = mine[start:stop]
+            k = later[some]
+            places = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(some + 1, k)
+            counts += np.bincount((np.repeat(row[some], k) - lo) * len(ids) + row[places], minlength=len(counts))
+            start = stop
+        i, j = np.divmod(np.flatnonzero(counts >= least), len(ids))
+        shared = counts.reshape(-1, len(ids))[i, j]
+        i += lo
+        keep = (shared / (n[i] + n[j] - shared) > jaccard) & (ids[i] != ids[j])
+        keep &= (part[i] != part[j]) if x != y else True
+        for parts, values in zip(out, (np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep], shared[keep]), strict=True):
+            parts.append(values)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *parts]) for parts in out)
+
+
+def shared_pairs(edges: DataFrame, least: int = 2, jaccard: float = 0.3, block_ids: int = 1500, per_call: int = 20_000) -> DataFrame:
     """edges(entity, id), whole numbers: (a, b, shared, jaccard) of ids a < b that share `least` entities or more and
-    whose sets are more alike than `jaccard`. Blocks of ids that can hold such a pair meet, packed; what they
-    share is counted inside the task, so that no row is written for a pair below the thresholds, and an entity
-    that a third of all ids have is spread over all meetings. A task holds two blocks and block_ids^2 counts."""
+    whose sets are more alike than `jaccard`. Ids meet where one of the rarest entities of both is the same, and
+    what they share is counted inside the task, so that no row is written for a pair below the thresholds. The first
+    such entity counts all that two ids share, later ones less: the most counts. An id is sent once for each of
+    its rarest entities, whatever the table's size; a group of a frequent one is dealt to parts of `block_ids`."""
+    least = max(least, 1)
     edges = written(edges.where(F.col("entity").isNotNull() & F.col("id").isNotNull()).select(F.col("entity").cast("long").alias("entity"), F.col("id").cast("long").alias("id")).distinct())
-    packed, meeting = packed_blocks(edges, jaccard, block_ids)
-    packed = written(packed)
-    side = lambda name: packed.select(F.col("block").alias(name), F.col("ids").alias(f"ids_{name}"), F.col("entities").alias(f"entities_{name}"))
-    spread = meeting.repartition(F.xxhash64("x", "y"))
-    met = spread.join(side("x"), "x").join(side("y"), "y")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x, y = ((np.frombuffer(i, "<i8"), np.frombuffer(e, "<i8")) for i, e in ((r.ids_x, r.entities_x), (r.ids_y, r.entities_y)))
-                ids_x, ids_y, counts = meeting_counts(x, y)
-                n_x, n_y = np.unique(x[0], return_counts=True)[1], np.unique(y[0], return_counts=True)[1]
-                i, j = np.nonzero(counts >= max(least, 1))
-                shared = counts[i, j].astype(np.int64)
-                alike = shared / (n_x[i] + n_y[j] - shared)
-                # a block that meets itself has every pair twice
-                keep = (alike > jaccard) & ((ids_x[i] < ids_y[j]) if (r.x_a, r.x_b) == (r.y_a, r.y_b) else (ids_x[i] != ids_y[j]))
-                a, b = ids_x[i[keep]], ids_y[j[keep]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "shared": shared[keep], "jaccard": alike[keep]})
-
-    sent = met.select(F.col("x.a").alias("x_a"), F.col("x.b").alias("x_b"), F.col("y.a").alias("y_a"), F.col("y.b").alias("y_b"), "ids_x", "entities_x", "ids_y", "entities_y")
-    return sent.mapInPandas(count, "a long, b long, shared long, jaccard double")
+    groups = prefix_groups(edges, least, jaccard, block_ids)
+    calls = max(32, -(-edges.count() // per_call))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "shared": [], "jaccard": []}).astype({"a": "int64", "b": "int64", "shared": "int64", "jaccard": "float64"})]
+        for (_, x, y), rows in pdf.groupby(["entity", "x", "y"], sort=False):
+            if len(rows) < 2:
+                continue
+            sizes = rows["tail"].map(len).to_numpy()
+            ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
+            a, b, shared = alike_in_group(rows["part"].to_numpy(), ids, n, sizes, np.concatenate(rows["tail"].to_numpy()), x, y, least, jaccard)
+            if len(a):
+                order = np.argsort(ids)
+                size = lambda of, order=order, ids=ids, n=n: n[order][np.searchsorted(ids[order], of)]
+                out.append(pd.DataFrame({"a": a, "b": b, "shared": shared, "jaccard": shared / (size(a) + size(b) - shared)}))
+        return pd.concat(out)
+
+    called = groups.withColumn("call", F.pmod(F.xxhash64("entity", "x", "y"), F.lit(calls)))
+    found = called.groupBy("call").applyInPandas(count, "a long, b long, shared long, jaccard double")
+    return found.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("jaccard").alias("jaccard"))
 
 
 def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:

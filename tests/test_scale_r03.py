@@ -48,3 +48,17 @@ def test_bands_read_texts_of_near_pairs_only(spark):
     plain = sorted(map(str, ar.decide(ar.candidates(df, df), df).collect()))
     assert len({r.split("decision=")[1][:6] for r in plain}) > 2
     assert sorted(map(str, ar.decide(ar.nearest(df, df, block=7), df, store=df).collect())) == plain
+
+
+def test_shared_pairs_are_sent_by_rare_entities(spark):
+    from palimpsest.operators import graph as gr
+
+    # 40 copies of a small graph with keys of their own: an id is sent as often as it has rare entities, copies or not
+    draw = np.random.default_rng(3)
+    one = [(int(e), int(i)) for e, i in zip(draw.integers(0, 12, 200), draw.integers(0, 30, 200), strict=True)]
+    frame = lambda k: spark.createDataFrame([(e + 12 * c, i + 30 * c) for c in range(k) for e, i in one], "entity long, id long").distinct()
+    sent = [gr.prefix_groups(frame(k), 2, 0.3, 1500).count() for k in (1, 40)]
+    assert sent[1] == 40 * sent[0]
+    small, large = (gr.shared_pairs(frame(k)).collect() for k in (1, 40))
+    assert len(small) > 5 and len(large) == 40 * len(small)
+    assert {(r["a"], r["b"], r["shared"], r["jaccard"]) for r in large if r["a"] < 30} == set(map(tuple, small))
