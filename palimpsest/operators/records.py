@@ -5,10 +5,15 @@ is the whole new state of the records, to be written as a table or a partition."
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as vec
+from palimpsest.operators.stored import written
 
 # Thresholds and factors.
 NOISE_RETRIEVED, DRIFT, NOVELTY_K, OVERLAP, PREFERRED, OTHER = 3, 0.05, 10, 0.5, 1.08, 0.72
@@ -108,15 +113,41 @@ def novelty(queries: DataFrame, memories: DataFrame, k: int = NOVELTY_K) -> Data
     return side.select("query_id").join(near, "query_id", "left").select("query_id", F.coalesce("nearest", F.lit(0)).alias("nearest"), (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
 
 
-def reconciled(candidates: DataFrame, members: DataFrame, least: float = OVERLAP) -> DataFrame:
+def reconciled(candidates: DataFrame, members: DataFrame, least: float = OVERLAP, most_ids: int = 64, most_clusters: int = 256) -> DataFrame:
     """candidates(group, id), members(cluster, id): for each group the existing cluster that holds most of its ids, if
-    it holds `least` of them; ties go to the first cluster."""
-    candidates, members = candidates.distinct(), members.distinct()
-    sizes = candidates.groupBy("group").agg(F.count("*").alias("n"))
-    common = candidates.join(members, "id").groupBy("group", "cluster").agg(F.count("*").alias("overlap"))
-    enough = common.join(sizes, "group").where(F.col("overlap") >= least * F.col("n"))
+    it holds `least` of them; ties go to the first cluster. An id's clusters travel as one array to each group
+    that has it and are counted there; groups of more than `most_ids` ids, or with an id of more than `most_clusters`
+    clusters, are counted by rows, so that no array grows with the tables."""
+    members = written(members.where("id is not null").select("id", "cluster").distinct())
+    sized = candidates.where("group is not null").distinct().groupBy("group").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
+    sizes = members.groupBy("id").agg(F.count("*").alias("clusters"))
+    wide = written(sizes.where(F.col("clusters") > most_clusters).select("id"))
+    asked = written(sized.select("group", "n", F.explode("ids").alias("id")))
+    large = written(asked.where(F.col("n") > most_ids).select("group").unionByName(asked.join(wide, "id", "left_semi").select("group")).distinct())
+    held = members.join(wide, "id", "left_anti").groupBy("id").agg(F.collect_list("cluster").alias("clusters"))
+    met = asked.join(large, "group", "left_anti").join(held, "id").groupBy("group", "n").agg(F.flatten(F.collect_list("clusters")).alias("clusters"))
+    kinds = {**{f.name: f.dataType.simpleString() for f in asked.schema}, **{f.name: f.dataType.simpleString() for f in members.schema}}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            cluster, code = np.unique(np.concatenate(rows["clusters"].to_numpy()), return_inverse=True)
+            row = np.repeat(np.arange(len(rows)), rows["clusters"].map(len).to_numpy())
+            pair, overlap = np.unique(row * len(cluster) + code, return_counts=True)
+            row, code = np.divmod(pair, len(cluster))
+            # in order of row and cluster: the first of a row's largest
+            order = np.lexsort((code, -overlap, row))
+            row, code, overlap = row[order], code[order], overlap[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            first = first[overlap[first] >= least * rows["n"].to_numpy()[row[first]]]
+            yield pd.DataFrame({"group": rows["group"].to_numpy()[row[first]], "cluster": cluster[code[first]], "overlap": overlap[first]})
+
+    found = met.mapInPandas(count, f"group {kinds['group']}, cluster {kinds['cluster']}, overlap long")
+    if large.isEmpty():
+        return found
+    rest = asked.join(large, "group", "left_semi").join(members, "id")
+    common = rest.groupBy("group", "n", "cluster").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least * F.col("n"))
     best = Window.partitionBy("group").orderBy(F.desc("overlap"), "cluster")
-    return enough.withColumn("k", F.row_number().over(best)).where("k = 1").select("group", "cluster", "overlap")
+    return found.unionByName(common.withColumn("k", F.row_number().over(best)).where("k = 1").select("group", "cluster", "overlap"))
 
 
 def synthesis_ready(clusters: DataFrame, least: int = 3, new: int = 2) -> Column:

@@ -76,3 +76,69 @@ def test_keyword_leg_writes_k_rows_a_block(spark):
     whole = sorted(leg.collect())
     assert len(whole) == 20 * 3 and whole == sorted(rm.keyword_leg(memories, queries, 3, memory_block=90, query_block=7).collect())
     assert "FlatMapCoGroupsInPandas" in leg._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reconciled_by_arrays_and_by_rows(spark):
+    from palimpsest.operators import records as rc
+
+    draw = np.random.default_rng(4)
+    asked = [(int(g), int(i)) for g, i in zip(draw.integers(0, 60, 300), draw.integers(0, 40, 300), strict=True)] + [(60, i) for i in range(40)]
+    held = [(int(c), int(i)) for c, i in zip(draw.integers(0, 15, 200), draw.integers(0, 45, 200), strict=True)] + [(c, 3) for c in range(15)]
+    groups, clusters = {}, {}
+    for of, pairs in ((groups, asked), (clusters, held)):
+        for k, i in pairs:
+            of.setdefault(k, set()).add(i)
+    best = {g: min((-len(ids & of), c) for c, of in clusters.items()) for g, ids in groups.items()}
+    expected = {(g, c, -n) for g, (n, c) in best.items() if n and -n >= 0.5 * len(groups[g])}
+    frames = spark.createDataFrame(asked, "group long, id long"), spark.createDataFrame(held, "cluster long, id long")
+    for limits in ((64, 256), (4, 8), (5, 256)):
+        found = rc.reconciled(*frames, 0.5, *limits)
+        assert set(map(tuple, found.collect())) == expected and found.count() == len(expected)
+    # a group and an id's clusters meet as one row, not as one for each cluster
+    assert "MapInPandas" in rc.reconciled(*frames)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_name_of_many_entities_is_limited_before_it_meets_texts(spark):
+    from palimpsest.operators import mentions as mn
+
+    entities = [(i, "blue door", ["lamp", "cup"] if i % 2 else ["cup"]) for i in range(40)] + [(i, "red cup", ["door"]) for i in range(40, 43)] + [(i, "x", ["red cup"]) for i in range(30, 60)]
+    texts = {1: "blue door", 2: "a red cup", 3: "lamp", 4: "cup red cup", 5: "nothing"}
+    expected = set()
+    for k, text in texts.items():
+        said = set(mn_candidates(spark, text))
+        by = {}
+        for i, name, alias in entities:
+            kinds = ([0] if name in said else []) + ([1] if said & set(alias) else [])
+            if kinds:
+                by[i] = min([*kinds, by.get(i, 9)])
+        expected |= {(k, i, "alias" if b else "name") for b, i in sorted((b, i) for i, b in by.items())[:6]}
+    frame = spark.createDataFrame([(i, n, a) for i, n, a in entities], "entity long, name_norm string, aliases_norm array<string>")
+    found = mn.mentioned(spark.createDataFrame(list(texts.items()), "turn long, text string"), frame, ["turn"])
+    assert {(r["turn"], r["entity"], r["via"]) for r in found.collect()} == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") + found._jdf.queryExecution().optimizedPlan().toString().count("row_number") >= 3
+
+
+def mn_candidates(spark, text):
+    from palimpsest.operators import mentions as mn
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([(text,)], "t string").select(mn.candidates(F.col("t"))).first()[0]
+
+
+def test_fact_keys_join_nothing_and_hash_in_batches(spark, sf_dir):
+    from palimpsest.operators import capture as cp
+    from palimpsest.plans import capture
+    from pyspark.sql import functions as F
+
+    plan = capture.fact_keys(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "ArrowEvalPython" in plan
+    texts = ["", "a", "Zoë 😀", "x" * 5000, None, "\x00"]
+
+    def djb2(text):
+        h, units = 5381, text.encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = (h * 33 + int.from_bytes(units[i : i + 2], "big")) & 0xFFFFFFFF
+        return h
+
+    got = [r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(cp.djb2(F.col("t")).alias("h")).collect()]
+    assert got == [None if t is None else djb2(t) for t in texts]
