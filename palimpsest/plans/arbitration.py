@@ -45,8 +45,8 @@ c AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id
 
 @R.query(PAIRS + " SELECT new_id, old_id, rank, round(sim, 6) AS similarity FROM c WHERE rank <= 5")
 def write_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull())
-    return ar.candidates(rows, rows).select("new_id", "old_id", "rank", F.round("similarity", 6).alias("similarity"))
+    rows = written(memory_units(spark, sf_dir, ("embeddings",)).where(F.col("embedding").isNotNull()).select("id", "user_id", "embedding", "created_at"))
+    return ar.nearest(rows, rows).select("new_id", "old_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 ANCHORS = lambda t: f"list_sort(list_distinct(list_concat(list_concat(regexp_extract_all({t}, '\\b[A-Z]{{2,6}}-[0-9]+\\b'), regexp_extract_all({t}, '\\b[\\w/.-]+\\.[a-z]{{1,4}}:[0-9]+\\b')), regexp_extract_all({t}, '#[0-9]+\\b'))))"
