@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +64,24 @@ def tags(values: Column) -> Column:
 
 def djb2(text: Column) -> Column:
     """The 32-bit djb2 hash of a text's UTF-16 units, as an unsigned number in a long."""
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    return F.aggregate(F.transform(units, lambda u: F.conv(u, 16, 10).cast("long")), F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33 + c, F.lit(1 << 32)))
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        power = np.ones(1, np.uint32)  # of 33, wrapped as the hash is
+
+        def one(text: str | None) -> int | None:
+            nonlocal power
+            if text is None:
+                return None
+            units = np.frombuffer(text.encode("utf-16-be", "surrogatepass"), ">u2").astype(np.uint32)
+            while len(power) <= len(units):
+                power = np.concatenate([power, power * np.uint32(pow(33, len(power), 1 << 32))])
+            n = len(units)
+            return (5381 * int(power[n]) + int((units * power[:n][::-1]).sum(dtype=np.uint32))) % (1 << 32)
+
+        return pd.Series([one(t) for t in texts], dtype="Int64")
+
+    return hashed(text)
 
 
 def fact_key(category: Column, text: Column) -> Column:
@@ -73,7 +90,8 @@ def fact_key(category: Column, text: Column) -> Column:
     words = F.transform(F.split(text, r"[\s\p{Z}\x{FEFF}\p{P}]+"), lambda w: F.lower(w))
     slug = F.slice(F.filter(words, lambda w: w.rlike("^[a-z0-9]+$")), 1, 6)
     code = F.right(F.lpad(F.lower(F.hex(djb2(text))), 8, "0"), F.lit(6))
-    return tx.let(slug, lambda s: F.concat(category, F.lit(":"), F.when(F.size(s) >= 2, F.concat(F.array_join(s, "-"), F.lit("-"), code)).otherwise(code)))
+    start = tx.let(slug, lambda s: F.when(F.size(s) >= 2, F.concat(F.array_join(s, "-"), F.lit("-"))).otherwise(""))
+    return F.concat(category, F.lit(":"), start, code)
 
 
 def compress(turns: DataFrame, by: str, most: int) -> DataFrame:

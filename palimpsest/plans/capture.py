@@ -135,4 +135,4 @@ def compressed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query()
 def fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the whole text, so that near copies with another tail differ. No twin; tested against brute force."""
-    return memory_units(spark, sf_dir, ("embeddings",)).select("id", cp.fact_key(F.col("category"), F.col("text")).alias("fact_key"))
+    return memory_units(spark, sf_dir, ()).select("id", cp.fact_key(F.col("category"), F.col("text")).alias("fact_key"))
