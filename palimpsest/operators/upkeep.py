@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import exact_qa
 from palimpsest.operators import lifecycle as lc
 from palimpsest.operators.arbitration import near_pairs
-from palimpsest.operators.stored import written
+from palimpsest.operators.stored import small, written
 
 # The cosine from which a row may replace an older one, and from which orphans belong together.
 SAME, TOGETHER = 0.90, 0.82
@@ -95,9 +95,11 @@ def sweep(rows: DataFrame, watermarks: DataFrame | None = None, most: int | None
 
 def near_orphans(orphans: DataFrame, edges: DataFrame, least: float = TOGETHER) -> DataFrame:
     """(a, b, similarity, shared): orphans(id, user_id, embedding) of one user at a cosine of `least` or more that share
-    an entity of edges(entity, id). Near pairs are few, so only these look for entities."""
-    near = near_pairs(orphans, "user_id", least)
-    known = edges.select("entity", "id").distinct()
+    an entity of edges(entity, id). Near pairs are few, so only these look for entities, and of the edges only
+    those of their ids are told apart and joined."""
+    near = written(near_pairs(orphans, "user_id", least))
+    ids = small(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+    known = written(edges.select("entity", "id").join(ids, "id", "left_semi").distinct())
     mine = near.join(known.withColumnRenamed("id", "a"), "a")
     return mine.join(known.withColumnRenamed("id", "b"), ["b", "entity"]).groupBy("a", "b", "similarity").agg(F.count("*").alias("shared"))
 

@@ -142,3 +142,17 @@ def test_fact_keys_join_nothing_and_hash_in_batches(spark, sf_dir):
 
     got = [r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(cp.djb2(F.col("t")).alias("h")).collect()]
     assert got == [None if t is None else djb2(t) for t in texts]
+
+
+def test_orphans_tell_apart_their_own_edges_only(spark, monkeypatch):
+    from palimpsest.operators import upkeep as up
+    from pyspark.sql import functions as F
+
+    kept = []
+    whole = up.written
+    monkeypatch.setattr(up, "written", lambda df: kept.append(whole(df)) or kept[-1])
+    orphans = spark.createDataFrame([(1, "u", [1.0, 0.0]), (2, "u", [1.0, 0.1]), (3, "u", [0.0, 1.0]), (4, "v", [1.0, 0.0])], "id long, user_id string, embedding array<double>")
+    edges = spark.range(1000).select((F.col("id") % 10).alias("entity"), (F.col("id") % 50).alias("id"))
+    found = up.near_orphans(orphans, edges.unionByName(edges.where("id in (1, 2)").withColumn("entity", F.lit(77))))
+    assert [(r["a"], r["b"], r["shared"]) for r in found.collect()] == [(1, 2, 1)]
+    assert {r["id"] for r in kept[-1].collect()} == {1, 2}
