@@ -1,12 +1,16 @@
 """A keyword index kept in a folder: postings by term in blocks with maxima, grown by appending, and an exact
 top k that stops by bound.
 
-A build writes one row a block, a term's postings of one impact level and one segment:
-`blocks/generation=<id>/`: term, level, segment, n, max_tf, min_ratio, max_share, usual, ids, tfs, dls (sorted
-by term and level, so that row groups of other terms and levels are passed by), then `rows/generation=<id>/` (the ids that it holds) and
-last `generations/` (n rows, words in them). A generation without its last row, left by a lost job, is not read.
-Level 0 has the postings that weigh most; the number of segments grows with the rows of a generation, so that a block
-has about `per_segment` ids at most, however frequent its term is.
+A build writes `rows/generation=<id>/` (the ids that it holds and their words), then one row a block, a term's postings
+of one impact level and one segment: `blocks/generation=<id>/`: term, level, segment, n, max_tf, min_ratio, max_share,
+usual, ids, tfs, dls (a segment is sorted by term and level, so that pages of other terms are passed by), and last
+`generations/` (n rows, words in them). A generation without its last row, left by a lost job, is not read.
+Level 0 has the postings that weigh most; a segment is what one task inverted at a time, `per_segment` ids and about
+`HELD` bytes at most, so that a block is bounded, however frequent its term is.
+
+Neither texts nor postings are shuffled: a text is tokenised and inverted where it is read, and its segment written by
+the same task, so that an id is in one segment, also if a task is run again. Only ids travel, to find those that are
+known or there twice. The memories are read more than once and must be the same each time.
 
 A search reads the blocks' maxima first, never their lists: document frequencies, and an upper bound for each
 (term, level). A posting weighs idf (K1 + 1) share, where 1 / share = 1 + K1 (1 - B) / tf + K1 B / avgdl dl / tf. The
@@ -28,10 +32,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
@@ -43,6 +51,10 @@ LEVELS, PER_DOUBLING = 32, 4
 BLOCKS = "term string, level int, segment int, n long, max_tf long, min_ratio double, max_share double, usual double, ids array<long>, tfs array<long>, dls array<long>, generation string"
 ROWS = "id long, generation string"
 GENERATIONS = "generation string, n long, texts long, words long"
+#: Bytes that a task holds to be inverted (8 a token and its text), and rows that are added at a time.
+HELD, ROWS_AT_ONCE = 64 << 20, 50
+#: Numbers of segments kept for each task; two segments of one number are looked up together.
+NUMBERS = 4096
 #: Added to bounds before they are compared: sums of doubles in another order.
 SLACK = 1e-9
 
@@ -61,26 +73,61 @@ class Statistics:
         return rt.K1 * rt.B / self.avgdl
 
 
-def term_frequencies(text: Column) -> Column:
-    """One struct (term, tf, dl) a distinct token: the sorted tokens' runs, counted inside the row."""
-
-    def runs(bag: Column) -> Column:
-        first = lambda i: (i == 0) | (F.get(bag, i) != F.get(bag, i - 1))
-        starts = F.filter(F.sequence(F.lit(0), F.size(bag) - 1), first)
-        ends = lambda s: F.transform(s, lambda at, j: F.struct(F.get(bag, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(bag)) - at).cast("long").alias("tf"), F.size(bag).cast("long").alias("dl")))
-        return F.when(F.size(bag) > 0, tx.let(starts, ends))
-
-    return tx.let(F.sort_array(tx.tokens(text)), runs)
-
-
-def share(tf: Column, dl: Column, usual: float) -> Column:
+def share(tf: np.ndarray, dl: np.ndarray, usual: float) -> np.ndarray:
     """What a posting weighs, of the most that one of its term can weigh, if texts have the usual length on average."""
     return tf / (tf + rt.K1 * (1 - rt.B + rt.B * dl / usual))
 
 
-def level(share: Column) -> Column:
+def level(share: np.ndarray) -> np.ndarray:
     """0 for the postings that weigh most, LEVELS - 1 for those that weigh least."""
-    return F.greatest(F.least(F.floor(F.log2(1 / share - 1) * PER_DOUBLING) + LEVELS // 2, F.lit(LEVELS - 1)), F.lit(0)).cast("int")
+    return np.clip(np.floor(np.log2(1 / share - 1) * PER_DOUBLING) + LEVELS // 2, 0, LEVELS - 1).astype(np.int64)
+
+
+def inverted(rows: pa.Table, segment: int, usual: float) -> pa.RecordBatch:
+    """The blocks of rows(id, bag), one segment, by term and level: each (term, row) sorted and counted, then cut."""
+    rows = rows.sort_by("id").combine_chunks()
+    ids, bags = rows["id"].to_numpy(), rows["bag"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(bags), 0).to_numpy().astype(np.int64)
+    words = bags.flatten().dictionary_encode()
+    in_order = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(in_order), np.int64)
+    place[in_order] = np.arange(len(in_order))
+    keys = place[words.indices.to_numpy()] * len(ids) + np.repeat(np.arange(len(ids)), lengths)
+    keys.sort()
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    term, row = np.divmod(keys[at], len(ids))
+    tf = np.diff(at, append=len(keys))
+    weigh = share(tf, lengths[row], usual)
+    group = term * LEVELS + level(weigh)
+    order = np.argsort(group, kind="stable")  # ids stay in order
+    group, row, tf, weigh = group[order], row[order], tf[order], weigh[order]
+    at = np.flatnonzero(np.diff(group, prepend=-1))
+    dl, ends = lengths[row], pa.array(np.append(at, len(group)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (ids[row], tf, dl)]
+    term, ratio = words.dictionary.take(pa.array(in_order[group[at] // LEVELS])).cast(pa.string()), dl / tf
+    best = [np.maximum.reduceat(tf, at), np.minimum.reduceat(ratio, at), np.maximum.reduceat(weigh, at)] if len(at) else [tf, ratio, weigh]
+    columns = [term, pa.array(group[at] % LEVELS, pa.int32()), pa.array(np.full(len(at), segment), pa.int32()), pa.array(np.diff(at, append=len(group))), *map(pa.array, best), pa.array(np.full(len(at), usual)), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["term", "level", "segment", "n", "max_tf", "min_ratio", "max_share", "usual", "ids", "tfs", "dls"])
+
+
+def inverter(per_segment: int, usual: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of (id, bag): a task's rows, segment by segment as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, held, rows, size = TaskContext.get().partitionId() * NUMBERS, [], 0, 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, min(ROWS_AT_ONCE, per_segment - rows))
+                held.append(some)
+                at, rows, size = at + some.num_rows, rows + some.num_rows, size + some.nbytes + 8 * len(some["bag"].flatten())
+                if size >= HELD or rows >= per_segment:
+                    yield inverted(pa.Table.from_batches(held), segment % 2**31, usual)
+                    segment, held, rows, size = segment + 1, [], 0, 0
+        if held:
+            yield inverted(pa.Table.from_batches(held), segment % 2**31, usual)
+
+    return run
 
 
 class KeywordIndex:
@@ -117,25 +164,31 @@ class KeywordIndex:
     def append(self, memories: DataFrame) -> str:
         """Indexes the rows of memories(id, text, text_norm) whose id the index doesn't have; the generation's name."""
         generation = uuid.uuid4().hex
-        one = Window.partitionBy("id").orderBy(F.asc_nulls_last("text"), F.asc_nulls_last("text_norm"))
-        known = self.rows.select("id")
-        fresh = memories.where("id is not null").select(F.col("id").cast("long").alias("id"), "text", "text_norm").join(known, "id", "left_anti")
-        fresh = fresh.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
-        segments = max(1, -(-memories.count() // self.per_segment))
-        counted = written(fresh.select("id", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), rt.words("text_norm").cast("long").alias("words"), term_frequencies(F.col("text")).alias("bag")))
-        posting = counted.select("id", "segment", F.explode("bag").alias("p")).select("id", "segment", "p.*")
+        fresh = self._fresh(memories.where("id is not null").select(F.col("id").cast("long").alias("id"), "text", "text_norm"))
+        rows, words = f"{self.path}/rows/generation={generation}", rt.words("text_norm").cast("long")
+        fresh.select("id", words.alias("words")).write.parquet(rows)
+        counted = self.spark.read.schema("id long, words long").parquet(rows)
         done = counted.agg(F.count("*").alias("n"), F.count("words").alias("texts"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-        usual = done["words"] / done["texts"] if done["words"] else 1.0
-        posting = posting.withColumn("share", share(F.col("tf"), F.col("dl"), usual)).withColumn("level", level(F.col("share")))
-        held = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))  # a term's ids of one level and segment: about per_segment at most
-        blocks = posting.groupBy("term", "level", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("min_ratio"), F.max("share").alias("max_share"), held.alias("held"))
-        lists = [F.col(f"held.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")]
-        in_order = blocks.select("term", "level", "segment", "n", "max_tf", "min_ratio", "max_share", F.lit(float(usual)).alias("usual"), *lists).repartitionByRange("term", "level").sortWithinPartitions("term", "level", "segment")
-        in_order.write.option("parquet.block.size", 8 << 20).parquet(f"{self.path}/blocks/generation={generation}")
-        counted.select("id").write.parquet(f"{self.path}/rows/generation={generation}")
+        usual = float(done["words"] / done["texts"] if done["words"] else 1.0)
+        bags = fresh.select("id", tx.tokens(F.col("text")).alias("bag"))
+        blocks = bags.mapInArrow(inverter(self.per_segment, usual), BLOCKS.removesuffix(", generation string"))
+        blocks.write.option("parquet.block.size", 8 << 20).parquet(f"{self.path}/blocks/generation={generation}")
         self.spark.createDataFrame([(generation, *done)], GENERATIONS).write.mode("append").parquet(f"{self.path}/generations")
         return generation
 
+    def _fresh(self, memories: DataFrame) -> DataFrame:
+        """The rows whose id the index doesn't have, one for each id. Only ids are shuffled, but for rows whose id is
+        there more than once; where there are too many ids to leave out for a broadcast, their join shuffles texts."""
+        ids = memories.select("id", F.lit(1).alias("new"), F.lit(0).alias("old")).unionByName(self.rows.select("id", F.lit(0).alias("new"), F.lit(1).alias("old")))
+        counted = ids.groupBy("id").agg(F.sum("new").alias("new"), F.max("old").alias("old"))
+        odd = written(counted.where("new > 1 or (new = 1 and old = 1)").select("id", "old"))
+        if odd.isEmpty():
+            return memories
+        one = Window.partitionBy("id").orderBy(F.asc_nulls_last("text"), F.asc_nulls_last("text_norm"))
+        twice = memories.join(small(odd.where("old = 0").select("id")), "id", "left_semi")
+        firsts = twice.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
+        return memories.join(small(odd.select("id")), "id", "left_anti").unionByName(firsts)
+
     def plan(self, terms: Sequence[str], stats: Statistics) -> tuple[dict[str, float], dict[tuple[str, int], tuple[int, float]]]:
         """Each term's idf, and for each (term, level) its postings and what one weighs at most. Reads maxima only; at
         most LEVELS rows a term reach the driver."""
