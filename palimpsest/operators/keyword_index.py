@@ -52,7 +52,7 @@ BLOCKS = "term string, level int, segment int, n long, max_tf long, min_ratio do
 ROWS = "id long, generation string"
 GENERATIONS = "generation string, n long, texts long, words long"
 #: Bytes that a task holds to be inverted (8 a token and its text), and rows that are added at a time.
-HELD, ROWS_AT_ONCE = 64 << 20, 50
+HELD, ROWS_AT_ONCE = 32 << 20, 50
 #: Numbers of segments kept for each task; two segments of one number are looked up together.
 NUMBERS = 4096
 #: Added to bounds before they are compared: sums of doubles in another order.
